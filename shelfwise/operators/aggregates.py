@@ -54,7 +54,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def crosstab_percent(df: DataFrame, x: str, y: str, names: Sequence | None = None) -> DataFrame:
     """Contingency table as row percentages."""
-    wide = df.groupBy(x).pivot(y, names).agg(F.count("*")).fillna(0)
+    wide = df.groupBy(x).pivot(y, names).agg(F.count(F.lit(1))).fillna(0)
     cells = [c for c in wide.columns if c != x]
     total = sum((F.col(f"`{c}`") for c in cells), F.lit(0))
     return wide.select(x, *[(F.col(f"`{c}`") * 100.0 / total).alias(c) for c in cells])
@@ -187,19 +187,21 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers at the last data points within 1.5 IQR, outlier count."""
     by = list(by)
     quart = exact_quantiles(df, [col], [0.25, 0.5, 0.75], by).drop("column")
-    quart = quart.withColumnsRenamed({"q0": "q1", "q1": "median", "q2": "q3"})
+    quart = quart.select(
+        *by, F.col("q0").alias("__q1"), F.col("q1").alias("__q2"), F.col("q2").alias("__q3")
+    )
     data = df.select(*by, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     if by:
         rows = data.join(quart, by)
     else:
-        box = quart.select(F.struct("q1", "median", "q3")).scalar()
+        box = quart.select(F.struct("__q1", "__q2", "__q3")).scalar()
         rows = data.withColumn("b", box).select("v", "b.*")
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    low_ok, high_ok = F.col("v") >= F.col("q1") - reach, F.col("v") <= F.col("q3") + reach
+    reach = (F.col("__q3") - F.col("__q1")) * 1.5
+    low_ok, high_ok = F.col("v") >= F.col("__q1") - reach, F.col("v") <= F.col("__q3") + reach
     return rows.groupBy(*by).agg(
-        F.first("q1").alias("q1"),
-        F.first("median").alias("median"),
-        F.first("q3").alias("q3"),
+        F.first("__q1").alias("q1"),
+        F.first("__q2").alias("median"),
+        F.first("__q3").alias("q3"),
         F.min(F.when(low_ok, F.col("v"))).alias("whisker_low"),
         F.max(F.when(high_ok, F.col("v"))).alias("whisker_high"),
         F.count_if(~(low_ok & high_ok)).alias("n_outliers"),

@@ -34,7 +34,7 @@ select case when l_partkey % 97 = 0 then concat(' test-', cast(l_partkey as {s})
             else {bigint_text} end as OBORQT,
        replace(cast(case when l_returnflag = 'R' and l_discount > 0.05 then -l_extendedprice
                          else l_extendedprice end as {s}), '.', ',') as NET_LINE,
-       replace(cast(p_size / 10.0 as {s}), '.', ',') as MMNEWE,
+       replace(cast(p_size / cast(10 as double) as {s}), '.', ',') as MMNEWE,
        concat(p_name, ' ', p_type, case when l_linenumber > 3 then ' No. 12-XX unique' else ' for the home' end) as DESCRIPT,
        concat(' ', cast(l_orderkey as {s}), ' ') as OBCUOR,
        concat(cast(o_custkey as {s}), '  ') as OACUNO,

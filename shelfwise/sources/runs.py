@@ -38,8 +38,10 @@ def read_run_json(spark: SparkSession, paths: str | Sequence[str], schema=None)
 
 
 def write_run_json(df: DataFrame, path: str) -> None:
-    """One JSON document per row."""
-    df.write.mode("overwrite").json(path)
+    """One indented JSON document per row, each in its own file (runs are few:
+    one per model and label fraction)."""
+    docs = df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value"))
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def promote_best(artefacts: DataFrame, best: DataFrame, key: str = "topic_set_id") -> DataFrame:

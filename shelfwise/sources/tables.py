@@ -42,6 +42,8 @@ def read_delimited(
         .option("quote", '"')
         .option("escape", '"')
         .option("enforceSchema", False)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
     return reader.schema(schema).csv(paths)
 
@@ -60,7 +62,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ",")
     """Overwrite ``path`` with ``df``; one file per task."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+        (
+            writer.option("header", True)
+            .option("sep", sep)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path)
+        )
     else:
         writer.format(fmt).save(path)
 
