@@ -18,6 +18,7 @@ from shelfwise.functions.hashing import hash_int
 from shelfwise.functions.vectors import argmax
 from shelfwise.operators.aggregates import histogram, value_counts
 from shelfwise.operators.relational import decode_class
+from shelfwise.session import materialize
 
 EPS = 2.220446049250313e-16
 
@@ -139,6 +140,7 @@ def score_counts(df: DataFrame, n_classes: int, y: str = "y", p: str = "p") -> D
 def _running(counts: DataFrame, slices: int) -> DataFrame:
     """Add positives and negatives scored strictly above each row's score, and
     the class totals. Scores are cut at quantiles into slices."""
+    counts = materialize(counts, "scores")
     marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     edges = counts.groupBy("class").agg(
         F.percentile_approx("score", marks, 20 * slices).alias("edges"), F.sum("pos").alias("P"), F.sum("neg").alias("N")
@@ -164,7 +166,10 @@ def _running(counts: DataFrame, slices: int) -> DataFrame:
 def roc_curve(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 64) -> DataFrame:
     """(class, threshold, fpr, tpr) at every distinct score, per class and
     'micro', from (0, 0) at threshold infinity."""
-    run = _running(score_counts(df, n_classes, y, p), slices)
+    return _curve(_running(score_counts(df, n_classes, y, p), slices))
+
+
+def _curve(run: DataFrame) -> DataFrame:
     pts = run.select(
         "class", F.col("score").alias("threshold"),
         _ratio(F.col("fp0") + F.col("neg"), F.col("N")).alias("fpr"), _ratio(F.col("tp0") + F.col("pos"), F.col("P")).alias("tpr"),
@@ -187,7 +192,7 @@ def roc_macro(curve: DataFrame, n_classes: int, slices: int = 256) -> DataFrame:
         curve.filter(F.col("class").isin(*ids)).groupBy("class", "fpr").agg(F.min("tpr").alias("lo"), F.max("tpr").alias("hi"))
     )
     cut = F.least(F.floor(F.col("fpr") * slices), F.lit(slices - 1)).cast("int")
-    pts = pts.withColumn("slice", cut)
+    pts = materialize(pts.withColumn("slice", cut), "curve")
     classes = F.explode(F.array(*[F.lit(c) for c in ids])).alias("class")
     grid = pts.select("fpr", "slice").distinct().select("fpr", "slice", classes)
     ends = pts.groupBy("class", "slice").agg(
@@ -217,6 +222,7 @@ def roc_macro(curve: DataFrame, n_classes: int, slices: int = 256) -> DataFrame:
 
 def curve_area(curve: DataFrame, slices: int = 256) -> DataFrame:
     """Trapezoid area under one curve (fpr, tpr) with distinct fpr."""
+    curve = materialize(curve.select("fpr", "tpr"), "macro")
     cut = F.least(F.floor(F.col("fpr") * slices), F.lit(slices - 1)).cast("int")
     rows = curve.withColumn("slice", cut)
     heads = rows.groupBy("slice").agg(F.min(F.struct("fpr", "tpr")).alias("head"))
@@ -228,16 +234,24 @@ def curve_area(curve: DataFrame, slices: int = 256) -> DataFrame:
     return step.agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("auc"))
 
 
-def roc_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 64) -> DataFrame:
-    """(class, auc) per class, 'micro', 'macro' (area of the averaged curve) and
-    'mean' (unweighted class mean)."""
-    run = _running(score_counts(df, n_classes, y, p), slices)
+def class_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 64) -> DataFrame:
+    """(class, auc) per class, 'micro' and 'mean' (unweighted class mean)."""
+    return _areas(_running(score_counts(df, n_classes, y, p), slices))
+
+
+def _areas(run: DataFrame) -> DataFrame:
     part = F.sum(F.col("neg").cast("double") * (F.col("tp0") + F.col("pos") / 2))
     per = run.groupBy("class").agg(part.alias("a"), F.max("P").alias("P"), F.max("N").alias("N"))
     per = per.select("class", _ratio(F.col("a"), F.col("P").cast("double") * F.col("N")).alias("auc"))
     mean = per.filter(F.col("class") != MICRO).agg(F.avg("auc").alias("auc")).select(F.lit("mean").alias("class"), "auc")
-    macro = curve_area(roc_macro(roc_curve(df, n_classes, y, p, slices), n_classes))
-    return per.unionByName(mean).unionByName(macro.select(F.lit("macro").alias("class"), "auc"))
+    return per.unionByName(mean)
+
+
+def roc_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 64) -> DataFrame:
+    """``class_auc`` plus 'macro', the area of the averaged curve."""
+    run = materialize(_running(score_counts(df, n_classes, y, p), slices), "running")
+    macro = curve_area(roc_macro(_curve(run), n_classes))
+    return _areas(run).unionByName(macro.select(F.lit("macro").alias("class"), "auc"))
 
 
 # -- bootstrap ----------------------------------------------------------------
