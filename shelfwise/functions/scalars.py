@@ -32,7 +32,7 @@ WHITE_SPACE = (
 
 DIGITS = r"[\p{Nd}²³¹⁰-⁹₀-₉]"
 SPACE = r"(?U)\s+"
-WORD = r"(?U)\b\w\w+\b"
+WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def _c(c: Column | str) -> Column:

@@ -61,15 +61,22 @@ def exact_quantiles(
 
     n = len(probs)
 
-    def below(c: str, i: int) -> Column:
-        edge = F.col(f"__b_{c}")[i]
-        # the lowest bracket is open below, so nothing lies under it
-        return F.lit(0).cast("bigint") if lows[i] == 0.0 else F.count_if(F.col(c) < edge)
+    def outside(c: str, i: int) -> Column:
+        """Rows below the bracket and the values next to it on either side; an
+        interpolated position can fall one rank outside the bracket."""
+        v, lo, hi = F.col(c), F.col(f"__b_{c}")[i], F.col(f"__b_{c}")[n + i]
+        none = F.lit(None).cast("double")
+        open_low, open_high = lows[i] == 0.0, highs[i] == 1.0
+        return F.struct(
+            (F.lit(0).cast("bigint") if open_low else F.count_if(v < lo)).alias("below"),
+            (none if open_low else F.max(F.when(v < lo, v))).alias("prev"),
+            (none if open_high else F.min(F.when(v > hi, v))).alias("next"),
+        )
 
     totals = marked.groupBy(*by).agg(
         *[
             F.struct(
-                F.count(c).alias("n"), F.array(*[below(c, i) for i in range(n)]).alias("below")
+                F.count(c).alias("n"), F.array(*[outside(c, i) for i in range(n)]).alias("out")
             ).alias(c)
             for c in cols
         ]
@@ -77,7 +84,7 @@ def exact_quantiles(
     totals = totals.select(
         *by,
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("t")) for c in cols])).alias("x"),
-    ).select(*by, "x.column", "x.t.n", F.posexplode("x.t.below").alias("i", "below"))
+    ).select(*by, "x.column", "x.t.n", F.posexplode("x.t.out").alias("i", "o")).select(*by, "column", "n", "i", "o.*")
 
     def inside(c: str, i: int) -> Column:
         lo, hi = F.col(f"__b_{c}")[i], F.col(f"__b_{c}")[n + i]
@@ -113,8 +120,16 @@ def exact_quantiles(
         return F.max(F.when((F.col("first") <= pos) & (pos <= F.col("last")), F.col("v")))
 
     picked = placed.groupBy(*keys).agg(
-        at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"), F.max("h").alias("h")
+        at(F.floor("h")).alias("a"),
+        at(F.ceil("h")).alias("b"),
+        *[F.max(x).alias(x) for x in ("h", "below", "prev", "next", "last")],
     )
+
+    def or_beside(found: str, pos: Column) -> Column:
+        beside = F.when(pos == F.col("below") - 1, F.col("prev")).when(pos == F.col("last") + 1, F.col("next"))
+        return F.coalesce(F.col(found), beside)
+
+    picked = picked.withColumns({"a": or_beside("a", F.floor("h")), "b": or_beside("b", F.ceil("h"))})
     missed = F.col("a").isNull() | F.col("b").isNull()
     value = F.when(
         missed, F.raise_error(F.lit("quantile outside its bracket; raise accuracy")).cast("double")

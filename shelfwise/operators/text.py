@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +59,9 @@ def tfidf_terms(
     vocab = document_frequency_filter(counts, n, min_df, max_df, max_features)
     idf = vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # a window over one document's distinct terms, which came from one row
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 class TfidfModel:

@@ -25,7 +25,7 @@ def clean_sql(c: str) -> str:
     )
 
 
-TOKENS_SQL = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}\\p{{Mn}}_]{{2,}}')"
+TOKENS_SQL = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 
 @query(
