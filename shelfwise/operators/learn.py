@@ -416,6 +416,14 @@ def select_features(kind: str, df: DataFrame, params: Mapping | None = None, lab
     return important_features(fit_classifier(kind, df, params, label, seed=seed).importances())
 
 
+def _grown(df: DataFrame, label: str, method: str, key: str, seed: int) -> DataFrame:
+    """Vectors with synthetic rows, which get ids of their own below -1."""
+    arrays = df.select(key, label, vector_to_array("features").alias("features"))
+    grown = oversample(arrays, label, method, key, seed=seed)
+    fresh = -(F.monotonically_increasing_id() + 2)
+    return as_vectors(materialize(grown.withColumn(key, F.coalesce(F.col(key), fresh)), "grown"))
+
+
 def fraction_sweep(
     labeled: DataFrame,
     unlabeled: DataFrame,
@@ -429,13 +437,17 @@ def fraction_sweep(
     bootstrap: int = 50,
     shared_threshold: bool = False,
     max_iter: int = 10,
+    draws: Mapping[str, Sequence[Mapping]] | None = None,
+    folds: int = 5,
+    oversampling: str | None = None,
 ) -> DataFrame:
     """One row per (model, label fraction): test and bootstrap metrics, pseudo-
     label counts, threshold and seconds.
 
     80/20 test split, 90/10 validation split, a stratified share of the rest,
-    feature selection for tree models, self-training, evaluation. The threshold
-    state belongs to each model unless ``shared_threshold``.
+    optional oversampling, cross-validated search over ``draws`` of a model's
+    parameters, feature selection for tree models, self-training, evaluation.
+    The threshold state belongs to each model unless ``shared_threshold``.
     """
     spark = labeled.sparkSession
     train, test = stratified_split(labeled, label, 0.8, seed, key)
@@ -446,12 +458,17 @@ def fraction_sweep(
     rows = []
     for frac in fractions:
         part = materialize(labeled_fraction(train, label, frac, seed, key), "fraction")
+        base = part if oversampling is None else _grown(part, label, oversampling, key, seed)
         for kind, params in models.items():
             t0 = time.time()
             owner = "*" if shared_threshold else kind
             t, best = state.get(owner, (threshold, 0.0))
-            chosen = select_features(kind, part, params, label, seed) if kind in TREE_KINDS else None
-            model, labels = self_train(kind, part, unlabeled, t, max_iter, params, label, key, True, seed, chosen)
+            if draws and draws.get(kind):
+                params, _ = random_search(
+                    kind, part, draws[kind], folds, label=label, seed=seed, key=key, oversampling=oversampling
+                )
+            chosen = select_features(kind, base, params, label, seed) if kind in TREE_KINDS else None
+            model, labels = self_train(kind, base, unlabeled, t, max_iter, params, label, key, True, seed, chosen)
             f1 = M.label_metrics(M.confusion_counts(model.transform(val), (), label, "prediction")).first()["f1"]
             state[owner] = next_threshold((t, best), f1)
             out = materialize(model.transform(test).select(F.col(label).cast("int").alias("y"), F.col("prediction").alias("yhat"), "p"), "scored")

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,21 +199,27 @@ def tile_join(
     return lg.cogroup(rg).applyInPandas(kernel, schema)
 
 
-def collapse_copies(df: DataFrame, key: str, vec: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(representatives, members): equal vectors share the smallest key.
+IDENTITY = ["__h1", "__h2"]
 
-    Two independent 64-bit hashes stand for the vector as grouping key.
+
+def _hashed(df: DataFrame, vec: str) -> DataFrame:
+    """Two independent 64-bit hashes stand for a vector as grouping key."""
+    return df.withColumn("__h1", F.xxhash64(vec)).withColumn("__h2", F.xxhash64(F.lit("second"), vec))
+
+
+def collapse_copies(
+    df: DataFrame, key: str, vec: str, by: Sequence[str] = (), extra: Sequence[Column] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(representatives, members): equal vectors become one row.
+
+    Representatives hold (rep = smallest key, *by, vec, copies, hashes, extra
+    aggregates); members hold (key, hashes) and cost no shuffle.
     """
-    by = list(by)
-    hashed = df.select(
-        key, *by, vec, F.xxhash64(vec).alias("__h1"), F.xxhash64(F.lit("second"), vec).alias("__h2")
+    hashed = _hashed(df, vec)
+    reps = hashed.groupBy(*by, *IDENTITY).agg(
+        F.min(key).alias("rep"), F.first(vec).alias(vec), F.count("*").alias("copies"), *extra
     )
-    ident = [*by, "__h1", "__h2"]
-    reps = hashed.groupBy(*ident).agg(F.min(key).alias("rep"), F.first(vec).alias(vec), F.count("*").alias("copies"))
-    cond = [F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ident]
-    joined = hashed.drop(vec).alias("m").join(reps.drop(vec).alias("r"), cond)
-    members = joined.select(F.col(f"m.{key}").alias(key), F.col("r.rep").alias("rep"))
-    return reps.select("rep", *by, vec, "copies"), members
+    return reps, hashed.select(key, *IDENTITY)
 
 
 def _ready(df: DataFrame, key: str, vec: str, metric: str, out_key: str) -> DataFrame:
@@ -264,36 +270,38 @@ def knn_join(
     l_rows = _ready(left, left_key, vec, metric, "id")
     same = left is right and left_key == right_key
     l_reps, l_members = collapse_copies(l_rows, "id", "__v")
-    l_reps = materialize(l_reps.select(F.col("rep").alias("lrep"), "__v"), "knnleft")
-    l_members = materialize(l_members, "knnmembers")
+    l_reps = materialize(l_reps.select(F.col("rep").alias("lrep"), "__v", *IDENTITY), "knnleft")
     if same:
         r_reps, r_members = l_reps.withColumnRenamed("lrep", "rrep"), l_members
     else:
         r_reps, r_members = collapse_copies(_ready(right, right_key, vec, metric, "id"), "id", "__v")
-        r_reps = materialize(r_reps.select(F.col("rep").alias("rrep"), "__v"), "knnright")
+        r_reps = materialize(r_reps.select(F.col("rep").alias("rrep"), "__v", *IDENTITY), "knnright")
     id_l, id_r = l_reps.schema["lrep"].dataType.simpleString(), r_reps.schema["rrep"].dataType.simpleString()
     tiles = tile_join(
-        l_reps, r_reps, _top_k_kernel(want, "lrep", "rrep", "__v"),
+        l_reps.drop(*IDENTITY), r_reps.drop(*IDENTITY), _top_k_kernel(want, "lrep", "rrep", "__v"),
         f"lrep {id_l}, rrep {id_r}, d double", "lrep", "rrep", "__v", k=want, **tiling,
     )
     best = W.partitionBy("lrep").orderBy("d", "rrep")
     near = tiles.withColumn("__rn", F.row_number().over(best)).filter(F.col("__rn") <= want).drop("__rn")
     # the first ``want`` ids of a group of copies are all that can be needed
-    first_ids = W.partitionBy("rep").orderBy("id")
+    first_ids = W.partitionBy(*IDENTITY).orderBy("id")
     ids = (
         r_members.withColumn("__rn", F.row_number().over(first_ids))
         .filter(F.col("__rn") <= want)
-        .groupBy("rep")
+        .groupBy(*IDENTITY)
         .agg(F.collect_list("id").alias("ids"))
+        .join(r_reps.select("rrep", *IDENTITY), IDENTITY)
+        .select("rrep", "ids")
     )
     dist = F.col("d") * F.col("d") / 2 if metric == "cosine" else F.col("d")
     options = (
-        near.join(ids.withColumnRenamed("rep", "rrep"), "rrep")
+        near.join(ids, "rrep")
         .select("lrep", dist.alias("distance"), F.explode("ids").alias("right_id"))
         .groupBy("lrep")
         .agg(F.array_sort(F.collect_list(F.struct("distance", "right_id"))).alias("opts"))
     )
-    rows = l_members.select(F.col("id").alias("left_id"), F.col("rep").alias("lrep")).join(options, "lrep")
+    per_vector = options.join(l_reps.select("lrep", *IDENTITY), "lrep").select(*IDENTITY, "opts")
+    rows = l_members.withColumnRenamed("id", "left_id").join(per_vector, IDENTITY)
     opts = F.col("opts")
     if exclude_self:
         opts = F.filter(opts, lambda o: ~o["right_id"].eqNullSafe(F.col("left_id")))
@@ -329,18 +337,18 @@ def rbf_class_sums(
 ) -> DataFrame:
     """(id, sums): per class the sum of exp(-gamma d^2) over all train rows.
 
-    Rows farther than sqrt(745 / gamma) weigh exactly zero in double precision,
-    so skipping them changes nothing.
+    ``label`` is a class index or an array of class shares. Rows farther than
+    sqrt(745 / gamma) weigh exactly zero in double precision, so skipping them
+    changes nothing.
     """
     l_reps, l_members = collapse_copies(_ready(new, key, vec, "euclidean", "id"), "id", "__v")
-    t = train.select(F.col(key).alias("id"), as_doubles(vec).alias("__v"), F.col(label).cast("int").alias("__y"))
-    hashed = t.withColumn("__h1", F.xxhash64("__v")).withColumn("__h2", F.xxhash64(F.lit("second"), "__v"))
-    per_class = [F.count_if(F.col("__y") == c).cast("double") for c in range(n_classes)]
-    r_reps = hashed.groupBy("__h1", "__h2").agg(
-        F.min("id").alias("rrep"), F.first("__v").alias("__v"), F.array(*per_class).alias("y")
-    ).drop("__h1", "__h2")
-    l_reps = materialize(l_reps.select(F.col("rep").alias("lrep"), "__v"), "rbfleft")
-    r_reps = materialize(r_reps, "rbfright")
+    soft = isinstance(train.schema[label].dataType, T.ArrayType)
+    t = train.select(F.col(key).alias("id"), as_doubles(vec).alias("__v"), F.col(label).alias("__y"))
+    share = [F.col("__y")[c] if soft else (F.col("__y") == c).cast("double") for c in range(n_classes)]
+    votes = F.array(*[F.coalesce(F.sum(s), F.lit(0.0)) for s in share]).alias("y")
+    r_reps, _ = collapse_copies(t, "id", "__v", extra=[votes])
+    l_reps = materialize(l_reps.select(F.col("rep").alias("lrep"), "__v", *IDENTITY), "rbfleft")
+    r_reps = materialize(r_reps.select(F.col("rep").alias("rrep"), "__v", "y"), "rbfright")
     kind = l_reps.schema["lrep"].dataType.simpleString()
 
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
@@ -354,13 +362,13 @@ def rbf_class_sums(
         return pd.DataFrame({"lrep": lp["lrep"], "s": list(out)})
 
     tiles = tile_join(
-        l_reps, r_reps, kernel, f"lrep {kind}, s array<double>", "lrep", "rrep", "__v",
+        l_reps.drop(*IDENTITY), r_reps, kernel, f"lrep {kind}, s array<double>", "lrep", "rrep", "__v",
         radius=float(np.sqrt(745.0 / gamma)), **tiling,
     )
     sums = tiles.groupBy("lrep").agg(F.array(*[F.sum(F.col("s")[c]) for c in range(n_classes)]).alias("sums"))
-    members = l_members.select("id", F.col("rep").alias("lrep"))
+    per_vector = sums.join(l_reps.select("lrep", *IDENTITY), "lrep").select(*IDENTITY, "sums")
     none = F.array(*[F.lit(0.0)] * n_classes)
-    return members.join(sums, "lrep", "left").select("id", F.coalesce("sums", none).alias("sums"))
+    return l_members.join(per_vector, IDENTITY, "left").select("id", F.coalesce("sums", none).alias("sums"))
 
 
 def cluster_distance_sums(df: DataFrame, cluster: str, key: str = "row_id", vec: str = "features", **tiling) -> DataFrame:
@@ -370,7 +378,7 @@ def cluster_distance_sums(df: DataFrame, cluster: str, key: str = "row_id", vec:
     rows = df.select(F.col(key).alias("id"), as_doubles(vec).alias("__v"), F.col(cluster).alias("__c"))
     l_reps, l_members = collapse_copies(rows, "id", "__v")
     r_reps, _ = collapse_copies(rows, "id", "__v", ["__c"])
-    l_reps = materialize(l_reps.select(F.col("rep").alias("lrep"), "__v"), "silleft")
+    l_reps = materialize(l_reps.select(F.col("rep").alias("lrep"), "__v", *IDENTITY), "silleft")
     r_reps = materialize(r_reps.select(F.col("rep").alias("rrep"), "__c", "__v", "copies"), "silright")
     kind, ckind = (l_reps.schema["lrep"].dataType.simpleString(), r_reps.schema["__c"].dataType.simpleString())
 
@@ -396,8 +404,8 @@ def cluster_distance_sums(df: DataFrame, cluster: str, key: str = "row_id", vec:
         )
 
     tiles = tile_join(
-        l_reps, r_reps, kernel, f"lrep {kind}, __c {ckind}, s double, m double", "lrep", "rrep", "__v", **tiling
+        l_reps.drop(*IDENTITY), r_reps, kernel, f"lrep {kind}, __c {ckind}, s double, m double", "lrep", "rrep", "__v", **tiling
     )
     sums = tiles.groupBy("lrep", "__c").agg(F.sum("s").alias("total"), F.sum("m").alias("n"))
-    members = l_members.select("id", F.col("rep").alias("lrep"))
-    return members.join(sums, "lrep").select("id", F.col("__c").alias("cluster"), "total", F.col("n").cast("bigint").alias("n"))
+    per_vector = sums.join(l_reps.select("lrep", *IDENTITY), "lrep").drop("lrep")
+    return l_members.join(per_vector, IDENTITY).select("id", F.col("__c").alias("cluster"), "total", F.col("n").cast("bigint").alias("n"))

@@ -224,3 +224,13 @@ def t15(spark, d):
 
     infos, _ = TP.topic_sweep(docs, "text", sample_params(ranges, 2, 42), cluster)
     return infos.select("n_topics", "topic", "count", "name")
+
+
+@query("c22_graph_learning")
+def c22_graph(spark, d):
+    from shelfwise.operators.graph import graph_learning
+    from shelfwise.plans.q_graph import labeled_nodes
+
+    report, predicted = graph_learning(labeled_nodes(spark, d), 5, "propagation", (2.0, 5.0), folds=2, bootstrap=20)
+    keep = F.lit(report["cv_best_score"]).alias("cv_best_score")
+    return predicted.select("id", "prediction", keep)

@@ -112,9 +112,11 @@ def t10(spark, d):
     return reduced.groupBy("topic").agg(F.count("*").alias("n"))
 
 
-# keyword topics: the part names of a size group, sorted, are a topic's words
-_KEY_TOPICS = """select p_size as topic, list(distinct w order by w) as words from (
-    select p_size - 1 as p_size, unnest(string_split(p_name, ' ')) as w from part where p_partkey % 23 = 0) group by p_size"""
+# keyword topics: a topic is one (size, brand) group of parts (ids from -1 up),
+# its words are the sorted words of the group's part names
+_TOPIC_ID = "((p_size - 1) * 25 + cast(substr(p_brand, 7) as int) - 2)"
+_KEY_TOPICS = f"""select topic, list(distinct w order by w) as words from (
+    select {_TOPIC_ID} as topic, unnest(string_split(p_name, ' ')) as w from part) group by topic"""
 _GREEDY = f"""k as ({KEYWORD_SQL}), t as ({_KEY_TOPICS}),
   scan as (
     with recursive s as (
@@ -131,11 +133,7 @@ _GREEDY = f"""k as ({KEYWORD_SQL}), t as ({_KEY_TOPICS}),
 
 
 def key_topics(spark, d):
-    words = (
-        D.table(spark, d, "part")
-        .filter("p_partkey % 23 = 0")
-        .select((F.col("p_size") - 1).alias("topic"), F.explode(F.split("p_name", " ")).alias("w"))
-    )
+    words = D.table(spark, d, "part").select(F.expr(_TOPIC_ID).alias("topic"), F.explode(F.split("p_name", " ")).alias("w"))
     return words.groupBy("topic").agg(F.array_sort(F.collect_set("w")).alias("words"))
 
 
@@ -145,22 +143,21 @@ def t11(spark, d):
 
 
 _DOCS_CAT = f"""{_GREEDY}, dc as (
-   select p_partkey, p_size - 1 as topic, case when contains(lower(p_name), 'gear') then 'E' when contains(lower(p_name), 'red widget') then 'A' else category end as category
-   from part left join cat on p_size - 1 = topic)"""
+   select p_partkey, {_TOPIC_ID} as topic, case when contains(lower(p_name), 'gear') then 'E' when contains(lower(p_name), 'red widget') then 'A' else category end as category
+   from part left join cat on {_TOPIC_ID} = topic)"""
 _RULES = (("red widget", "A"), ("gear", "E"))
 
 
 @query("t12_categorize_documents", f"with {_DOCS_CAT} select * from dc")
 def t12(spark, d):
-    docs = D.table(spark, d, "part").select("p_partkey", (F.col("p_size") - 1).alias("topic"), "p_name")
+    docs = D.table(spark, d, "part").select("p_partkey", F.expr(_TOPIC_ID).alias("topic"), "p_name")
     topics = T.assign_topic_category(key_topics(spark, d), keywords(spark, d))
     return T.categorize_documents(docs, topics, "p_name", rules=_RULES).drop("p_name")
 
 
-# topic runs: run r groups parts by size modulo r; words are the sorted words of a group
-_RUNS = "range(3, 12)"
-_RUN_TOPICS = """select run, topic, list(distinct w order by w) as words from (
-   select r.range as run, p_size % r.range - 1 as topic, unnest(string_split(p_name, ' ')) as w from part, range(3, 12) r where p_partkey % 97 < 2) group by run, topic"""
+# topic runs: run r folds the topic ids modulo 100 r (ids from -1 up)
+_RUN_TOPICS = f"""select run, topic, list(distinct w order by w) as words from (
+   select r.range as run, ({_TOPIC_ID} + 1) % (r.range * 100) - 1 as topic, unnest(string_split(p_name, ' ')) as w from part, range(3, 12) r) group by run, topic"""
 _RUN_GREEDY = (
     _GREEDY.replace(f"t as ({_KEY_TOPICS})", f"t as ({_RUN_TOPICS})")
     .replace("select topic, words, 1 as i", "select run, topic, words, 1 as i")
@@ -171,7 +168,7 @@ _RUN_GREEDY = (
     .replace("cat as (select topic,", "cat as (select run, topic,")
     .replace("left join hit using (topic))", "left join hit using (run, topic))")
 )
-_RUN_METRICS = f"""{_RUN_GREEDY}, dr as (select r.range as run, p_size % r.range - 1 as topic, p_name from part, range(3, 12) r),
+_RUN_METRICS = f"""{_RUN_GREEDY}, dr as (select r.range as run, ({_TOPIC_ID} + 1) % (r.range * 100) - 1 as topic, p_name from part, range(3, 12) r),
   dc as (select run, case when contains(p_name, 'gear') then 'E' when contains(p_name, 'red widget') then 'A' else category end as category from dr left join cat using (run, topic)),
   mt as (select run, count(*) filter (category <> '-1') / count(*)::double as ratio_topic_unique, count(*) as num_topics from cat group by run),
   md as (select run, count(*) filter (category is not null and category <> '-1') / count(*)::double as ratio_products_categorized from dc group by run),
@@ -182,11 +179,11 @@ _RUN_METRICS = f"""{_RUN_GREEDY}, dr as (select r.range as run, p_size % r.range
 def run_tables(spark, d):
     """(topic words, documents) under nine groupings of the parts."""
     runs = F.explode(F.sequence(F.lit(3), F.lit(11))).alias("run")
-    part = D.table(spark, d, "part").select("p_partkey", "p_name", "p_size", runs)
-    part = part.withColumn("topic", F.col("p_size") % F.col("run") - 1).withColumn(
+    part = D.table(spark, d, "part").select("p_name", F.expr(_TOPIC_ID).alias("t"), runs)
+    part = part.withColumn("topic", (F.col("t") + 1) % (F.col("run") * 100) - 1).withColumn(
         "topic_set_id", F.concat(F.lit("neighbors_"), F.col("run"))
     )
-    words = part.filter("p_partkey % 97 < 2").select("topic_set_id", "topic", F.explode(F.split("p_name", " ")).alias("w"))
+    words = part.select("topic_set_id", "topic", F.explode(F.split("p_name", " ")).alias("w"))
     topics = words.groupBy("topic_set_id", "topic").agg(F.array_sort(F.collect_set("w")).alias("words"))
     return topics, part.select("topic_set_id", "topic", "p_name")
 

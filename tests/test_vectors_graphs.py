@@ -216,3 +216,14 @@ def test_encoders(spark):
 def test_nearest_centroid_ties_to_lowest_index(spark):
     got = N.nearest_centroid(frame(spark, np.array([[0.0], [2.0]])), [[1.0], [-1.0], [2.5]]).collect()
     assert [(r["cluster"], r["distance"]) for r in got] == [(0, 1.0), (2, 0.5)]
+
+
+def test_rbf_sums_with_soft_labels(spark):
+    x, y = blobs(7, 20, 0), blobs(8, 30, 10)
+    rng = np.random.default_rng(0)
+    soft = rng.random((len(y), 2))
+    rows = [(i, [float(v) for v in r], [float(s) for s in soft[i]]) for i, r in enumerate(y)]
+    train = spark.createDataFrame(rows, "row_id long, features array<double>, p array<double>")
+    want = np.exp(-0.5 * ((x[:, None] - y[None]) ** 2).sum(-1)) @ soft
+    for r in N.rbf_class_sums(frame(spark, x), train, 0.5, "p", 2, **TILES).collect():
+        np.testing.assert_allclose(r["sums"], want[r["id"]], rtol=1e-9, atol=1e-300)
