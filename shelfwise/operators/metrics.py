@@ -143,7 +143,7 @@ def _running(counts: DataFrame, slices: int) -> DataFrame:
     counts = materialize(counts, "scores")
     marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     edges = counts.groupBy("class").agg(
-        F.percentile_approx("score", marks, 20 * slices).alias("edges"), F.sum("pos").alias("P"), F.sum("neg").alias("N")
+        F.percentile_approx("score", marks, 10 * slices).alias("edges"), F.sum("pos").alias("P"), F.sum("neg").alias("N")
     )
     cut = counts.join(edges, "class").withColumn(
         "slice", F.size(F.filter("edges", lambda e: e > F.col("score")))
@@ -163,7 +163,7 @@ def _running(counts: DataFrame, slices: int) -> DataFrame:
     )
 
 
-def roc_curve(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 64) -> DataFrame:
+def roc_curve(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 256) -> DataFrame:
     """(class, threshold, fpr, tpr) at every distinct score, per class and
     'micro', from (0, 0) at threshold infinity."""
     return _curve(_running(score_counts(df, n_classes, y, p), slices))
@@ -234,7 +234,7 @@ def curve_area(curve: DataFrame, slices: int = 256) -> DataFrame:
     return step.agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("auc"))
 
 
-def class_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 64) -> DataFrame:
+def class_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 256) -> DataFrame:
     """(class, auc) per class, 'micro' and 'mean' (unweighted class mean)."""
     return _areas(_running(score_counts(df, n_classes, y, p), slices))
 
@@ -247,7 +247,7 @@ def _areas(run: DataFrame) -> DataFrame:
     return per.unionByName(mean)
 
 
-def roc_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 256) -> DataFrame:
     """``class_auc`` plus 'macro', the area of the averaged curve."""
     run = materialize(_running(score_counts(df, n_classes, y, p), slices), "running")
     macro = curve_area(roc_macro(_curve(run), n_classes))

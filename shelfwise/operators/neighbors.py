@@ -23,7 +23,7 @@ from shelfwise.functions.hashing import hash_order
 from shelfwise.functions.vectors import as_doubles, l2_normalize, squared_distance
 from shelfwise.session import materialize
 
-MAX_PIVOTS = 512
+MAX_PIVOTS = 2_048
 ROWS_PER_PIVOT = 4_000
 BLOCK_ROWS = 4_000
 _SLACK = 1e-7

@@ -1,9 +1,9 @@
 """Exact quantiles without collecting a column anywhere.
 
 A sketch brackets each wanted order statistic, one pass counts the rows below
-the bracket, and only rows inside the bracket are counted by value and ranked.
-State per task is bounded by the sketch; a value repeated over any share of
-the rows is one counted row.
+the bracket, and only rows inside the bracket (a few in ten thousand) are
+counted by value and ranked, in even value slices. State per task is bounded by
+the sketch; a value repeated over any share of the rows is one counted row.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+SLICES = 256
 
 
 def _name(i: int) -> str:
@@ -93,7 +94,12 @@ def exact_quantiles(
             ok = ok & (F.col(c) >= lo)
         if highs[i] < 1.0:
             ok = ok & (F.col(c) <= hi)
-        return F.when(ok, F.struct(F.lit(c).alias("column"), F.lit(i).alias("i"), F.col(c).alias("v")))
+        width = hi - lo
+        spot = F.when(width > 0, F.floor((F.col(c) - lo) / width * SLICES)).otherwise(0)
+        part = F.greatest(F.lit(0), F.least(spot, F.lit(SLICES - 1))).cast("int")
+        return F.when(
+            ok, F.struct(F.lit(c).alias("column"), F.lit(i).alias("i"), part.alias("part"), F.col(c).alias("v"))
+        )
 
     cells = F.filter(
         F.array(*[inside(c, i) for c in cols for i in range(n)]), lambda x: x.isNotNull()
@@ -101,12 +107,17 @@ def exact_quantiles(
     band = (
         marked.select(*by, F.explode(cells).alias("x"))
         .select(*by, "x.*")
-        .groupBy(*by, "column", "i", "v")
+        .groupBy(*by, "column", "i", "part", "v")
         .agg(F.count("*").alias("m"))
     )
     keys = by + ["column", "i"]
-    order = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = band.withColumn("upto", F.sum("m").over(order))
+    # running counts inside even value slices of the bracket, plus slice offsets
+    earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = band.groupBy(*keys, "part").agg(F.sum("m").alias("s"))
+    offsets = offsets.select(*keys, "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("off"))
+    order = W.partitionBy(*keys, "part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = band.withColumn("local", F.sum("m").over(order)).join(offsets, keys + ["part"])
+    ranked = ranked.withColumn("upto", F.col("local") + F.col("off"))
     # wanted zero-based position h = (n - 1) p; interpolate between floor and ceil
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
     placed = (

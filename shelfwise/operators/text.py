@@ -71,8 +71,9 @@ class TfidfModel:
         self.terms, self.dfs, self.n_docs = list(terms), list(dfs), n_docs
 
     @classmethod
-    def fit(cls, df: DataFrame, text: str, key: str, min_df=0.005, max_df=0.99, max_features: int = 4096):
-        """The vocabulary is held by the driver, so its width is bounded."""
+    def fit(cls, df: DataFrame, text: str, key: str, min_df=0.005, max_df=0.99, max_features: int | None = None):
+        """The driver holds the vocabulary. ``min_df`` bounds it: at most (mean
+        distinct terms per text) / ``min_df`` terms can be that frequent."""
         n = df.count()
         vocab = document_frequency_filter(term_counts(df, text, key), n, min_df, max_df, max_features)
         rows = vocab.orderBy("term").collect()
