@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions.scalars import split_words
 from shelfwise.operators.quantiles import exact_quantiles
+from shelfwise.session import measured
 
 
 def sum_or_zero(c) -> Column:
@@ -190,6 +191,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     quart = quart.select(
         *by, F.col("q0").alias("__q1"), F.col("q1").alias("__q2"), F.col("q2").alias("__q3")
     )
+    quart = measured(quart, "quartiles")
     data = df.select(*by, F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
     if by:
         rows = data.join(quart, by)

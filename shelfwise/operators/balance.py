@@ -9,7 +9,7 @@ from shelfwise.functions.hashing import hash_int, hash_uniform
 from shelfwise.operators.neighbors import knn_join
 from shelfwise.operators.relational import union_all
 from shelfwise.operators.sampling import hash_position
-from shelfwise.session import materialize
+from shelfwise.session import materialize, measured
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -23,6 +23,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Row weights that give every class the same total."""
     w = class_weights(df, label).select(F.col(label).alias("__label"), F.col("weight").alias(out))
+    w = measured(w, "weights")
     return df.join(w, F.col(label) == F.col("__label"), "left").drop("__label")
 
 

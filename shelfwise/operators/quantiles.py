@@ -14,14 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise.session import measured
+
 ACCURACY = 10_000
 SLICES = 256
 
 
-def _name(i: int) -> str:
-    return f"q{i}"
-
-
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -38,77 +36,56 @@ def exact_quantiles(
     slack = 4.0 / accuracy
     lows = [max(p - slack, 0.0) for p in probs]
     highs = [min(p + slack, 1.0) for p in probs]
-    data = df.select(
-        *by,
-        *[
-            F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
-            for c in cols
-        ],
-    )
-
-    def sketch(c: str) -> Column:
-        marks = F.array(*[F.lit(x) for x in lows + highs])
-        return F.percentile_approx(c, marks, accuracy).alias(c)
-
-    brackets = data.groupBy(*by).agg(*[sketch(c) for c in cols])
-    brackets = brackets.withColumnsRenamed({c: f"__b_{c}" for c in cols})
-    if by:
-        marked = data.join(brackets, by)
-    else:
-        struct = F.struct(*[F.col(f"__b_{c}") for c in cols])
-        marked = data.withColumn("__b", brackets.select(struct).scalar()).select(
-            *cols, *[F.col(f"__b.__b_{c}").alias(f"__b_{c}") for c in cols]
-        )
-
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
+    tall = df.select(*by, F.inline(F.array(*cells))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    group = by + ["column"]
     n = len(probs)
+    marks = F.array(*[F.lit(x) for x in lows + highs])
 
-    def outside(c: str, i: int) -> Column:
+    def sketch(c: str) -> Column:
+        v = F.col(c).cast("double")
+        b = F.percentile_approx(F.when(~F.isnan(v), v), marks, accuracy)
+        return F.struct(F.lit(c).alias("column"), b.alias("b"))
+
+    sketches = df.groupBy(*by).agg(F.array(*[sketch(c) for c in cols]).alias("__s"))
+    brackets = measured(sketches.select(*by, F.inline("__s")).filter("b is not null"), "brackets")
+    marked = tall.join(brackets, group)
+    v = F.col("v")
+    none = F.lit(None).cast("double")
+
+    def edges(i: int) -> tuple[Column | None, Column | None]:
+        """Lower and upper bracket edge; None where the bracket is open."""
+        b = F.col("b")
+        return (b[i] if lows[i] > 0.0 else None), (b[n + i] if highs[i] < 1.0 else None)
+
+    def outside(i: int) -> Column:
         """Rows below the bracket and the values next to it on either side; an
         interpolated position can fall one rank outside the bracket."""
-        v, lo, hi = F.col(c), F.col(f"__b_{c}")[i], F.col(f"__b_{c}")[n + i]
-        none = F.lit(None).cast("double")
-        open_low, open_high = lows[i] == 0.0, highs[i] == 1.0
+        lo, hi = edges(i)
         return F.struct(
-            (F.lit(0).cast("bigint") if open_low else F.count_if(v < lo)).alias("below"),
-            (none if open_low else F.max(F.when(v < lo, v))).alias("prev"),
-            (none if open_high else F.min(F.when(v > hi, v))).alias("next"),
+            (F.lit(0).cast("bigint") if lo is None else F.count_if(v < lo)).alias("below"),
+            (none if lo is None else F.max(F.when(v < lo, v))).alias("prev"),
+            (none if hi is None else F.min(F.when(v > hi, v))).alias("next"),
         )
 
-    totals = marked.groupBy(*by).agg(
-        *[
-            F.struct(
-                F.count(c).alias("n"), F.array(*[outside(c, i) for i in range(n)]).alias("out")
-            ).alias(c)
-            for c in cols
-        ]
-    )
-    totals = totals.select(
-        *by,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("t")) for c in cols])).alias("x"),
-    ).select(*by, "x.column", "x.t.n", F.posexplode("x.t.out").alias("i", "o")).select(*by, "column", "n", "i", "o.*")
-
-    def inside(c: str, i: int) -> Column:
-        lo, hi = F.col(f"__b_{c}")[i], F.col(f"__b_{c}")[n + i]
-        ok = F.col(c).isNotNull()
-        if lows[i] > 0.0:
-            ok = ok & (F.col(c) >= lo)
-        if highs[i] < 1.0:
-            ok = ok & (F.col(c) <= hi)
-        width = hi - lo
-        spot = F.when(width > 0, F.floor((F.col(c) - lo) / width * SLICES)).otherwise(0)
+    totals = marked.groupBy(*group).agg(F.count("*").alias("n"), F.array(*[outside(i) for i in range(n)]).alias("out"))
+    totals = totals.select(*group, "n", F.posexplode("out").alias("i", "o")).select(*group, "n", "i", "o.*")
+
+    def inside(i: int) -> Column:
+        lo, hi = edges(i)
+        ok = F.lit(True)
+        if lo is not None:
+            ok = ok & (v >= lo)
+        if hi is not None:
+            ok = ok & (v <= hi)
+        low, width = F.col("b")[i], F.col("b")[n + i] - F.col("b")[i]
+        spot = F.when(width > 0, F.floor((v - low) / width * SLICES)).otherwise(0)
         part = F.greatest(F.lit(0), F.least(spot, F.lit(SLICES - 1))).cast("int")
-        return F.when(
-            ok, F.struct(F.lit(c).alias("column"), F.lit(i).alias("i"), part.alias("part"), F.col(c).alias("v"))
-        )
+        return F.when(ok, F.struct(F.lit(i).alias("i"), part.alias("part")))
 
-    cells = F.filter(
-        F.array(*[inside(c, i) for c in cols for i in range(n)]), lambda x: x.isNotNull()
-    )
+    hits = F.filter(F.array(*[inside(i) for i in range(n)]), lambda x: x.isNotNull())
     band = (
-        marked.select(*by, F.explode(cells).alias("x"))
-        .select(*by, "x.*")
-        .groupBy(*by, "column", "i", "part", "v")
-        .agg(F.count("*").alias("m"))
+        marked.select(*group, "v", F.inline(hits)).groupBy(*group, "i", "part", "v").agg(F.count("*").alias("m"))
     )
     keys = by + ["column", "i"]
     # running counts inside even value slices of the bracket, plus slice offsets
@@ -148,5 +125,5 @@ def exact_quantiles(
     return (
         picked.withColumn("value", value)
         .groupBy(*by, "column")
-        .agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(_name(i)) for i in range(n)])
+        .agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"q{i}") for i in range(n)])
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions.hashing import hash_int, hash_order, hash_uniform
+from shelfwise.session import measured
 
 UNKNOWN = "-1"
 
@@ -35,6 +36,7 @@ def hash_position(
     sizes = keyed.groupBy(*by, "__slice").agg(F.count("*").alias("__m"))
     before = W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*by, "__slice", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__off"))
+    offsets = measured(offsets, "offsets")
     within = W.partitionBy(*by, "__slice").orderBy("__h", key)
     ranked = keyed.withColumn("__rn", F.row_number().over(within))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in by + ["__slice"]]
@@ -91,7 +93,7 @@ def sample_per_group(
     sizes = kept.groupBy(group).agg(F.count("*").alias("__size"))
     short = F.col("__size") < n
     message = F.lit(f"a group has fewer than {n} rows")
-    checked = sizes.filter(F.when(short, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    checked = measured(sizes, "sizes").filter(F.when(short, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     return picked.join(checked.select(group), group, "left_semi")
 
 
@@ -148,7 +150,7 @@ def _share(size: Column, frac: float) -> Column:
 
 def _with_class_size(df: DataFrame, label: str, seed, key: str) -> DataFrame:
     placed = hash_position(df, key, seed, [label])
-    sizes = df.groupBy(label).agg(F.count("*").alias("__size"))
+    sizes = measured(df.groupBy(label).agg(F.count("*").alias("__size")), "sizes")
     return placed.join(
         sizes.withColumnRenamed(label, "__label"), F.col(label).eqNullSafe(F.col("__label"))
     ).drop("__label")

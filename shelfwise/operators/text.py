@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.scalars import tokenize
+from shelfwise.session import measured
 
 
 def term_counts(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -52,12 +53,12 @@ def tfidf_terms(
     max_features: int | None = None,
 ) -> DataFrame:
     """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), rows of unit
-    length. A frequent term is one vocabulary row, so its postings are only ever
-    split by document."""
+    length. The vocabulary is written first, so a join that is measured to be
+    small broadcasts it and postings of a frequent term never meet."""
     n = df.agg(F.count("*")).scalar()
     counts = term_counts(df, text, key)
     vocab = document_frequency_filter(counts, n, min_df, max_df, max_features)
-    idf = vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = measured(vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
     raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
     # a window over one document's distinct terms, which came from one row
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalars import tokenize
 from shelfwise.operators import relational as R
 from shelfwise.operators.sampling import leaderboard
-from shelfwise.session import materialize
+from shelfwise.session import materialize, measured
 
 UNKNOWN = "-1"
 
@@ -36,8 +36,8 @@ def topic_term_counts(docs: DataFrame, text: str, topic: str = "topic") -> DataF
 def topic_weights(docs: DataFrame, text: str, topic: str = "topic") -> DataFrame:
     """Class-based TF-IDF: share of the term in its topic times ln(1 + A / f),
     f the term's total and A the mean number of words per topic."""
-    counts = topic_term_counts(docs, text, topic)
-    sizes = counts.groupBy(topic).agg(F.sum("tf").alias("size"))
+    counts = materialize(topic_term_counts(docs, text, topic), "topicterms")
+    sizes = measured(counts.groupBy(topic).agg(F.sum("tf").alias("size")), "topicsizes")
     mean_size = sizes.agg(F.avg("size")).scalar()
     totals = counts.groupBy("term").agg(F.sum("tf").alias("f"))
     share = F.col("tf") / F.col("size")

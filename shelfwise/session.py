@@ -58,3 +58,13 @@ def materialize(df: DataFrame, tag: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, tag: str = "small") -> DataFrame:
+    """Write a table that is expected to be small, so its size is a fact.
+
+    The planner reads the size from the files: below the broadcast threshold a
+    join with a large table needs no shuffle of the large side, above it the
+    join stays a sort-merge join. Nothing is forced.
+    """
+    return materialize(df, tag)
