@@ -72,3 +72,16 @@ def measured(df: DataFrame, tag: str = "small") -> DataFrame:
     join stays a sort-merge join. Nothing is forced.
     """
     return materialize(df, tag)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the scratch table that ``df`` reads, once nothing reads it again."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if "/shelfwise/" in folder.toString():
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        folder.getFileSystem(conf).delete(folder, True)
