@@ -160,7 +160,12 @@ def by_block(block: np.ndarray, **arrays: np.ndarray) -> Iterator[dict]:
     """Rows grouped by block: the block and the bytes of each array's part."""
     order = np.argsort(block, kind="stable")
     s = block[order]
-    cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, int)
-    for a, b in zip(cuts, np.r_[cuts[1:], len(s)], strict=True):
-        rows = order[a:b]
-        yield {"block": int(s[a])} | {k: v[rows].tobytes() for k, v in arrays.items()}
+    for a, b in runs(s):
+        yield {"block": int(s[a])} | {k: v[order[a:b]].tobytes() for k, v in arrays.items()}
+
+
+def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each stretch of equal values; none for an empty array."""
+    if len(x):
+        cuts = np.flatnonzero(x[1:] != x[:-1]) + 1
+        yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)], strict=True)

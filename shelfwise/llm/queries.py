@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, quality_rules, secret_scan, source_mixing, url_filter
+from shelfwise.llm import byte_bpe, ngram_join, quality_rules, secret_scan, source_mixing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,6 +138,11 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op9_ngram_join")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, d, "documents"))
+
+
 URL_SQL = """
 with u as (select page_id, url, regexp_extract(url, '(?s)^.*?://(.*)$', 1) rest, coalesce(contains(url, '://'), false) ok from pages),
 s as (select page_id, case when ok then translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1),
