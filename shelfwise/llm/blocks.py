@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +61,12 @@ def cut_blocks(
     tokens: Callable[[str], Iterable[bytes]],
     weigh: Callable[[list], np.ndarray] | None,
     block_chars: int,
-    more: Callable[[list, np.ndarray, np.ndarray, np.ndarray], Iterator[dict]] | None = None,
+    more: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], Iterator[dict]] | None = None,
 ) -> Iterator[pa.RecordBatch]:
     """Rows of the block table from batches with columns id and text.
 
     ``weigh`` marks, from their ids, documents whose tokens count in ``weight``;
-    ``more`` may add columns of its own from (words, sequence, lengths, marks).
+    ``more`` may add columns of its own from (hashes of the words, sequence, lengths, marks).
     """
 
     def rows(n: int, **columns) -> pa.RecordBatch:
@@ -82,7 +83,7 @@ def cut_blocks(
         nonlocal index, seqs, ids, lens, marks, chars, made
         if not ids:
             return
-        block = (part << 32) | made
+        block = (part << 11) | made  # below 2^31 with up to 2,048 blocks a task
         seq = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
         uses = np.bincount(seq, minlength=len(index))
         rank = np.empty(len(index), np.int64)
@@ -93,14 +94,17 @@ def cut_blocks(
         seq = rank[seq].astype(np.uint32)
         size, mark = np.array(lens, np.int64), np.array(marks, bool)
         weight = np.bincount(seq[np.repeat(mark, size)], minlength=len(words))
-        yield rows(1, block=[block], ids=[ids], lens=[size], marks=[mark], blob=[pack_seq(seq)])
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).tobytes() if more else b""
+        yield rows(
+            1, block=[block], ids=[ids], lens=[size], marks=[mark], blob=[pack_seq(seq)], dictionary=[keys]
+        )
         for a in range(0, len(words), ROWS):
             chunk = words[a : a + ROWS]
             k = len(chunk)
             yield rows(
                 k, block=np.full(k, block), local=np.arange(a, a + k), word=chunk, weight=weight[a : a + k]
             )
-        for x in more(words, seq, size, mark) if more else ():
+        for x in more(keys, seq, size, mark) if more else ():
             yield rows(len(next(iter(x.values()))), **x)
         made += 1
         index, seqs, ids, lens, marks, chars = Index(), [], [], [], [], 0
@@ -137,31 +141,76 @@ def block_table(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = (
-        f"block long, ids array<{kind}>, lens array<long>, marks array<boolean>, blob binary,"
-        " local long, word binary, weight long, bucket long, keys binary, counts binary"
+        f"block long, ids array<{kind}>, lens array<long>, marks array<boolean>, blob binary, dictionary binary,"
+        " local int, word binary, weight long, bucket long, keys binary, counts binary"
     )
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     cut = rows.mapInArrow(lambda b: cut_blocks(b, arrow, tokens, weigh, block_chars, more), schema)
     name = f"{tag}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut.write.bucketBy(buckets, "block").option("path", scratch_path(spark, tag)).format("parquet").saveAsTable(name)
+    out = cut.write.bucketBy(buckets, "block").option("path", scratch_path(spark, tag)).option("compression", "zstd")
+    out.format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
 def dictionary(table: DataFrame) -> DataFrame:
-    return table.where("word is not null").select("block", "local", "word", "weight")
+    """One row per block and distinct token; ``at`` is block * 2^32 + position."""
+    at = F.shiftleft("block", 32) + F.col("local")
+    return table.where("word is not null").select("word", at.alias("at"), "weight")
 
 
 def documents(table: DataFrame) -> DataFrame:
     return table.where("blob is not null").select("block", "ids", "lens", "marks", "blob")
 
 
-def by_block(block: np.ndarray, **arrays: np.ndarray) -> Iterator[dict]:
-    """Rows grouped by block: the block and the bytes of each array's part."""
-    order = np.argsort(block, kind="stable")
-    s = block[order]
-    for a, b in runs(s):
-        yield {"block": int(s[a])} | {k: v[order[a:b]].tobytes() for k, v in arrays.items()}
+def pack_answers(at: np.ndarray, counts: np.ndarray, values: np.ndarray) -> Iterator[dict]:
+    """What was looked up for dictionary rows, one row per block.
+
+    ``values`` holds ``counts`` numbers for each row of ``at``. Positions go as
+    differences; every array takes the narrowest type that holds it.
+    """
+    order = np.argsort(at, kind="stable")
+    starts = (np.cumsum(counts) - counts)[order]
+    at, counts = at[order], counts[order]
+    for a, b in runs(at >> 32):
+        local = at[a:b] & 0xFFFFFFFF
+        own = values[spread(starts[a:b], counts[a:b])]
+        parts = (np.diff(local, prepend=0), counts[a:b], own)
+        yield {"block": int(at[a] >> 32)} | dict(zip(ANSWER, map(narrow, parts), strict=True))
+
+
+def unpack_answers(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, count) by position in the dictionary, and all values, of a block."""
+    local = [np.cumsum(widen(x)) for x in rows["local"]]
+    counts = np.concatenate([widen(x) for x in rows["n"]] or [np.zeros(0, np.int64)])
+    values = np.concatenate([widen(x) for x in rows["values"]] or [np.zeros(0, np.int64)])
+    at = np.concatenate(local or [np.zeros(0, np.int64)])
+    start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    start[at], size[at] = np.cumsum(counts) - counts, counts
+    return start, size, values
+
+
+ANSWER = ("local", "n", "values")
+ANSWER_SCHEMA = "block long, local binary, n binary, values binary"
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers with the width that the largest needs in front."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w) or w == 8)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def widen(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the ranges [start, start + size), one after the other."""
+    sizes = sizes.astype(np.int64)
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
 def runs(x: np.ndarray) -> Iterator[tuple[int, int]]:

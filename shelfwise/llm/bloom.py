@@ -28,15 +28,13 @@ class Slices:
     size: np.ndarray  # bits of each slice
     hashes: int
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.holds(np.array([key], np.uint64))[0])
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        """Membership of uint64 keys: never false for a member."""
+    def holds(self, keys: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+        """Membership of uint64 keys (in slice ``part``): never false for a member."""
         keys = keys.astype(np.uint64, copy=False)
         if not len(self.size):
             return np.zeros(len(keys), bool)
-        part = (keys % np.uint64(len(self.size))).astype(np.int64)
+        if part is None:
+            part = (keys % np.uint64(len(self.size))).astype(np.int64)
         at, size = self.start[part], self.size[part].astype(np.uint64)
         out = size > 0
         size = np.maximum(size, np.uint64(1))

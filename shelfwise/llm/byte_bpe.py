@@ -53,12 +53,13 @@ def _lazily(cut, text: str) -> Iterator[bytes]:
 
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-    pattern: str = public_tokenizers.PATTERN, block_chars: int = blocks.BLOCK_CHARS,
+    pattern: str = public_tokenizers.PATTERN, block_chars: int = blocks.BLOCK_CHARS, decoded: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (little-endian u32, binary).
 
-    The vocabulary (about 1 MB) is broadcast; nothing else is. Equal words meet
-    in one place once per block.
+    ``decoded`` adds the bytes that the ids stand for, as :func:`decode` would,
+    in the same worker. The vocabulary (about 1 MB) is broadcast; nothing else
+    is. Equal words meet in one place once per block.
 
     Defined cases: a null text counts as empty and has no ids; ids of documents
     may be null or repeat, each row is encoded by itself; other columns are
@@ -74,59 +75,40 @@ def encode(
         enc = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
         last, ids = None, []
         for b in batches:
-            flat, counts = [], np.empty(len(b), np.uint32)
+            flat, counts = [], np.empty(len(b), np.int64)
             for i, w in enumerate(b["word"]):
                 if w != last:  # sorted: each word is encoded once
                     last, ids = w, enc.encode_ordinary(w.decode())
-                flat.append(ids)
+                flat += ids
                 counts[i] = len(ids)
-            ids_flat = np.fromiter((t for x in flat for t in x), np.uint32, int(counts.sum()))
-            starts = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
-            block = b["block"].to_numpy()
-            out = []
-            for row in blocks.by_block(block, local=b["local"].to_numpy().astype(np.uint32), at=np.arange(len(b))):
-                at = np.frombuffer(row.pop("at"), np.int64)
-                n = counts[at]
-                row["n"] = n.tobytes()
-                row["ids"] = ids_flat[spread(starts[at], n)].tobytes()
-                out.append(row)
-            yield pd.DataFrame(out, columns=["block", "local", "n", "ids"])
-
-    words = blocks.dictionary(table).select("word", "block", "local").repartition("word").sortWithinPartitions("word")
-    known = words.mapInPandas(encode_words, "block long, local binary, n binary, ids binary")
+            rows = blocks.pack_answers(b["at"].to_numpy(), counts, np.array(flat, np.int64))
+            yield pd.DataFrame(list(rows), columns=["block", *blocks.ANSWER])
+
+    words = blocks.dictionary(table).select("word", "at").repartition("word").sortWithinPartitions("word")
+    known = words.mapInPandas(encode_words, blocks.ANSWER_SCHEMA)
 
     def assemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        local = np.frombuffer(b"".join(right["local"]), np.uint32)
-        n = np.frombuffer(b"".join(right["n"]), np.uint32).astype(np.int64)
-        flat = np.frombuffer(b"".join(right["ids"]), np.uint32)
-        starts, sizes = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
-        starts[local], sizes[local] = np.r_[0, np.cumsum(n)[:-1]] if len(n) else n, n
+        starts, sizes, flat = blocks.unpack_answers(right)
+        flat = flat.astype("<u4")
+        back = token_bytes(ranks.value) if decoded else None
         rows = []
         for ids, lens, blob in zip(left["ids"], left["lens"], left["blob"], strict=True):
             seq, at = blocks.unpack_seq(blob), 0
             for i, k in zip(ids, lens, strict=True):
-                part = seq[at : at + k]
+                parts = [seq[a : min(a + CHUNK, at + k)] for a in range(at, at + k, CHUNK)]
                 at += k
-                out = flat[spread(starts[part], sizes[part])]
-                rows.append((i, len(out), out.astype("<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids"])
+                out = b"".join(flat[blocks.spread(starts[x], sizes[x])].tobytes() for x in parts)
+                rows.append((i, len(out) // 4, out) + ((to_bytes(out, back),) if decoded else ()))
+        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded)
 
     return (
         blocks.documents(table)
         .groupBy("block")
         .cogroup(known.groupBy("block"))
-        .applyInPandas(assemble, f"doc_id {kind}, n_tokens long, ids binary")
+        .applyInPandas(assemble, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
     )
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices of the ranges [start, start + size), one after the other."""
-    sizes = sizes.astype(np.int64)
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The token-byte table: all bytes, and start and size by id (-1: no token)."""
     top = max(ranks.values()) + 1
@@ -149,21 +131,21 @@ def decode(
     table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, starts, sizes = table.value
-
-        def one(blob: bytes | None) -> bytes | None:
-            if blob is None:
-                return None
-            ids = np.frombuffer(blob, "<u4")
-            if len(ids) and (ids.max() >= len(sizes) or sizes[ids].min() < 0):
-                raise ValueError("an id without a token")
-            return b"".join(
-                raw[spread(starts[x], sizes[x])].tobytes() for x in np.split(ids, range(CHUNK, len(ids), CHUNK))
-            )
-
         for b in batches:
-            b[out] = [one(x) for x in b[ids_col]]
+            b[out] = [to_bytes(x, table.value) for x in b[ids_col]]
             yield b
 
     schema = encoded.withColumn(out, F.lit(None).cast("binary")).schema
     return encoded.mapInPandas(run, schema)
+
+
+def to_bytes(blob: bytes | None, back: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes | None:
+    """The bytes of little-endian ids, through the token-byte table."""
+    if blob is None:
+        return None
+    raw, starts, sizes = back
+    ids = np.frombuffer(blob, "<u4")
+    if len(ids) and (ids.max() >= len(sizes) or sizes[ids].min() < 0):
+        raise ValueError("an id without a token")
+    parts = (ids[a : a + CHUNK] for a in range(0, len(ids), CHUNK))
+    return b"".join(raw[blocks.spread(starts[x], sizes[x])].tobytes() for x in parts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, ngram_join, quality_rules, secret_scan, source_mixing, url_filter
+from shelfwise.llm import byte_bpe, lm_scoring, ngram_join, quality_rules, secret_scan, source_mixing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,9 +106,14 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return lm_scoring.score(table(spark, d, "documents"))
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, d: str) -> DataFrame:
-    coded = byte_bpe.decode(byte_bpe.encode(table(spark, d, "documents")))
+    coded = byte_bpe.encode(table(spark, d, "documents"), decoded=True)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
