@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, lm_scoring, ngram_join, quality_rules, secret_scan, source_mixing, url_filter
+from shelfwise.llm import (
+    byte_bpe,
+    embedding_dedup,
+    lm_scoring,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    source_mixing,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +117,12 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    rated = quality_classifier.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+    return rated.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op3_lm_scoring")
 def op3(spark: SparkSession, d: str) -> DataFrame:
     return lm_scoring.score(table(spark, d, "documents"))
@@ -143,6 +160,19 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("op7_warc")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, d, "pages"))
+    return warc.read_archives(archives, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op8_embedding_dedup")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
 @query("op9_ngram_join")
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, d, "documents"))
