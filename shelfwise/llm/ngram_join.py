@@ -427,3 +427,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = rows.where("n > 0").join(least, "root").select("id", "n", "component_id")
     none = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return some.union(none).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that reach a smaller id by links.
+
+    Rows of one id stay or go together: an id goes if none of its rows is the
+    smallest of its component. Documents without shingles stay.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col), "ngram-components")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.groupBy("doc_id").agg(F.max(first).alias("stays")).where("not stays").select("doc_id")
+    gone = materialize(gone, "ngram-gone").toDF("_gone")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -110,18 +110,15 @@ def bin_floor(b: Column) -> Column:
 def fences(stats: DataFrame, min_docs: int = MIN_DOCS, fence: int = FENCE) -> DataFrame:
     """One row per (lang, source) of ``stats`` with low and high fences.
 
-    ``stats`` holds lang, source and the metric columns of documents that passed
-    the base rules. Quartiles come from the sketch of the pair if it holds
+    ``stats`` holds lang, source, the metric columns and base_failed; documents
+    that failed the base rules do not count. Quartiles come from the sketch of the pair if it holds
     ``min_docs`` documents, else of the language, else of the corpus.
     """
-    bins = stats.select(
-        "lang",
-        "source",
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("metric"), sketch_bin(F.col(m)).alias("bin")) for m in OWN])
-        ).alias("b"),
-    ).select("lang", "source", "b.*")
-    pair = bins.groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), sketch_bin(F.col(m)).alias("bin")) for m in OWN])
+    bins = stats.select("lang", "source", "base_failed", F.explode(entries).alias("b"))
+    # counted, not filtered: a filter would be pushed below the text counts and make them again
+    n = F.sum(F.when(F.col("base_failed"), F.lit(0)).otherwise(F.lit(1))).alias("n")
+    pair = bins.groupBy("lang", "source", "b.metric", "b.bin").agg(n).where("n > 0")
     pair = materialize(pair, "quality-sketch")
     by_lang = pair.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n"))
     by_all = by_lang.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
@@ -180,6 +177,31 @@ def _metrics(p: str) -> dict[str, Column]:
     }
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+PREFIX = "_q_"
+
+
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the counts (prefixed), the metrics and base_failed."""
+    n, rep = F.col(PREFIX + "n_words"), F.col(PREFIX + "n_repeat_words")
+    failed = (n < MIN_WORDS) | (rep * 100 > n * MAX_REPEAT_PERCENT)
+    return text_counts(docs, text, PREFIX).withColumns(_metrics(PREFIX) | {"base_failed": failed})
+
+
+def _with_verdict(base: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``base`` joined with the fences of its language and source; adds kept."""
+    cuts = cuts.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = base.join(
+        cuts, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
+    )
+    inside = reduce(
+        lambda a, b: a & b,
+        [F.col(m) <= F.col(f"hi_{m}") for m in OWN] + [F.col(m) >= F.col(f"lo_{m}") for m, low, _ in METRICS if low],
+    )
+    # one expression over both sides: the counts below the join are not made again for a pushed-down filter
+    return joined.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False))))
+
+
 def judge(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     source_col: str = "source", min_docs: int = MIN_DOCS, fence: int = FENCE,
@@ -193,42 +215,32 @@ def judge(
     ignored, whatever their names. The text is read once: the counts are written
     to the shared folder, the sketches and the join use only them.
     """
-    p = "_q_"
     base = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
         F.col(text_col).alias("_text"),
     )
-    base = text_counts(base, "_text", p).drop("_text")
-    n, rep = F.col(p + "n_words"), F.col(p + "n_repeat_words")
-    base = base.withColumns(
-        _metrics(p) | {"base_failed": (n < MIN_WORDS) | (rep * 100 > n * MAX_REPEAT_PERCENT)}
-    )
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    base = base.select(
-        "doc_id", "lang", "source", *[F.col(p + c).alias(c) for c in counts], *OWN, "base_failed"
+    base = _measured(base, "_text").select(
+        "doc_id", "lang", "source", *[F.col(PREFIX + c).alias(c) for c in COUNTS], *OWN, "base_failed"
     )
     base = materialize(base, "quality-counts")
-    cuts = materialize(fences(base.where("not base_failed"), min_docs, fence), "quality-fences")
-    cuts = cuts.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = base.join(
-        cuts, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
-    )
-    inside = reduce(
-        lambda a, b: a & b,
-        [F.col(m) <= F.col(f"hi_{m}") for m in OWN] + [F.col(m) >= F.col(f"lo_{m}") for m, low, _ in METRICS if low],
-    )
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select("doc_id", "lang", "source", *counts, *OWN, "base_failed", kept.alias("kept"))
+    cuts = materialize(fences(base, min_docs, fence), "quality-fences")
+    return _with_verdict(base, cuts).select("doc_id", "lang", "source", *COUNTS, *OWN, "base_failed", "kept")
 
 
-def keep(docs: DataFrame, **cols) -> DataFrame:
+def keep(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    min_docs: int = MIN_DOCS, fence: int = FENCE,
+) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns.
 
-    Rows are told apart by all columns of the contract; a document whose id
-    occurs with several texts is judged row by row, through a row number that is
-    fixed by writing the numbered input once.
+    The counts are made twice, once for the sketches and once beside the rows, so
+    that texts are neither written nor shuffled; each row is judged by itself,
+    whatever its id. The defined cases are those of :func:`judge`.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "quality-rows")
-    verdict = judge(numbered.drop("doc_id").withColumnRenamed("_row", "doc_id"), **cols)
-    good = materialize(verdict.where("kept").select(F.col("doc_id").alias("_row")), "quality-kept")
-    return numbered.join(good, "_row", "left_semi").drop("_row")
+    base = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"),
+        F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"),
+    )
+    stats = _measured(base.drop("row"), "_text").select("lang", "source", *OWN, "base_failed")
+    cuts = materialize(fences(stats, min_docs, fence), "quality-fences")
+    return _with_verdict(_measured(base, "_text"), cuts).where("kept").select("row.*")
