@@ -130,13 +130,18 @@ def links_in_keys(threshold: float):
                 us.append(u[keep])
                 vs.append(v[keep])
         hit = count > 0
-        out = [pd.DataFrame({"node": node[hit], "links": count[hit]})]
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            keep = forest(u, v)
-            out.append(pd.DataFrame({"node": u[keep], "other": v[keep]}))
-        df = pd.concat(out).reindex(columns=["node", "links", "other"])
-        return df.astype({"node": "int64", "links": "Int64", "other": "Int64"})
+        u, v = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (us, vs))
+        keep = forest(u, v)
+        a, b = int(hit.sum()), len(keep)
+        none = lambda x, y: np.r_[np.full(a, x), np.full(b, y)]
+        integers = lambda x, gone: pd.arrays.IntegerArray(x, gone)  # noqa: E731  64-bit ids never pass through floats
+        return pd.DataFrame(
+            {
+                "node": np.r_[node[hit], u[keep]],
+                "links": integers(np.r_[count[hit], np.zeros(b, np.int64)], none(False, True)),
+                "other": integers(np.r_[np.zeros(a, np.int64), v[keep]], none(True, False)),
+            }
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None

@@ -225,7 +225,9 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: boo
                     yield frame(rows)
 
     def frame(rows: list[dict]) -> pd.DataFrame:
-        df = pd.DataFrame(rows, columns=names)
-        return df.assign(page_id=df["page_id"].astype("Int64"), refers_to=df["refers_to"].astype("Int64"))
+        whole = {"page_id", "refers_to"}  # may be null, and must not pass through floats
+        return pd.DataFrame(
+            {k: pd.array([r[k] for r in rows], dtype="Int64" if k in whole else object) for k in names}
+        )
 
     return ranges.mapInPandas(run, fields)
