@@ -10,9 +10,9 @@ order of tokens. The steps, each written to the shared folder:
 2. For the classes that stay, document frequencies of their tokens (again one
    entry per group and token) give further orders: rarest first, ties by
    different hashes.
-3. Candidates share a token of the shorter set's index prefix with the longer
-   set's probe prefix under the first of these orders, and must do so under the
-   others before the sets are compared. To keep a group of thousands of near
+3. Candidates share a token of their prefixes under the first of these orders
+   (each as long as the sizes of both leave room for the overlap they need), and
+   must do so under the others before the sets are compared. To keep a group of thousands of near
    copies from making all its pairs, each class is first compared with one
    leader of its groups; after that only pairs between different components
    found so far are candidates, which loses no component.
@@ -78,9 +78,9 @@ def probe_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
-def index_length(n):
-    """Tokens of a set that any partner at least as long must meet."""
-    return n - (6 * n + 6) // 7 + 1
+def overlap(a, b):
+    """Common tokens that sets of these sizes need for a link."""
+    return (3 * (a + b) + 6) // 7
 
 
 def needed(n):
@@ -264,7 +264,7 @@ def _frequencies(df: pd.DataFrame) -> pd.DataFrame:
 
 
 PREFIX_SCHEMA = (
-    "node long, cls binary, n long, set binary, idx int, weight double, "
+    "node long, cls binary, n long, set binary, alone int, weight double, "
     + ", ".join(f"p{k} array<long>" for k in range(1, ORDERS + 1))
 )
 
@@ -287,19 +287,19 @@ def _prefixes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hit[hit] = t[at[hit]] == s[hit]
         shared, df = s[hit], f[at[hit]]
         alone = n - len(shared)
-        probe, index = max(0, probe_length(n) - alone), max(0, index_length(n) - alone)
-        if not probe:
+        probe = probe_length(n) - alone
+        if probe <= 0:
             continue
         parts = [
             shared[np.lexsort((mix64(shared ^ np.uint64(k)), df))[:probe]].view(np.int64) for k in range(1, ORDERS + 1)
         ]
-        rows.append((node, cls, n, blob, index, len(shared) / n, *parts))
-    return pd.DataFrame(rows, columns=["node", "cls", "n", "set", "idx", "weight"] + [f"p{k}" for k in range(1, ORDERS + 1)])
+        rows.append((node, cls, n, blob, alone, np.log2(df).sum() / n, *parts))
+    return pd.DataFrame(rows, columns=["node", "cls", "n", "set", "alone", "weight"] + [f"p{k}" for k in range(1, ORDERS + 1)])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under all orders and whose sets are alike."""
-    keep = ["n", "set", "idx", *[f"p{k}" for k in range(2, ORDERS + 1)]]
+    keep = ["n", "set", "alone", *[f"p{k}" for k in range(2, ORDERS + 1)]]
     side = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in keep])
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -307,10 +307,10 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for df in batches:
             yes = np.zeros(len(df), bool)
             for i, r in enumerate(df.itertuples(index=False)):
-                short, long_ = ("a", "b") if r.a_n <= r.b_n else ("b", "a")
+                least = overlap(r.a_n, r.b_n)
+                x, y = max(0, r.a_n - least + 1 - r.a_alone), max(0, r.b_n - least + 1 - r.b_alone)
                 if all(
-                    len(np.intersect1d(getattr(r, f"{short}_p{k}")[: getattr(r, f"{short}_idx")], getattr(r, f"{long_}_p{k}")))
-                    for k in range(2, ORDERS + 1)
+                    len(np.intersect1d(getattr(r, f"a_p{k}")[:x], getattr(r, f"b_p{k}")[:y])) for k in range(2, ORDERS + 1)
                 ):
                     x, y = np.frombuffer(r.a_set, np.uint64), np.frombuffer(r.b_set, np.uint64)
                     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -365,7 +365,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     release(packed)
 
-    tokens = prefixes.select("node", "n", "weight", F.posexplode("p1").alias("pos", "t"), "idx")
+    tokens = prefixes.select("node", "n", "weight", "alone", F.posexplode("p1").alias("pos", "t"))
     # every class with the leader of most of its groups
     lead = tokens.groupBy("t").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"), F.count("*").alias("c"))
     led = tokens.join(lead.where("c > 1"), "t").where("node <> leader").groupBy("node", "leader").count()
@@ -376,20 +376,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # pairs between components: of each token, the members outside its largest component against all others
     tagged = (
         tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .select("t", "node", "n", "root", (F.col("pos") < F.col("idx")).alias("index"))
+        .select("t", "node", "n", "root", (F.col("pos") + F.col("alone")).alias("at"))
     )
     sizes = tagged.groupBy("t", "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"))
     mixed = mixed.where("roots > 1").select("t", "main")
     open_ = materialize(tagged.join(mixed, "t"), "ngram-open")
-    x = open_.where("root <> main").select("t", *[F.col(c).alias("x_" + c) for c in ("node", "n", "root", "index")])
-    y = open_.select("t", *[F.col(c).alias("y_" + c) for c in ("node", "n", "root", "index")])
+    columns = ("node", "n", "root", "at")
+    x = open_.where("root <> main").select("t", *[F.col(c).alias("x_" + c) for c in columns])
+    y = open_.select("t", *[F.col(c).alias("y_" + c) for c in columns])
+    # the first token two sets share leaves behind it, in both, at least the overlap they need
+    least = F.floor((3 * (F.col("x_n") + F.col("y_n")) + 6) / 7)
     rule = (
         (F.col("x_root") != F.col("y_root"))
-        & F.when(F.col("x_n") < F.col("y_n"), F.col("x_index"))
-        .when(F.col("x_n") > F.col("y_n"), F.col("y_index"))
-        .otherwise(F.col("x_index") | F.col("y_index"))
-        & (4 * F.least("x_n", "y_n") >= 3 * F.greatest("x_n", "y_n"))
+        & (F.col("x_at") <= F.col("x_n") - least)
+        & (F.col("y_at") <= F.col("y_n") - least)
     )
     across = (
         x.join(y, "t").where(rule)
