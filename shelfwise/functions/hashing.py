@@ -13,10 +13,10 @@ def hash_order(key: Column | str, seed: int | str) -> Column:
 
 
 def hash_int(key: Column | str, seed: int | str) -> Column:
-    """A reproducible integer in [0, 2^32)."""
-    return F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("bigint")
+    """A reproducible integer in [0, 2^60), wide enough to pick among all rows."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_uniform(key: Column | str, seed: int | str) -> Column:
-    """A reproducible double in [0, 1)."""
-    return hash_int(key, seed) / F.lit(4294967296.0)
+    """A reproducible double in [0, 1) with 53 random bits."""
+    return F.shiftright(hash_int(key, seed), 7) / F.lit(9007199254740992.0)

@@ -253,7 +253,7 @@ def cross_val_score(kind: str, df: DataFrame, folds: int = 5, params: Mapping |
         scores = cross_validate(kind, df, [dict(params or {})], folds, **kw)
         return {"model": kind, "cv_score": scores.agg(F.avg("score")).first()[0], "error": None}
     except Exception as e:  # a bake-off reports failures instead of stopping
-        return {"model": kind, "cv_score": None, "error": str(e)[:200]}
+        return {"model": kind, "cv_score": None, "error": str(e)}
 
 
 def model_bakeoff(

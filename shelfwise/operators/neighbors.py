@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.hashing import hash_order
-from shelfwise.functions.vectors import as_doubles, l2_normalize, squared_distance
+from shelfwise.functions.vectors import as_doubles, l2_normalize, squared_distance, norm
 from shelfwise.session import materialize
 
 MAX_PIVOTS = 2_048
@@ -222,29 +222,42 @@ def collapse_copies(
     return reps, hashed.select(key, *IDENTITY)
 
 
-def _ready(df: DataFrame, key: str, vec: str, metric: str, out_key: str) -> DataFrame:
+def _ready(df: DataFrame, key: str, vec: str, metric: str, out_key: str, side: int = 0) -> DataFrame:
+    """(id, vector). For the cosine, two coordinates are added that are zero but
+    for zero vectors: these point along their side's own axis, so that they are
+    at distance 1 from every vector, zero vectors included."""
     v = as_doubles(vec)
     if metric == "cosine":
-        v = l2_normalize(v)
+        own = F.array(F.lit(1.0 - side), F.lit(0.0 + side))
+        none = F.array(F.lit(0.0), F.lit(0.0))
+        v = F.concat(l2_normalize(v), F.when(norm(v) == 0, own).otherwise(none))
     elif metric != "euclidean":
         raise ValueError(f"unknown metric {metric!r}")
     return df.select(F.col(key).alias(out_key), v.alias("__v"))
 
 
+#: distances held at a time by the top-k kernel
+KERNEL_PAIRS = 1 << 19
+
+
 def _top_k_kernel(k: int, lk: str, rk: str, vec: str):
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if not len(lp) or not len(rp):
             return pd.DataFrame({lk: [], rk: [], "d": []})
-        x, y = _matrix(lp[vec]), _matrix(rp[vec])
-        sq = _distances(x, y)
+        left, y = _matrix(lp[vec]), _matrix(rp[vec])
         kk = min(k, len(y))
-        kth = np.partition(sq, kk - 1, axis=1)[:, kk - 1]
-        slack = 1e-9 * (1.0 + (x * x).sum(1) + (y * y).sum(1).max())
-        row, col = np.nonzero(sq <= (kth + slack)[:, None])
-        out = pd.DataFrame(
-            {lk: lp[lk].to_numpy()[row], rk: rp[rk].to_numpy()[col], "d": _exact(x[row], y[col])}
-        )
-        return out.sort_values([lk, "d", rk]).groupby(lk, sort=False).head(kk)
+        lids, rids = lp[lk].to_numpy(), rp[rk].to_numpy()
+        step = max(1, KERNEL_PAIRS // len(y))  # many rows may be equally far: ties are cut row group by row group
+        parts = []
+        for a in range(0, len(left), step):
+            x = left[a : a + step]
+            sq = _distances(x, y)
+            kth = np.partition(sq, kk - 1, axis=1)[:, kk - 1]
+            slack = 1e-9 * (1.0 + (x * x).sum(1) + (y * y).sum(1).max())
+            row, col = np.nonzero(sq <= (kth + slack)[:, None])
+            out = pd.DataFrame({lk: lids[a + row], rk: rids[col], "d": _exact(x[row], y[col])})
+            parts.append(out.sort_values([lk, "d", rk]).groupby(lk, sort=False).head(kk))
+        return pd.concat(parts)
 
     return kernel
 
@@ -264,17 +277,17 @@ def knn_join(
     (left_id, right_id, distance, rank), ties by right id.
 
     ``metric`` is 'euclidean' or 'cosine' (1 - cosine similarity; a zero vector
-    is at distance 0.5 from unit vectors). ``exclude_self`` drops equal ids.
+    is at distance 1 from every vector). ``exclude_self`` drops equal ids.
     """
     want = k + 1 if exclude_self else k
     l_rows = _ready(left, left_key, vec, metric, "id")
-    same = left is right and left_key == right_key
+    same = left is right and left_key == right_key and metric != "cosine"
     l_reps, l_members = collapse_copies(l_rows, "id", "__v")
     l_reps = materialize(l_reps.select(F.col("rep").alias("lrep"), "__v", *IDENTITY), "knnleft")
     if same:
         r_reps, r_members = l_reps.withColumnRenamed("lrep", "rrep"), l_members
     else:
-        r_reps, r_members = collapse_copies(_ready(right, right_key, vec, metric, "id"), "id", "__v")
+        r_reps, r_members = collapse_copies(_ready(right, right_key, vec, metric, "id", 1), "id", "__v")
         r_reps = materialize(r_reps.select(F.col("rep").alias("rrep"), "__v", *IDENTITY), "knnright")
     id_l, id_r = l_reps.schema["lrep"].dataType.simpleString(), r_reps.schema["rrep"].dataType.simpleString()
     tiles = tile_join(

@@ -65,11 +65,6 @@ def with_date_features(lines: DataFrame) -> DataFrame:
     return lines.withColumns(S.date_parts("date")).drop("date")
 
 
-def mode(col: str) -> Column:
-    """Most frequent non-null value, the smallest one on ties."""
-    return F.mode(col, True)
-
-
 # output column -> line column, for the values reduced to their mode
 MODES = {
     "description": "description",

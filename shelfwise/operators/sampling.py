@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions.hashing import hash_int, hash_order, hash_uniform
-from shelfwise.session import measured
+from shelfwise.session import materialize, measured
 
 UNKNOWN = "-1"
 
@@ -131,11 +131,27 @@ def top_features(importances: DataFrame, n: int = 50, model: str | None = None)
     return mean.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def leaderboard(df: DataFrame, score: str, tie: Sequence[str], top: int = 100) -> DataFrame:
-    """The ``top`` runs by score with their position: a top-k report, so only
-    ``top`` rows ever meet in one task."""
-    best = df.orderBy(F.desc(score), *tie).limit(top)
-    return best.withColumn("position", F.row_number().over(W.orderBy(F.desc(score), *tie)))
+def leaderboard(df: DataFrame, score: str, tie: Sequence[str], top: int | None = None) -> DataFrame:
+    """All runs by score, best first, with their position (the ``top`` first, if
+    asked for).
+
+    Rows are dealt by ranges of (score, tie), so neither many runs nor one score
+    that many share meets in one task; positions are counts of the ranges before
+    plus the place inside the range.
+    """
+    order = [F.desc(score), *tie]
+    if top is not None:
+        best = df.orderBy(*order).limit(top)
+        return best.withColumn("position", F.row_number().over(W.orderBy(*order)))
+    dealt = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    placed = dealt.withColumn("__at", inside).join(measured(offsets, "offsets"), "__range")
+    return placed.withColumn("position", (F.col("__before") + F.col("__at")).cast("int")).drop(
+        "__range", "__before", "__at"
+    )
 
 
 def stratified_fraction(df: DataFrame, label: str, frac: float, seed: int = 42, key: str = "row_id") -> DataFrame:

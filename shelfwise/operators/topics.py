@@ -224,9 +224,10 @@ def topic_set_metrics(topics: DataFrame, categorized: DataFrame, run: str = "top
     return t.join(c, run).select(run, "ratio_topic_unique", "ratio_products_categorized", "num_topics")
 
 
-def select_topic_set(metrics: DataFrame, run: str = "topic_set_id") -> DataFrame:
-    """Runs ordered by categorised documents, best first, with their position."""
-    return leaderboard(metrics.dropDuplicates(), "ratio_products_categorized", [run])
+def select_topic_set(metrics: DataFrame, run: str = "topic_set_id", top: int | None = None) -> DataFrame:
+    """Runs ordered by categorised documents, best first, with their position:
+    all of them, or the ``top`` first."""
+    return leaderboard(metrics.dropDuplicates(), "ratio_products_categorized", [run], top)
 
 
 def topic_sweep(

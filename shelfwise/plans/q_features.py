@@ -76,7 +76,7 @@ def e4(spark, d):
 @query("e4_ssl_pipeline_text")
 def e4_text(spark, d):
     docs = D.table(spark, d, "documents")
-    p = E.ssl_pipeline(docs, ["lang"], ["n_chars"], "text", "doc_id", min_df=0.05)
+    p = E.ssl_pipeline(docs, ["lang"], ["n_chars"], "text", "doc_id")
     from pyspark.ml.functions import vector_to_array
 
     t = p.transform(docs, keep=["doc_id"])
@@ -86,7 +86,7 @@ def e4_text(spark, d):
 @query("e5_feature_names")
 def e5(spark, d):
     docs = D.table(spark, d, "documents")
-    p = E.ssl_pipeline(docs, ["lang"], ["n_chars"], "text", "doc_id", min_df=0.05)
+    p = E.ssl_pipeline(docs, ["lang"], ["n_chars"], "text", "doc_id")
     return spark.createDataFrame(list(enumerate(p.feature_names())), "position int, feature string")
 
 
@@ -125,8 +125,9 @@ def e8(spark, d):
 def e9(spark, d):
     # importance per name stands for a fitted model's importances, one row per feature
     imp = D.table(spark, d, "part").groupBy(F.col("p_name").alias("feature")).agg(F.avg("p_size").alias("importance"))
-    mean = imp.agg(F.avg("importance")).scalar()
-    return imp.filter(F.col("importance") >= mean).withColumn("importance", F.round("importance", 9))
+    rows = imp.orderBy("feature").collect()
+    kept = [rows[i] for i in E.important_features([r["importance"] for r in rows])]
+    return spark.createDataFrame(kept, imp.schema).withColumn("importance", F.round("importance", 9))
 
 
 def vectors(spark, d):

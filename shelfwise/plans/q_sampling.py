@@ -75,7 +75,7 @@ def w5(spark, d):
     "w6_leaderboard",
     """select *, row_number() over (order by score desc, l_suppkey)::int as position from (
          select l_suppkey, sum(cast(round(l_extendedprice * 100) as bigint))::bigint as score from lineitem group by l_suppkey)
-       order by position limit 100""",
+    """,
 )
 def w6(spark, d):
     runs = D.table(spark, d, "lineitem").groupBy("l_suppkey").agg(

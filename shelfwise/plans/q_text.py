@@ -23,6 +23,13 @@ def t1(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.array_join(S.tokenize("text"), " ").alias("tokens"))
 
 
+@query("t2_document_frequency_filter_all", f"with {_VOCAB} select term, df, total from k")
+def t2_all(spark, d):
+    docs = D.table(spark, d, "documents")
+    n = docs.agg(F.count("*")).scalar()
+    return X.document_frequency_filter(X.term_counts(docs, "text", "doc_id"), n, 0.005, 0.99)
+
+
 @query("t2_document_frequency_filter", f"with {_VOCAB} select term, df, total from k order by total desc, term limit 1000")
 def t2(spark, d):
     docs = D.table(spark, d, "documents")

@@ -29,8 +29,8 @@ def sql_hash_order(key: str, seed) -> str:
 
 
 def sql_hash_int(key: str, seed) -> str:
-    return f"(('0x' || substr({sql_hash_order(key, seed)}, 1, 8))::bigint)"
+    return f"(('0x' || substr({sql_hash_order(key, seed)}, 1, 15))::bigint)"
 
 
 def sql_uniform(key: str, seed) -> str:
-    return f"({sql_hash_int(key, seed)} / 4294967296.0)"
+    return f"(({sql_hash_int(key, seed)} >> 7) / 9007199254740992::double)"

@@ -167,3 +167,11 @@ def test_profile_counts_missing_and_duplicates(spark):
     got = {r["column"]: r for r in A.profile_columns(df).collect()}
     assert (got["x"]["missing"], got["x"]["zeros"], got["x"]["distinct"], got["s"]["top"], got["s"]["top_count"]) == (1, 1, 2, "a", 2)
     assert A.profile_overview(df).first()["duplicate_rows"] == 1
+
+
+def test_scratch_root_without_a_setting(spark, monkeypatch):
+    from shelfwise import session
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    root = session.shared_root(spark)
+    assert root == session.shared_root(spark) and "shelfwise-" in root

@@ -60,6 +60,36 @@ def test_cosine_distance(spark):
         N.knn_join(df, df, 1, "manhattan")
 
 
+@pytest.mark.parametrize("tiles", [{}, TILES])
+def test_cosine_of_zero_and_equidistant_rows(spark, tiles):
+    x = np.array([[1.0, 0], [0, 1.0], [0, 0], [1, 0.1], [0, 0], [1.0, 0]])
+    got = N.knn_join(frame(spark, x), frame(spark, x), 5, "cosine", exclude_self=True, **tiles).collect()
+    d = {(r["left_id"], r["right_id"]): r["distance"] for r in got}
+    unit = [v / np.linalg.norm(v) if v.any() else v for v in x]
+    assert len(d) == 30 and all(abs(v - (1 - unit[a] @ unit[b])) < 1e-9 for (a, b), v in d.items())
+    near = min((r for r in got if r["left_id"] == 3), key=lambda r: r["rank"])
+    assert near["right_id"] == 0 and near["distance"] < 0.01
+
+
+def test_hash_reaches_beyond_32_bits(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwise.functions.hashing import hash_int, hash_uniform
+
+    r = spark.range(1000).agg(F.max(hash_int("id", 1)), F.min(hash_int("id", 1)), F.max(hash_uniform("id", 1))).first()
+    assert r[0] > 2**59 and r[0] < 2**60 and r[1] >= 0 and 0.99 < r[2] < 1
+
+
+def test_leaderboard_keeps_all_runs(spark):
+    from shelfwise.operators.sampling import leaderboard
+
+    df = spark.createDataFrame([(i, (i * 7) % 5) for i in range(300)], "run int, score int").repartition(5)
+    got = sorted((r["position"], r["run"]) for r in leaderboard(df, "score", ["run"]).collect())
+    want = sorted(range(300), key=lambda i: (-((i * 7) % 5), i))
+    assert got == [(k + 1, i) for k, i in enumerate(want)]
+    assert leaderboard(df, "score", ["run"], 7).count() == 7
+
+
 def test_rbf_sums_over_all_rows(spark):
     x, y = blobs(3, 60, 20), blobs(4, 90, 30)
     labels = [(i % 3,) for i in range(len(y))]
