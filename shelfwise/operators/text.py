@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.functions.scalars import tokenize
-from shelfwise.session import measured
+from shelfwise.session import materialize, measured
 
 
 def term_counts(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -56,7 +56,7 @@ def tfidf_terms(
     length. The vocabulary is written first, so a join that is measured to be
     small broadcasts it and postings of a frequent term never meet."""
     n = df.agg(F.count("*")).scalar()
-    counts = term_counts(df, text, key)
+    counts = materialize(term_counts(df, text, key), "postings")  # read twice, tokenised once
     vocab = document_frequency_filter(counts, n, min_df, max_df, max_features)
     idf = measured(vocab.select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
     raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
