@@ -47,6 +47,17 @@ def pack_seq(seq: np.ndarray) -> bytes:
     return bytes([planes]) + zlib.compress(raw, 1)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The low 40 bits of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def unpack_seq(blob: bytes) -> np.ndarray:
     planes = blob[0]
     raw = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(planes, -1)
@@ -94,7 +105,7 @@ def cut_blocks(
         seq = rank[seq].astype(np.uint32)
         size, mark = np.array(lens, np.int64), np.array(marks, bool)
         weight = np.bincount(seq[np.repeat(mark, size)], minlength=len(words))
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).tobytes() if more else b""
+        keys = pack_keys(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))) if more else b""
         yield rows(
             1, block=[block], ids=[ids], lens=[size], marks=[mark], blob=[pack_seq(seq)], dictionary=[keys]
         )

@@ -26,7 +26,12 @@ class Slices:
     bits: np.ndarray  # bytes of all slices
     start: np.ndarray  # first byte of each slice
     size: np.ndarray  # bits of each slice
-    hashes: int
+    hashes: np.ndarray  # probes of each slice
+    top: int = 0  # highest level of a counting filter
+
+    def plain(self) -> tuple:
+        """The fields, to be broadcast: workers need not import this class."""
+        return self.bits, self.start, self.size, self.hashes, self.top
 
     def holds(self, keys: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
         """Membership of uint64 keys (in slice ``part``): never false for a member."""
@@ -38,10 +43,11 @@ class Slices:
         at, size = self.start[part], self.size[part].astype(np.uint64)
         out = size > 0
         size = np.maximum(size, np.uint64(1))
-        for p in probes(keys, size, self.hashes):
+        few = self.hashes[part]
+        for i, p in enumerate(probes(keys, size, int(few.max()) if len(few) else 0)):
             byte = np.minimum(at + (p >> np.uint64(3)).astype(np.int64), max(0, len(self.bits) - 1))
             if len(self.bits):
-                out &= (self.bits[byte] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                out &= ((self.bits[byte] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0) | (few <= i)
         return out
 
 
@@ -59,13 +65,20 @@ def fill(keys: np.ndarray, bits: int, hashes: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def assemble(rows: list, slices: int, hashes: int) -> Slices:
-    """From rows with slice, size and bits."""
+def best_hashes(entries: int, bits: int, most: int = 6) -> int:
+    """Probes that keep false positives low for so many bits per entry."""
+    return int(np.clip(round(0.693 * bits / max(1, entries)), 1, most))
+
+
+def assemble(rows: list, slices: int) -> Slices:
+    """From rows with slice, size, hashes and bits (and top)."""
     parts = {r["slice"]: r for r in rows}
     size = np.array([parts[i]["size"] if i in parts else 0 for i in range(slices)], np.int64)
     blobs = [bytes(parts[i]["bits"]) if i in parts else b"" for i in range(slices)]
     start = np.cumsum([0, *map(len, blobs)])[:-1]
-    return Slices(np.frombuffer(b"".join(blobs), np.uint8), start, size, hashes)
+    hashes = np.array([parts[i]["hashes"] if i in parts else 1 for i in range(slices)], np.int64)
+    top = max((r.get("top", 0) for r in rows), default=0)
+    return Slices(np.frombuffer(b"".join(blobs), np.uint8), start, size, hashes, top)
 
 
 def of_longs(keys: DataFrame, slices: int = 64, max_bytes: int = 32 << 20, bits_per_key: int = 12) -> Slices:
@@ -79,11 +92,15 @@ def of_longs(keys: DataFrame, slices: int = 64, max_bytes: int = 32 << 20, bits_
     def one(df: pd.DataFrame) -> pd.DataFrame:
         own = df["key"].to_numpy().view(np.uint64)
         bits = min(most, -(-len(own) * bits_per_key // 64) * 64)
-        return pd.DataFrame({"slice": [int(own[0] % np.uint64(slices))], "size": [bits], "bits": [fill(own, bits, 6)]})
+        k = best_hashes(len(own), bits)
+        part = int(own[0] % np.uint64(slices))
+        return pd.DataFrame({"slice": [part], "size": [bits], "hashes": [k], "bits": [fill(own, bits, k)]})
 
     named = keys.toDF("key").where("key is not null").distinct()
     # pmod of the unsigned value: high and low half apart
     high = F.shiftrightunsigned("key", 32) * (2**32 % slices)
     low = F.col("key").bitwiseAND(F.lit(2**32 - 1))
-    rows = named.groupBy(((high + low) % slices).alias("s")).applyInPandas(one, "slice long, size long, bits binary")
-    return assemble([r.asDict() for r in rows.collect()], slices, 6)
+    rows = named.groupBy(((high + low) % slices).alias("s")).applyInPandas(
+        one, "slice long, size long, hashes long, bits binary"
+    )
+    return assemble([r.asDict() for r in rows.collect()], slices)

@@ -19,10 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from shelfwise.llm import blocks
+from shelfwise.llm.blocks import (
+    ANSWER,
+    ANSWER_SCHEMA,
+    block_table,
+    dictionary,
+    documents,
+    pack_answers,
+    spread,
+    unpack_answers,
+    unpack_seq,
+)
 from shelfwise.llm.secret_scan import VOCABULARY, load_ranks
 
 CHUNK = 1 << 16
+BLOCK_CHARS = 1 << 25
 #: The white space of the pattern's engine, which Python's ``\s`` widens.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -53,7 +64,7 @@ def _lazily(cut, text: str) -> Iterator[bytes]:
 
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-    pattern: str = public_tokenizers.PATTERN, block_chars: int = blocks.BLOCK_CHARS, decoded: bool = False,
+    pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS, decoded: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids (little-endian u32, binary).
 
@@ -68,7 +79,7 @@ def encode(
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary or public_tokenizers.path(VOCABULARY)))
-    table = blocks.block_table(docs, id_col, text_col, splitter(pattern), block_chars=block_chars, tag="bpe")
+    table = block_table(docs, id_col, text_col, splitter(pattern), block_chars=block_chars, tag="bpe")
     kind = table.schema["ids"].dataType.elementType.simpleString()
 
     def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,28 +92,28 @@ def encode(
                     last, ids = w, enc.encode_ordinary(w.decode())
                 flat += ids
                 counts[i] = len(ids)
-            rows = blocks.pack_answers(b["at"].to_numpy(), counts, np.array(flat, np.int64))
-            yield pd.DataFrame(list(rows), columns=["block", *blocks.ANSWER])
+            rows = pack_answers(b["at"].to_numpy(), counts, np.array(flat, np.int64))
+            yield pd.DataFrame(list(rows), columns=["block", *ANSWER])
 
-    words = blocks.dictionary(table).select("word", "at").repartition("word").sortWithinPartitions("word")
-    known = words.mapInPandas(encode_words, blocks.ANSWER_SCHEMA)
+    words = dictionary(table).select("word", "at").repartition("word").sortWithinPartitions("word")
+    known = words.mapInPandas(encode_words, ANSWER_SCHEMA)
 
     def assemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        starts, sizes, flat = blocks.unpack_answers(right)
+        starts, sizes, flat = unpack_answers(right)
         flat = flat.astype("<u4")
         back = token_bytes(ranks.value) if decoded else None
         rows = []
         for ids, lens, blob in zip(left["ids"], left["lens"], left["blob"], strict=True):
-            seq, at = blocks.unpack_seq(blob), 0
+            seq, at = unpack_seq(blob), 0
             for i, k in zip(ids, lens, strict=True):
                 parts = [seq[a : min(a + CHUNK, at + k)] for a in range(at, at + k, CHUNK)]
                 at += k
-                out = b"".join(flat[blocks.spread(starts[x], sizes[x])].tobytes() for x in parts)
+                out = b"".join(flat[spread(starts[x], sizes[x])].tobytes() for x in parts)
                 rows.append((i, len(out) // 4, out) + ((to_bytes(out, back),) if decoded else ()))
         return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded)
 
     return (
-        blocks.documents(table)
+        documents(table)
         .groupBy("block")
         .cogroup(known.groupBy("block"))
         .applyInPandas(assemble, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
@@ -148,4 +159,4 @@ def to_bytes(blob: bytes | None, back: tuple[np.ndarray, np.ndarray, np.ndarray]
     if len(ids) and (ids.max() >= len(sizes) or sizes[ids].min() < 0):
         raise ValueError("an id without a token")
     parts = (ids[a : a + CHUNK] for a in range(0, len(ids), CHUNK))
-    return b"".join(raw[blocks.spread(starts[x], sizes[x])].tobytes() for x in parts)
+    return b"".join(raw[spread(starts[x], sizes[x])].tobytes() for x in parts)

@@ -22,17 +22,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm import blocks
-from shelfwise.llm.bloom import Slices, assemble, fill, mix64
+from shelfwise.llm.blocks import (
+    ANSWER,
+    ANSWER_SCHEMA,
+    BLOCK_CHARS,
+    block_table,
+    dictionary,
+    narrow,
+    pack_answers,
+    pack_seq,
+    runs,
+    spread,
+    unpack_answers,
+    unpack_keys,
+    unpack_seq,
+    widen,
+)
+from shelfwise.llm.bloom import Slices, assemble, best_hashes, fill, mix64
 from shelfwise.session import materialize
 
 END = b"\n"  # no word holds a line end
 START_KEY = np.uint64(0x5DEECE66D)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = 1.5
-HASHES = 6
 BITS_PER_ENTRY = 10
-MAX_BYTES = 256 << 20
+MAX_BYTES = 128 << 20
 PRIOR = 20.0
 CHUNK = 1 << 19
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -83,21 +97,22 @@ def gram_rows(buckets: int):
         lens = lens[marks]
         if not len(own):
             return
-        keys = np.frombuffer(dictionary, np.uint64)
+        keys = unpack_keys(dictionary)
         used = np.bincount(own, minlength=len(keys))
         pairs, n = np.unique(pair_keys(own, lens, keys), return_counts=True)
         grams = np.concatenate([mix64(keys[used > 0]), pairs, mix64(np.array([START_KEY]))])
         counts = np.concatenate([used[used > 0], n, [len(lens)]])
+        del own, pairs, n
         where, low = slot(grams, buckets)
-        order = np.lexsort((low, where))
+        order = np.argsort(where.astype(np.uint64) << np.uint64(32) | low)
         where, low, counts = where[order], low[order], counts[order]
         out = [
             (
                 int(where[a]),
-                blocks.pack_seq(np.diff(low[a:b], prepend=np.uint64(0))),
-                zlib.compress(blocks.narrow(counts[a:b]), 1),
+                pack_seq(np.diff(low[a:b], prepend=np.uint64(0))),
+                zlib.compress(narrow(counts[a:b]), 1),
             )
-            for a, b in blocks.runs(where)
+            for a, b in runs(where)
         ]
         yield {"bucket": [x[0] for x in out], "keys": [x[1] for x in out], "counts": [x[2] for x in out]}
 
@@ -113,13 +128,16 @@ def fill_slice(most_bits: int):
     """One slice of the filter from all counts of its grams."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
-        low = np.concatenate([np.cumsum(blocks.unpack_seq(x).astype(np.uint64)) for x in df["keys"]])
-        n = np.concatenate([blocks.widen(zlib.decompress(x)) for x in df["counts"]])
+        low = np.concatenate([np.cumsum(unpack_seq(x).astype(np.uint64)) for x in df["keys"]])
+        n = np.concatenate([widen(zlib.decompress(x)) for x in df["counts"]])
         keys, at = np.unique(low, return_inverse=True)
         q = quantise(np.bincount(at, n))
-        entries = np.repeat(keys, q) | (blocks.spread(np.ones(len(q), np.int64), q).astype(np.uint64) << np.uint64(32))
+        entries = np.repeat(keys, q) | (spread(np.ones(len(q), np.int64), q).astype(np.uint64) << np.uint64(32))
         bits = min(most_bits, -(-len(entries) * BITS_PER_ENTRY // 64) * 64)
-        return pd.DataFrame({"slice": [df["bucket"].iloc[0]], "size": [bits], "bits": [fill(entries, bits, HASHES)]})
+        k = best_hashes(len(entries), bits)
+        return pd.DataFrame(
+            {"slice": [df["bucket"].iloc[0]], "size": [bits], "hashes": [k], "bits": [fill(entries, bits, k)], "top": [q.max()]}
+        )
 
     return one
 
@@ -129,7 +147,7 @@ def levels(model: Slices, grams: np.ndarray) -> np.ndarray:
     part, low = slot(grams, len(model.size))
     q = np.zeros(len(grams), np.int64)
     left, j = np.arange(len(grams)), 0
-    while len(left):
+    while len(left) and j < model.top:
         j += 1
         hit = model.holds(low[left] | np.uint64(j << 32), part[left])
         left = left[hit]
@@ -152,14 +170,15 @@ def log_probs(model: Slices, seq, lens, keys, uni, tokens: int, types: int, prio
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, max_bytes: int = MAX_BYTES,
-    block_chars: int = blocks.BLOCK_CHARS,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
     The filter takes 10 bits per entry and so grows with the grams of the
-    corpus, up to ``max_bytes``, which bounds the broadcast; beyond it more
-    unseen grams look seen, none is left out.
+    corpus, up to ``max_bytes``, which bounds the broadcast and goes with the
+    memory of a worker; beyond it more unseen grams look seen (with fewer probes
+    per entry), but none is left out.
 
     Defined cases: a null or empty text is one end token; a null id counts as an
     empty text in the split; ids may repeat, each row is a text of its own;
@@ -167,37 +186,38 @@ def score(
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = blocks.block_table(
+    table = block_table(
         docs, id_col, text_col, words_and_end, lambda ids: ~held_out(ids), gram_rows(buckets), block_chars, "lm"
     )
     kind = table.schema["ids"].dataType.elementType.simpleString()
     made = (
         table.where("keys is not null").select("bucket", "keys", "counts").groupBy("bucket")
-        .applyInPandas(fill_slice(max_bytes * 8 // buckets), "slice long, size long, bits binary")
+        .applyInPandas(fill_slice(max_bytes * 8 // buckets), "slice long, size long, hashes long, bits binary, top long")
     )
-    model = spark.sparkContext.broadcast(assemble([r.asDict() for r in made.collect()], buckets, HASHES))
+    model = spark.sparkContext.broadcast(assemble([r.asDict() for r in made.collect()], buckets).plain())
 
-    words = blocks.dictionary(table).repartition("word").sortWithinPartitions("word")
-    known = materialize(words.mapInPandas(count_words, blocks.ANSWER_SCHEMA + ", tokens long, types long"), "lm-counts")
+    words = dictionary(table).repartition("word").sortWithinPartitions("word")
+    known = materialize(words.mapInPandas(count_words, ANSWER_SCHEMA + ", tokens long, types long"), "lm-counts")
     total = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     tokens, types = int(total[0]), int(total[1])
 
     def rate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        start, size, counts = blocks.unpack_answers(right)
+        grams = Slices(*model.value)
+        start, size, counts = unpack_answers(right)
         exact = counts[start] if len(counts) else np.zeros(0, np.int64)
         base = np.log10((exact + 1) / (tokens + types + 1))
         out = []
         for ids, lens, marks, blob, dictionary in zip(*(left[c] for c in ("ids", "lens", "marks", "blob", "dictionary")), strict=True):
-            keys = np.frombuffer(dictionary, np.uint64)
-            uni = expected(levels(model.value, mix64(keys)))
-            seq, ends = blocks.unpack_seq(blob), np.cumsum(lens)
+            keys = unpack_keys(dictionary)
+            uni = expected(levels(grams, mix64(keys)))
+            seq, ends = unpack_seq(blob), np.cumsum(lens)
             a = 0
             while a < len(lens):
                 begin = ends[a] - lens[a]
                 b = max(a + 1, int(np.searchsorted(ends, begin + CHUNK, side="right")))
                 s, n = seq[begin : ends[b - 1]], np.asarray(lens[a:b])
                 cut = np.cumsum(n) - n
-                own = log_probs(model.value, s, n, keys, uni, tokens, types, prior)
+                own = log_probs(grams, s, n, keys, uni, tokens, types, prior)
                 out.append(
                     pd.DataFrame(
                         {
@@ -217,7 +237,7 @@ def score(
     return (
         table.where("blob is not null").select("block", "ids", "lens", "marks", "blob", "dictionary")
         .groupBy("block")
-        .cogroup(known.where("block is not null").select("block", *blocks.ANSWER).groupBy("block"))
+        .cogroup(known.where("block is not null").select("block", *ANSWER).groupBy("block"))
         .applyInPandas(
             rate,
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long,"
@@ -232,7 +252,7 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     The rows of a word are as many as blocks hold it; those of the last word of
     a batch wait for the next one. Rows without a block carry the totals.
     """
-    columns = ["block", *blocks.ANSWER, "tokens", "types"]
+    columns = ["block", *ANSWER, "tokens", "types"]
     rest: pd.DataFrame | None = None
 
     def answer(df: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +260,7 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = np.r_[True, w[1:] != w[:-1]]
         at = np.cumsum(head) - 1
         total = np.bincount(at, df["weight"]).astype(np.int64)
-        rows = list(blocks.pack_answers(df["at"].to_numpy(), np.ones(len(df), np.int64), total[at]))
+        rows = list(pack_answers(df["at"].to_numpy(), np.ones(len(df), np.int64), total[at]))
         rows.append({"tokens": int(total.sum()), "types": int((total > 0).sum())})
         return pd.DataFrame(rows, columns=columns)
 

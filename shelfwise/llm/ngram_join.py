@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.blocks import runs
-from shelfwise.llm.bloom import mix64, of_longs
+from shelfwise.llm.bloom import Slices, mix64, of_longs
 from shelfwise.llm.components import components
 from shelfwise.session import materialize, release
 
@@ -196,9 +196,9 @@ def _survivors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema, members) -> Iterator[pa.RecordBatch]:
     """(cls, n, set) of the documents whose key may be a member's, once per batch."""
-    memo = WordHash()
+    memo, known = WordHash(), Slices(*members.value)
     for b in batches:
-        hit = members.value.holds(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        hit = known.holds(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
         out: dict[bytes, np.ndarray] = {}
         for k in np.flatnonzero(hit):
             s = shingles(b.column(1)[int(k)].as_py(), memo)
@@ -345,7 +345,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = materialize(chosen.select(F.xxhash64("id").alias("key")), "ngram-chosen")
     documents = materialize(members, "ngram-docs")
     release(first)
-    bloom = sc.broadcast(of_longs(chosen))
+    bloom = sc.broadcast(of_longs(chosen).plain())
 
     arrow_sets, set_schema = _arrow("cls binary, n long, set binary"), "cls binary, n long, set binary"
     keyed = rows.select(F.xxhash64("id").alias("key"), "text")

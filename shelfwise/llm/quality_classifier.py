@@ -200,11 +200,13 @@ def classify(
         known = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     sample = table.join(known, "doc_id").select("doc_id", *FEATURES, "y").toArrow().to_pandas()
     sample = sample.sort_values(["doc_id", *FEATURES])  # reruns meet the rows in one order
-    trees = spark.sparkContext.broadcast(fit(sample[list(FEATURES)].to_numpy(), (sample["y"] > 0).to_numpy().astype(float)))
+    grown = fit(sample[list(FEATURES)].to_numpy(), (sample["y"] > 0).to_numpy().astype(float))
+    plain = spark.sparkContext.broadcast((grown.feature, grown.threshold, grown.leaf, grown.prior))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = Trees(*plain.value)
         for b in batches:
-            b["score"] = trees.value.score(b[list(FEATURES)].to_numpy(np.float32))
+            b["score"] = trees.score(b[list(FEATURES)].to_numpy(np.float32))
             b["predicted"] = (b["score"] >= CUTOFF).astype(np.int32)
             yield b
 
