@@ -13,10 +13,13 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 import public_tokenizers
 from shelfwise.llm.blocks import (
@@ -34,6 +37,7 @@ from shelfwise.llm.secret_scan import VOCABULARY, load_ranks
 
 CHUNK = 1 << 16
 BLOCK_CHARS = 1 << 25
+OUT_BYTES = 1 << 21
 #: The white space of the pattern's engine, which Python's ``\s`` widens.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -98,26 +102,36 @@ def encode(
     words = dictionary(table).select("word", "at").repartition("word").sortWithinPartitions("word")
     known = words.mapInPandas(encode_words, ANSWER_SCHEMA)
 
-    def assemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        starts, sizes, flat = unpack_answers(right)
+    schema = f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        starts, sizes, flat = unpack_answers({c: right[c].to_pylist() for c in ANSWER})
         flat = flat.astype("<u4")
         back = token_bytes(ranks.value) if decoded else None
-        rows = []
-        for ids, lens, blob in zip(left["ids"], left["lens"], left["blob"], strict=True):
+        batches, rows, held = [], [], 0
+
+        def flush() -> None:  # batches of bounded size on their way back
+            columns = zip(*rows, strict=True)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
+            rows.clear()
+
+        for ids, lens, blob in zip(*(left[c].to_pylist() for c in ("ids", "lens", "blob")), strict=True):
             seq, at = unpack_seq(blob), 0
             for i, k in zip(ids, lens, strict=True):
                 parts = [seq[a : min(a + CHUNK, at + k)] for a in range(at, at + k, CHUNK)]
                 at += k
                 out = b"".join(flat[spread(starts[x], sizes[x])].tobytes() for x in parts)
                 rows.append((i, len(out) // 4, out) + ((to_bytes(out, back),) if decoded else ()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded)
-
-    return (
-        documents(table)
-        .groupBy("block")
-        .cogroup(known.groupBy("block"))
-        .applyInPandas(assemble, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded)
-    )
+                held += len(out)
+                if held > OUT_BYTES:
+                    flush()
+                    held = 0
+        if rows:
+            flush()
+        return pa.Table.from_batches(batches, arrow)
+
+    return documents(table).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
