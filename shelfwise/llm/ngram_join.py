@@ -40,7 +40,7 @@ from shelfwise.session import materialize, release
 WORDS = 5
 ORDERS = 3
 GROUP_DOCS = 1 << 14
-GROUP_TOKENS = 1 << 22
+GROUP_TOKENS = 1 << 20
 FLAG = np.uint16(65535)
 MEMO = 1 << 19
 BUCKETS_PER_PARTITION = 4
