@@ -115,26 +115,30 @@ def plan_blocks(sizes: dict[str | None, np.ndarray], goal: dict[str | None, floa
     return [(s, b, parts.get((s, b)), draws) for (s, b), draws in rows.items()]
 
 
-def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """Written table: _id, source, size, key, and the hash that orders a source."""
+def place(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, order_col: str | None = None
+) -> DataFrame:
+    """Written table: _id, source, size, and the hash of order_col (default: the id) and text that orders a source."""
     t = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(WHITE))
     size = F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, GAP))).cast("long")
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("source"),
         size.alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
+        F.xxhash64(F.lit(seed), F.col(order_col or id_col), F.col(text_col)).alias("h"),
     )
     return materialize(rows, "mix-sizes")
 
 
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 64,
-    seed: int = 7, max_blocks: int = MAX_BLOCKS,
+    seed: int = 7, max_blocks: int = MAX_BLOCKS, order_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: _id, source, size, source_size, target, draws.
 
-    ``draws`` lists (pass, shard) for each time the document is taken.
+    ``draws`` lists (pass, shard) for each time the document is taken. The order
+    within a source hangs on ``order_col`` (default: the id) and the text alone,
+    not on how the rows are spread, so reruns agree.
 
     Defined cases: a null or empty text has size 0 and is drawn like any other,
     to no effect on the words taken; a null source is a source of its own, last
@@ -143,7 +147,7 @@ def mix_plan(
     drawn; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = place(docs, id_col, text_col, source_col, seed)
+    rows = place(docs, id_col, text_col, source_col, seed, order_col)
     by_source = rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("words"))
     totals = [Source(r.source, r.docs, r.words) for r in by_source.collect()]
     goal = targets(totals)
@@ -197,15 +201,16 @@ def mix_plan(
     )
 
 
-def mix(docs: DataFrame, shards: int = 64, seed: int = 7, **cols) -> DataFrame:
+def mix(docs: DataFrame, shards: int = 64, seed: int = 7, id_col: str = "doc_id", **cols) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated as drawn, with shard and place.
 
     ``_shard`` is the output shard, ``_place`` a hash that orders it at random.
+    Rows are numbered for the join only; which are taken hangs on id and text.
     """
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = mix_plan(numbered, id_col="_row", shards=shards, seed=seed, **cols)
+    plan = mix_plan(numbered, id_col="_row", order_col=id_col, shards=shards, seed=seed, **cols)
     taken = plan.select(F.col("_id").alias("_row"), "h", F.explode("draws").alias("d")).select(
-        "_row", F.col("d.shard").alias("_shard"), F.xxhash64("h", "_row", "d.pass", "d.shard").alias("_place")
+        "_row", F.col("d.shard").alias("_shard"), F.xxhash64("h", "d.pass", "d.shard").alias("_place")
     )
     return numbered.join(taken, "_row").drop("_row")
 

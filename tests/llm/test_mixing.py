@@ -47,9 +47,11 @@ def test_mixed_rows_and_local_shuffle(spark):
     plan = sm.mix_plan(docs, shards=4)
     out = sm.mix(docs, shards=4)
     assert out.columns == [*docs.columns, "_shard", "_place"]
-    want = sum(len(r.draws) for r in plan.collect())
-    # the plan of mix is keyed by row, so only its size and shares are the same
-    assert abs(out.count() - want) < 0.1 * want
+    want = sorted((r._id, d["shard"]) for r in plan.collect() for d in r.draws)
+    taken = lambda df: sorted((r.doc_id, r._shard) for r in df.select("doc_id", "_shard").collect())
+    assert taken(out) == want
+    # rows spread in another way are numbered anew, but the same are taken
+    assert taken(sm.mix(docs.repartition(5), shards=4)) == want
     parts = sm.shuffled_shards(out).select("_shard", "_place").rdd.glom().collect()
     for p in parts:
         assert p == sorted(p)
