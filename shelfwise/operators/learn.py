@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -37,7 +38,7 @@ from shelfwise.operators.sampling import labeled_fraction, stratified_kfold, str
 from shelfwise.session import materialize
 
 # -- classifiers --------------------------------------------------------------
-TREE_KINDS = ("RandomForest", "Bagging", "DecisionTree")
+TREE_KINDS = ("RandomForest", "Bagging", "DecisionTree", "BoostedTrees")
 
 
 def _forest(p, seed, weight):
@@ -124,7 +125,9 @@ class Fitted:
         return scored.select(*df.columns, argmax("p").alias("prediction"), "p")
 
     def importances(self) -> list[float]:
-        return [float(v) for v in self.model.featureImportances.toArray()]
+        """Per feature; of boosted trees the mean over the class models."""
+        models = self.model.models if self.kind == "BoostedTrees" else [self.model]
+        return np.mean([m.featureImportances.toArray() for m in models], axis=0).tolist()
 
 
 def _columns(est, kind: str):
@@ -247,6 +250,15 @@ def random_search(
     return draws[best["draw"]], scores
 
 
+def refit_best(
+    kind: str, df: DataFrame, draws: Sequence[Mapping], folds: int = 5, label: str = "label", balanced: bool = False,
+    seed: int = 42, **kw,
+) -> tuple[Fitted, Mapping, DataFrame]:
+    """(model, best draw, cv table): the search's best draw, fitted on all of ``df``."""
+    best, scores = random_search(kind, df, draws, folds, label=label, balanced=balanced, seed=seed, **kw)
+    return fit_classifier(kind, df, best, label, balanced, seed), best, scores
+
+
 def cross_val_score(kind: str, df: DataFrame, folds: int = 5, params: Mapping | None = None, **kw) -> dict:
     """Mean accuracy over the folds, or the error text of a failed fit."""
     try:

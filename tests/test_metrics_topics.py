@@ -216,3 +216,16 @@ def test_cross_validation_oversamples_training_folds_only(spark):
 def test_failed_fit_is_reported(spark):
     row = L.cross_val_score("DecisionTree", separable(spark, 30), 2, {"noSuchParameter": 1})
     assert row["cv_score"] is None and row["error"]
+
+
+def test_boosted_importances_and_refit(spark):
+    # only the first of three features tells the classes apart
+    rows = [(i, [float(i % 3), float(i % 7), float(i % 5)], i % 3) for i in range(120)]
+    data = L.as_vectors(spark.createDataFrame(rows, "row_id long, features array<double>, label int"))
+    boosted = L.fit_classifier("BoostedTrees", data, {"maxIter": 2, "maxDepth": 2})
+    got = L.feature_importances(boosted, ["a", "b", "c"])
+    assert [n for n, _ in got] == ["a", "b", "c"] and abs(sum(v for _, v in got) - 1) < 1e-9
+    assert L.select_features("BoostedTrees", data, {"maxIter": 2, "maxDepth": 2}) == [0]
+    model, best, scores = L.refit_best("DecisionTree", data, [{"maxDepth": 1}, {"maxDepth": 3}], 2)
+    assert best == {"maxDepth": 3} and scores.count() == 4
+    assert L.accuracy(model.transform(data)) == 1.0
