@@ -3,9 +3,11 @@
 The filter holds, for each word and each pair of neighbouring words of the
 training texts, as many entries as its quantised log count: (gram, 1) to
 (gram, q). A count is read back by probing (gram, 1), (gram, 2), ... until one is
-missing. The filter is made in slices, one task each, and broadcast. The score of
-a word after another is a Dirichlet-smoothed pair count over a smoothed word
-count, both from probes.
+missing. The filter is made in slices, one task each, with the same bits per entry
+at every size. A small one is broadcast; of a larger one each slice stays with its
+task, meets there the distinct grams of all blocks that belong to it, and the
+levels go back by block. The score of a word after another is a
+Dirichlet-smoothed pair count over a smoothed word count, both from probes.
 
 The exact word counts of the base score go through the dictionaries of blocks
 (:mod:`shelfwise.llm.blocks`): one row per block and distinct word is shuffled.
@@ -39,7 +41,7 @@ from shelfwise.llm.blocks import (
     widen,
 )
 from shelfwise.llm.bloom import Slices, assemble, best_hashes, fill, mix64
-from shelfwise.session import materialize
+from shelfwise.session import materialize, release
 
 END = b"\n"  # no word holds a line end
 START_KEY = np.uint64(0x5DEECE66D)
@@ -124,7 +126,18 @@ def slot(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((grams >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), grams & np.uint64(0xFFFFFFFF)
 
 
-def fill_slice(most_bits: int):
+def code(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Slice and key inside it as one number."""
+    where, low = slot(grams, buckets)
+    return where.astype(np.uint64) << np.uint64(32) | low
+
+
+def gram_codes(seq: np.ndarray, lens: np.ndarray, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Codes of all distinct grams that scores of a block ask for, sorted."""
+    return np.unique(code(np.concatenate([mix64(keys), pair_keys(seq, lens, keys), mix64(np.array([START_KEY]))]), buckets))
+
+
+def fill_slice(most_bits: int | None = None):
     """One slice of the filter from all counts of its grams."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +146,9 @@ def fill_slice(most_bits: int):
         keys, at = np.unique(low, return_inverse=True)
         q = quantise(np.bincount(at, n))
         entries = np.repeat(keys, q) | (spread(np.ones(len(q), np.int64), q).astype(np.uint64) << np.uint64(32))
-        bits = min(most_bits, -(-len(entries) * BITS_PER_ENTRY // 64) * 64)
+        bits = -(-len(entries) * BITS_PER_ENTRY // 64) * 64
+        if most_bits is not None:
+            bits = min(most_bits, bits)
         k = best_hashes(len(entries), bits)
         return pd.DataFrame(
             {"slice": [df["bucket"].iloc[0]], "size": [bits], "hashes": [k], "bits": [fill(entries, bits, k)], "top": [q.max()]}
@@ -145,9 +160,14 @@ def fill_slice(most_bits: int):
 def levels(model: Slices, grams: np.ndarray) -> np.ndarray:
     """Quantised log counts by repeated probes; 0 for a gram that is not there."""
     part, low = slot(grams, len(model.size))
-    q = np.zeros(len(grams), np.int64)
-    left, j = np.arange(len(grams)), 0
-    while len(left) and j < model.top:
+    return climb(model, low, part, model.top)
+
+
+def climb(model: Slices, low: np.ndarray, part: np.ndarray, top: int) -> np.ndarray:
+    """Levels of keys in their slices, at most ``top``."""
+    q = np.zeros(len(low), np.int64)
+    left, j = np.arange(len(low)), 0
+    while len(left) and j < top:
         j += 1
         hit = model.holds(low[left] | np.uint64(j << 32), part[left])
         left = left[hit]
@@ -155,15 +175,44 @@ def levels(model: Slices, grams: np.ndarray) -> np.ndarray:
     return q
 
 
-def log_probs(model: Slices, seq, lens, keys, uni, tokens: int, types: int, prior: float) -> np.ndarray:
-    """log10 probability of each token after the one before it."""
+def ask(buckets: int):
+    """Per slice, the keys of a block's distinct grams."""
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for block, lens, blob, dictionary in zip(*(df[c] for c in ("block", "lens", "blob", "dictionary")), strict=True):
+            codes = gram_codes(unpack_seq(blob), np.asarray(lens), unpack_keys(dictionary), buckets)
+            where, low = (codes >> np.uint64(32)).astype(np.int64), codes & np.uint64(0xFFFFFFFF)
+            rows += [(int(where[a]), block, pack_seq(np.diff(low[a:b], prepend=np.uint64(0)))) for a, b in runs(where)]
+        return pd.DataFrame(rows, columns=["bucket", "block", "keys"])
+
+    return one
+
+
+def answer_slice(top: int):
+    """Per block, the levels of the keys it asks of one slice, in their order."""
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        model = assemble([r | {"slice": 0} for r in right.to_dict("records")], 1)
+        rows = []
+        for bucket, block, keys in zip(left["bucket"], left["block"], left["keys"], strict=True):
+            low = np.cumsum(unpack_seq(keys).astype(np.uint64))
+            q = climb(model, low, np.zeros(len(low), np.int64), top)
+            rows.append((block, bucket, zlib.compress(narrow(q), 1)))
+        return pd.DataFrame(rows, columns=["block", "slice", "levels"])
+
+    return one
+
+
+def log_probs(look, seq, lens, keys, uni, tokens: int, types: int, prior: float) -> np.ndarray:
+    """log10 probability of each token after the one before it; ``look`` gives the levels of grams."""
     pairs, at = np.unique(pair_keys(seq, lens, keys), return_inverse=True)
-    both = expected(levels(model, pairs))[at]
+    both = expected(look(pairs))[at]
     p1 = (uni[seq] + 1) / (tokens + types + 1)
     context = np.empty(len(seq))
     context[1:] = uni[seq[:-1]]
     first = (np.cumsum(lens) - lens)[lens > 0]
-    context[first] = expected(levels(model, mix64(np.array([START_KEY]))))[0]
+    context[first] = expected(look(mix64(np.array([START_KEY]))))[0]
     context = np.maximum(context, both)
     return np.log10(np.minimum(1.0, (both + prior * p1) / (context + prior)))
 
@@ -175,10 +224,10 @@ def score(
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
-    The filter takes 10 bits per entry and so grows with the grams of the
-    corpus, up to ``max_bytes``, which bounds the broadcast and goes with the
-    memory of a worker; beyond it more unseen grams look seen (with fewer probes
-    per entry), but none is left out.
+    The filter takes 10 bits per entry at every size and so grows with the grams
+    of the corpus. ``max_bytes`` bounds what is broadcast: a larger filter stays
+    in its slices and the grams of each block are sent to them. Scores do not
+    hang on which way is taken.
 
     Defined cases: a null or empty text is one end token; a null id counts as an
     empty text in the split; ids may repeat, each row is a text of its own;
@@ -192,32 +241,56 @@ def score(
     kind = table.schema["ids"].dataType.elementType.simpleString()
     made = (
         table.where("keys is not null").select("bucket", "keys", "counts").groupBy("bucket")
-        .applyInPandas(fill_slice(max_bytes * 8 // buckets), "slice long, size long, hashes long, bits binary, top long")
+        .applyInPandas(fill_slice(), "slice long, size long, hashes long, bits binary, top long")
     )
-    model = spark.sparkContext.broadcast(assemble([r.asDict() for r in made.collect()], buckets).plain())
+    slices = materialize(made, "lm-slices")
+    most = slices.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), F.coalesce(F.max("top"), F.lit(0))).first()
+    texts = table.where("blob is not null").select("block", "ids", "lens", "marks", "blob", "dictionary")
+    model = None
+    if most[0] <= max_bytes:
+        model = spark.sparkContext.broadcast(assemble([r.asDict() for r in slices.collect()], buckets).plain())
+        release(slices)
+    else:
+        asked = texts.groupBy("block").applyInPandas(ask(buckets), "bucket long, block long, keys binary")
+        answers = asked.groupBy("bucket").cogroup(slices.groupBy("slice"))
+        answers = answers.applyInPandas(answer_slice(most[1]), "block long, slice long, levels binary")
 
     words = dictionary(table).repartition("word").sortWithinPartitions("word")
     known = materialize(words.mapInPandas(count_words, ANSWER_SCHEMA + ", tokens long, types long"), "lm-counts")
     total = known.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     tokens, types = int(total[0]), int(total[1])
+    back = known.where("block is not null").select("block", *ANSWER)
+    if model is None:
+        back = back.unionByName(answers, allowMissingColumns=True)
 
     def rate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        grams = Slices(*model.value)
+        if model is None:
+            # one block meets here, so one row on the left
+            found = right[right["levels"].notna()].sort_values("slice")
+            right = right[right["levels"].isna()]
+            q = np.concatenate([widen(zlib.decompress(x)) for x in found["levels"]])
+        else:
+            grams = Slices(*model.value)
         start, size, counts = unpack_answers(right)
         exact = counts[start] if len(counts) else np.zeros(0, np.int64)
         base = np.log10((exact + 1) / (tokens + types + 1))
         out = []
         for ids, lens, marks, blob, dictionary in zip(*(left[c] for c in ("ids", "lens", "marks", "blob", "dictionary")), strict=True):
             keys = unpack_keys(dictionary)
-            uni = expected(levels(grams, mix64(keys)))
             seq, ends = unpack_seq(blob), np.cumsum(lens)
+            if model is None:
+                codes = gram_codes(seq, np.asarray(lens), keys, buckets)
+                look = lambda g: q[np.searchsorted(codes, code(g, buckets))]  # noqa: B023, E731
+            else:
+                look = lambda g: levels(grams, g)
+            uni = expected(look(mix64(keys)))
             a = 0
             while a < len(lens):
                 begin = ends[a] - lens[a]
                 b = max(a + 1, int(np.searchsorted(ends, begin + CHUNK, side="right")))
                 s, n = seq[begin : ends[b - 1]], np.asarray(lens[a:b])
                 cut = np.cumsum(n) - n
-                own = log_probs(grams, s, n, keys, uni, tokens, types, prior)
+                own = log_probs(look, s, n, keys, uni, tokens, types, prior)
                 out.append(
                     pd.DataFrame(
                         {
@@ -235,9 +308,8 @@ def score(
         return pd.concat(out)
 
     return (
-        table.where("blob is not null").select("block", "ids", "lens", "marks", "blob", "dictionary")
-        .groupBy("block")
-        .cogroup(known.where("block is not null").select("block", *ANSWER).groupBy("block"))
+        texts.groupBy("block")
+        .cogroup(back.groupBy("block"))
         .applyInPandas(
             rate,
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long,"

@@ -94,6 +94,16 @@ def test_base_scores(spark, block_chars):
     assert lm_scoring.score(no_docs(spark)).count() == 0
 
 
+def test_scores_do_not_hang_on_what_is_broadcast(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(edge_docs(spark).select("doc_id", "text"))
+    rows = lambda **o: sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in lm_scoring.score(docs, block_chars=1 << 18, **o).collect())
+    whole, sliced = rows(), rows(max_bytes=1 << 10)
+    assert [w[:3] for w in whole] == [s[:3] for s in sliced]
+    assert np.allclose([w[3:] for w in whole], [s[3:] for s in sliced], rtol=1e-12)
+    assert lm_scoring.score(no_docs(spark), max_bytes=-1).count() == 0
+
+
 def test_levels_read_back_quantised_counts():
     import pandas as pd
 
