@@ -18,14 +18,11 @@ from shelfwise.plans.q_metrics import _PRED, predictions
 from shelfwise.plans.registry import query
 from shelfwise.session import materialize
 
-SMALL = {
-    "RandomForest": {"numTrees": 10, "maxDepth": 5},
-    "BoostedTrees": {"maxIter": 3, "maxDepth": 3},
-    "DecisionTree": {"maxDepth": 5},
-    "SVM": {"maxIter": 10},
-    "NeuralNetwork": {"maxIter": 30},
-    "Bagging": {"numTrees": 10, "maxDepth": 5},
-}
+#: draws and sets of the reference's searches, and its sweep over label shares
+DRAWS, SETS = 20, 50
+FRACTIONS = (1.0, 0.8, 0.6, 0.4, 0.2)
+SWEEP_MODELS = ("RandomForest", "BoostedTrees", "Bagging")
+GAMMAS = (2.0, 5.0, 10.0, 20.0, 100.0, 200.0, 500.0)
 
 
 def five_classes(spark, d):
@@ -43,7 +40,7 @@ def halves(spark, d):
 def _report(spark, d, kind):
     train, test = stratified_split(five_classes(spark, d), "label", 0.8)
     train, test = materialize(train, "train"), materialize(test, "test")
-    model = L.fit_classifier(kind, train, SMALL[kind], balanced=True)
+    model = L.fit_classifier(kind, train, balanced=True)
     out = model.transform(test)
     total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
     checked = out.withColumn("sums_to_one", F.abs(total - 1) < 1e-9)
@@ -84,8 +81,10 @@ def c13(spark, d):
 
 @query("c4_random_search")
 def c4(spark, d):
-    draws = [{"maxDepth": 3, "minInstancesPerNode": 5}, {"maxDepth": 5, "minInstancesPerNode": 2}]
-    best, scores = L.random_search("DecisionTree", five_classes(spark, d), draws, 3)
+    sizes = spark.range(1, 31).select(F.col("id").alias("maxDepth"))
+    grid = sizes.select("maxDepth", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("minInstancesPerNode"))
+    draws = [r.asDict() for r in sample_params(grid, DRAWS).collect()]
+    best, scores = L.random_search("DecisionTree", five_classes(spark, d), draws)
     return scores.groupBy("draw").agg(F.avg("score").alias("score")).withColumn("best", F.lit(str(best["maxDepth"])))
 
 
@@ -110,21 +109,20 @@ def c5(spark, d):
 
 @query("c6_cross_val_score")
 def c6(spark, d):
-    row = L.cross_val_score("DecisionTree", five_classes(spark, d), 3, {"maxDepth": 4})
+    row = L.cross_val_score("DecisionTree", five_classes(spark, d))
     return spark.createDataFrame([tuple(row.values())], "model string, cv_score double, error string")
 
 
 @query("c14_model_bakeoff")
 def c14(spark, d):
-    models = {"DecisionTree": {"maxDepth": 4}, "LogisticRegression": {"maxIter": 10}, "NaiveBayes": {}}
-    scores, _ = L.model_bakeoff(five_classes(spark, d), models, folds=2)
+    scores, _ = L.model_bakeoff(five_classes(spark, d), dict.fromkeys(L.CLASSIFIERS, {}))
     return scores.drop("seconds")
 
 
 @query("c15_self_train")
 def c15(spark, d):
     known, pool = halves(spark, d)
-    _, labels = L.self_train("DecisionTree", known, pool, 0.7, 3, SMALL["DecisionTree"])
+    _, labels = L.self_train("DecisionTree", known, pool, 0.7)
     return labels.groupBy("labeled_iter").agg(F.count("*").alias("n"), F.count("label").alias("n_labeled"))
 
 
@@ -136,7 +134,7 @@ def c15_accept(spark, d):
 @query("c16_self_train_two_pass")
 def c16(spark, d):
     known, pool = halves(spark, d)
-    _, labels = L.self_train_two_pass("DecisionTree", known, pool, 0.7, max_iter=2, params=SMALL["DecisionTree"])
+    _, labels = L.self_train_two_pass("DecisionTree", known, pool, 0.7)
     return labels.groupBy("labeled_iter").agg(F.count("*").alias("n"), F.count("label").alias("n_labeled"))
 
 
@@ -179,21 +177,21 @@ def c18(spark, d):
 @query("c24_fraction_sweep")
 def c24(spark, d):
     known, pool = halves(spark, d)
-    out = L.fraction_sweep(known, pool, [0.5, 1.0], {"DecisionTree": {"maxDepth": 4}}, n_classes=5, bootstrap=20, max_iter=2)
+    out = L.fraction_sweep(known, pool, FRACTIONS, dict.fromkeys(SWEEP_MODELS, {}), n_classes=5, bootstrap=200)
     return out.drop("training_time")
 
 
 @query("c25_feature_importances")
 def c25(spark, d):
     data = five_classes(spark, d)
-    model = L.fit_classifier("RandomForest", data, SMALL["RandomForest"])
+    model = L.fit_classifier("RandomForest", data)
     return spark.createDataFrame(L.feature_importances(model, [f"e_{i}" for i in range(64)]), "feature string, importance double")
 
 
 @query("e9_select_from_model")
 def e9_model(spark, d):
     data = five_classes(spark, d)
-    model = L.fit_classifier("RandomForest", data, SMALL["RandomForest"])
+    model = L.fit_classifier("RandomForest", data)
     reduced, keep = select_by_importance(data, model.importances())
     from pyspark.ml.functions import vector_to_array
 
@@ -206,7 +204,7 @@ def m16(spark, d):
     for frac in (0.5, 1.0):
         part, _ = stratified_split(data, "label", frac)
         with timer.timed("DecisionTree", frac):
-            L.fit_classifier("DecisionTree", part, {"maxDepth": 3})
+            L.fit_classifier("DecisionTree", part)
     return timer.table(spark).select("model", "labeled_fraction", (F.col("training_time") > 0).alias("measured"))
 
 
@@ -216,13 +214,13 @@ def t15(spark, d):
     vecs = materialize(embed(docs, "text").select("row_id", F.col("embedding").cast("array<double>").alias("features")), "embed")
     # candidate numbers of topics follow the languages found in the table
     langs = D.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    ranges = langs.agg(F.count("*").cast("int").alias("k")).select(F.explode(F.array("k", F.col("k") * 2)).alias("n_topics"))
+    ranges = langs.agg(F.count("*").cast("int").alias("k")).select(F.explode(F.sequence(F.lit(2), F.col("k") + SETS)).alias("n_topics"))
 
     def cluster(_, p):
-        model = kmeans(vecs, p["n_topics"], n_init=1)
+        model = kmeans(vecs, p["n_topics"])
         return assign_clusters(vecs, centers(model)).select("row_id", F.col("cluster").alias("topic"))
 
-    infos, _ = TP.topic_sweep(docs, "text", sample_params(ranges, 2, 42), cluster)
+    infos, _ = TP.topic_sweep(docs, "text", sample_params(ranges, SETS, 42), cluster)
     return infos.select("n_topics", "topic", "count", "name")
 
 
@@ -231,6 +229,6 @@ def c22_graph(spark, d):
     from shelfwise.operators.graph import graph_learning
     from shelfwise.plans.q_graph import labeled_nodes
 
-    report, predicted = graph_learning(labeled_nodes(spark, d), 5, "propagation", (2.0, 5.0), folds=2, bootstrap=20)
+    report, predicted = graph_learning(labeled_nodes(spark, d), 5, "propagation", GAMMAS)
     keep = F.lit(report["cv_best_score"]).alias("cv_best_score")
     return predicted.select("id", "prediction", keep)

@@ -83,7 +83,7 @@ def c12(spark, d):
 @query("k1_kmeans")
 def k1(spark, d):
     v = vectors(spark, d)
-    model = K.kmeans(v, 10, n_init=2)
+    model = K.kmeans(v, 10)
     return K.assign_clusters(v, K.centers(model)).groupBy("cluster").agg(
         F.count("*").alias("n"), F.sum(F.col("distance") * F.col("distance")).alias("wcss")
     )
@@ -91,7 +91,7 @@ def k1(spark, d):
 
 @query("k2_kmeans_sweep")
 def k2(spark, d):
-    return K.kmeans_sweep(vectors(spark, d), 4, n_init=1)
+    return K.kmeans_sweep(vectors(spark, d))
 
 
 @query(
