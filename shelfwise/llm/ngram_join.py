@@ -419,17 +419,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with different texts joins none of them by itself; equal rows are copies;
     other columns are ignored; an empty table gives no rows.
     """
-    documents, links = similar_classes(docs, id_col, text_col)
-    roots = materialize(components(links), "ngram-roots")
-    rows = documents.join(roots, documents["cls"] == roots["node"], "left").select(
-        "id", "n", F.coalesce("root", "cls").alias("root")
-    )
+    rows = _grouped(docs, id_col, text_col)
     least = rows.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     some = rows.where("n > 0").join(least, "root").select("id", "n", "component_id")
     none = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return some.union(none).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per input row: id, n and the root class of its component."""
+    documents, links = similar_classes(docs, id_col, text_col)
+    roots = materialize(components(links), "ngram-roots")
+    return documents.join(roots, documents["cls"] == roots["node"], "left").select(
+        "id", "n", F.coalesce("root", "cls").alias("root")
+    )
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that reach a smaller id by links.
 
@@ -441,3 +446,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = found.groupBy("doc_id").agg(F.max(first).alias("stays")).where("not stays").select("doc_id")
     gone = materialize(gone, "ngram-gone").toDF("_gone")
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
+def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: of the rows with the smallest id
+    (null last) the one numbered first.
+
+    Rows are numbered in a written copy, so repeated rows, repeated and null ids
+    are told apart. Documents without shingles stay.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
+    key = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    rows = _grouped(numbered.select(key.alias("_key"), text_col), "_key", text_col).where("n > 0")
+    rows = materialize(rows.select(F.col("id").alias("key"), "root"), "ngram-components")
+    first = rows.groupBy("root").agg(F.min("key").alias("first"))
+    gone = rows.join(first, "root").where("key.row <> first.row").select(F.col("key.row").alias("_row"))
+    gone = materialize(gone, "ngram-gone")
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from shelfwise.llm import embedding_dedup as ed
 from shelfwise.llm import ngram_join as nj
 from shelfwise.llm.components import components, forest
@@ -66,6 +67,17 @@ def test_edge_cases_of_texts(spark):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9]
 
 
+def test_one_row_of_each_group_stays(spark):
+    w = [f"w{i}" for i in range(60)]
+    base, near = " ".join(w), " ".join(w[:-1] + ["other"])
+    other, third = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(5, base), (5, base), (3, near), (5, third), (None, other), (None, other), (7, third), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    left = corpus_pipeline.drop_copies(spark, docs, D).collect()
+    got = sorted((str(r.doc_id), r.text or "") for r in left)
+    assert got == sorted([("3", near), ("5", third), ("None", other), ("None", ""), ("8", ""), ("8", "")])
+
+
 def test_components_against_union_find(spark):
     random.seed(1)
     edges = [(random.randrange(400), random.randrange(400)) for _ in range(330)] + [(1000, i) for i in range(1001, 1300)]
