@@ -3,8 +3,9 @@
 Besides three fixed kinds, a run of letters, digits and ``+/_=-`` is a secret
 when it has few characters per token under a byte-level BPE vocabulary: natural
 words are long tokens, random strings fall into tokens of one or two characters.
-Known digests (hex of usual lengths), UUIDs and plain identifiers are left out
-before the test.
+The run is measured as a whole, and so is each stretch between its readable
+pieces. Known digests (hex of usual lengths), UUIDs and identifiers whose pieces
+are cheap in tokens are left out before the test, as are numbers.
 """
 
 from __future__ import annotations
@@ -38,13 +39,16 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 RUN = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 KEYWORD = re.compile("[:=]")
-UUID = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+UNIT = re.compile(f"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+LETTER = re.compile("[A-Za-z]")
 DIGEST = re.compile("[0-9a-f]+|[0-9A-F]+")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 #: pieces of identifiers and paths: words, camel case or capitals, with at most four digits
-SEPARATOR = re.compile("[+/_=-]+")
+SEPARATORS = "+/_=-"
 PIECE = re.compile("[A-Z]?[a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}|[A-Z]+[0-9]{0,4}")
 MAX_CHARS_PER_TOKEN = 1.9
+MIN_RUN = 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,14 +56,47 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def is_known(pieces: list[str], encode, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """Whether pieces between joiners are UUIDs, digests, short numbers and
+    identifiers that are, taken together, cheap in tokens."""
+    chars = tokens = 0
+    for p in pieces:
+        if UUID.fullmatch(p) or (DIGEST.fullmatch(p) and len(p) in DIGEST_LENGTHS):
+            continue
+        if not PIECE.fullmatch(p):
+            return False
+        letters = p.rstrip("0123456789")
+        if len(letters) > 2:
+            # words in capitals are rare in vocabularies
+            chars, tokens = chars + len(letters), tokens + len(encode(letters.lower() if letters.isupper() else letters))
+    return not chars or chars > limit * tokens
+
+
 def is_random(run: str, encode, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
     """Whether a run is neither known nor cheap to write in tokens."""
-    if UUID.fullmatch(run) or all(map(PIECE.fullmatch, SEPARATOR.split(run))):
-        return False
-    if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS:
+    if not LETTER.search(run) or len(run) > limit * len(encode(run)):
         return False
-    kinds = any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run)
-    return kinds >= 2 and len(run) <= limit * len(encode(run))
+    return not is_known(UNIT.findall(run), encode, limit)
+
+
+def random_parts(run: str, encode, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """The whole run if it is random, else its random stretches of MIN_RUN
+    characters or more between readable pieces."""
+    if is_random(run, encode, limit):
+        return [(0, len(run))]
+    parts: list[list[int]] = []
+    fresh = True
+    for m in UNIT.finditer(run):
+        if not is_known([m[0]], encode, limit):
+            if fresh:
+                parts.append([m.start(), m.end()])
+                fresh = False
+            parts[-1][1] = m.end()
+        elif len(m[0].rstrip("0123456789")) > 2 or len(m[0]) > 6:
+            fresh = True  # a readable piece ends the stretch
+        elif not fresh:
+            parts[-1][1] = m.end()
+    return [(a, b) for a, b in parts if b - a >= MIN_RUN and is_random(run[a:b], encode, limit)]
 
 
 def union(spans: list[tuple[str, int, int]]) -> list[list[int]]:
@@ -85,9 +122,17 @@ def find_spans(text: str, encode, limit: float = MAX_CHARS_PER_TOKEN) -> list[tu
     for m in RUN.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
-        free = at == len(taken) or taken[at][0] >= m.end()
-        if free and is_random(m[0], encode, limit):
-            found.append(("random", m.start(), m.end()))
+        # what base spans leave uncovered of the run
+        begin, k, open_ = m.start(), at, []
+        while k < len(taken) and taken[k][0] < m.end():
+            open_.append((begin, taken[k][0]))
+            begin, k = taken[k][1], k + 1
+        open_.append((begin, m.end()))
+        for a, b in open_:
+            if a != m.start():
+                a += len(text[a:b]) - len(text[a:b].lstrip(SEPARATORS))
+            if b - a >= MIN_RUN:
+                found += [("random", a + x, a + y) for x, y in random_parts(text[a:b], encode, limit)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -46,6 +46,31 @@ def test_random_strings_and_known_ones():
     assert not any(ss.is_random(k, e) for k in known)
 
 
+def test_random_strings_of_one_class_behind_words_and_beside_base_spans():
+    e = encode()
+    random.seed(1)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n=40, a=alphabet: "".join(random.choices(a, k=n))
+    assert [x[0] for x in ss.find_spans("see ABQX-ZKWP-4821-TRMV now", e)] == ["random"]
+    capitals = [ss.find_spans(f"x {key(40, alphabet[:26])} y", e) for _ in range(50)]
+    assert sum(map(len, capitals)) >= 40
+    lower = [ss.find_spans(f"x {key(40, alphabet[26:52])} y", e) for _ in range(50)]
+    assert any(lower)
+    hit = 0
+    for _ in range(50):
+        k, name = key(), "internationalization_setting_of_the_configuration_environment_and_documentation"
+        t = f"x {name}={k} path/to/some/{name}/configuration/{k} y"
+        hit += k not in ss.redact(t, ss.find_spans(t, e))
+    assert hit >= 45
+    for _ in range(20):
+        k = key()
+        t = f"AKIA{key(16, alphabet[:26])}/{k}"
+        assert ss.redact(t, ss.find_spans(t, e)) == "[SECRET]/[SECRET]"
+    plain = ["users/123e4567-e89b-12d3-a456-426614174000/profile_picture", "2024-01-15-10-20-30", "1234567890123456", "=" * 30,
+             "Donaudampfschifffahrtsgesellschaft", "a_b_c_d_e_f_g_h_i_j"]
+    assert not any(ss.find_spans(t, e) for t in plain)
+
+
 def test_redaction_and_edge_cases(spark):
     assert ss.redact("a token=abcdef b", [("assign", 2, 14)]) == "a [SECRET] b"
     assert ss.redact("abcdefgh", [("x", 0, 4), ("y", 2, 6), ("z", 7, 8)]) == "[SECRET]g[SECRET]"
