@@ -49,3 +49,17 @@ def test_kmeans_has_its_starts(spark, monkeypatch):
     assert len(args) == 2 and not kw
     args, kw = seen(monkeypatch, q_neighbors.K, "kmeans_sweep", q_neighbors.k2, spark)
     assert len(args) == 1 and not kw
+
+
+def test_selection_stays_in_spark(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from shelfwise.operators.features import important_features
+    from shelfwise.plans import q_features
+
+    rows = spark.sql(f"select p_name f, avg(p_size) i from parquet.`{D}/part.parquet` group by p_name order by f").collect()
+    want = [rows[k] for k in important_features([r.i for r in rows])]
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: pytest.fail("collected"))
+        out = q_features.e9(spark, D)
+    assert sorted((r.feature, r.importance) for r in out.collect()) == sorted((r.f, round(r.i, 9)) for r in want)
