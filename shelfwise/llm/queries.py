@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm import (
     byte_bpe,
     embedding_dedup,
+    fill_in_middle,
     lm_scoring,
     ngram_join,
+    packing,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -200,3 +202,36 @@ from r
 @query("op10_url_filter", URL_SQL)
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.classify(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+FIM_SQL = """
+with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(doc_id::varchar, '')) h,
+           regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') u from documents),
+h as (select *, len(u)::bigint n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2,
+      ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+      when h4 % 100 < 50 then 'spm' else 'psm' end form from h),
+p as (select *, array_to_string(u[1:a], '') pre, array_to_string(u[a + 1:b], '') mid, array_to_string(u[b + 1:], '') suf from f)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end prefix_chars,
+       case when form <> 'plain' then length(mid) end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+              else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256,
+       sha256(t) restored_sha256
+from p
+"""
+
+
+@query("op12_fill_in_middle", FIM_SQL)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, d, "documents"))
+    back = fill_in_middle.restore(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), ids=False)
