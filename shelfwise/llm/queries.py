@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm import (
     byte_bpe,
+    collocations,
     embedding_dedup,
     fill_in_middle,
     lm_scoring,
@@ -204,6 +205,35 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.classify(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+PHRASE_SQL = """
+with d as (select row_number() over () rid, coalesce(lang, 'und') lang, translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+s as (select lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) piece from d),
+w as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') ws from s),
+i as (select lang, ws, unnest(range(1, len(ws) + 1)) i from w),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase from i, (select unnest([1, 2, 3, 4]) k) where i + k - 1 <= len(ws)),
+f as (select lang, k, phrase, count(*) f from g group by all),
+t as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') ws from f where k > 1 and f >= 30),
+h as (select lang, a, ws, k, unnest(range(2, k)) j from c),
+o as (select lang, a, ws, j, unnest(range(1, k - j + 2)) i from h),
+m as (select lang, array_to_string(ws[i:i + j - 1], ' ') phrase, max(a) over_a from o group by all),
+kept as (select c.* from c left join m using (lang, phrase) where over_a is null or 100 * over_a::hugeint < 80 * a::hugeint),
+x as (select *, unnest(range(1, k)) cut from kept),
+y as (select x.lang, x.phrase, x.a, x.cut, l.f l, r.f r, (2000000 * x.a::hugeint // (l.f + r.f))::bigint score from x
+      join f l on l.lang = x.lang and l.phrase = array_to_string(x.ws[1:x.cut], ' ')
+      join f r on r.lang = x.lang and r.phrase = array_to_string(x.ws[x.cut + 1:], ' ')),
+z as (select * from y qualify row_number() over (partition by lang, phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score
+from z join t using (lang) qualify rank <= 2000
+"""
+
+
+@query("op11_phrase_mining", PHRASE_SQL)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.mine(table(spark, d, "documents"))
+
+
 FIM_SQL = """
 with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(doc_id::varchar, '')) h,
            regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') u from documents),
