@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from shelfwise.llm.rows import tidy
 from shelfwise.session import scratch_path
 
 BLOCK_CHARS = 1 << 24
@@ -66,6 +67,7 @@ def unpack_seq(blob: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+@tidy
 def cut_blocks(
     batches: Iterator[pa.RecordBatch],
     schema: pa.Schema,
@@ -94,7 +96,9 @@ def cut_blocks(
         nonlocal index, seqs, ids, lens, marks, chars, made
         if not ids:
             return
-        block = (part << 11) | made  # below 2^31 with up to 2,048 blocks a task
+        if made >= 1 << 11 or part >= 1 << 20:
+            raise OverflowError("over 2,048 blocks in a task, or 2^20 tasks: raise block_chars")
+        block = (part << 11) | made  # below 2^31
         seq = np.concatenate(seqs) if seqs else np.zeros(0, np.uint32)
         uses = np.bincount(seq, minlength=len(index))
         rank = np.empty(len(index), np.int64)

@@ -33,6 +33,7 @@ from shelfwise.llm.blocks import (
     unpack_answers,
     unpack_seq,
 )
+from shelfwise.llm.rows import tidy
 from shelfwise.llm.secret_scan import VOCABULARY, load_ranks
 
 CHUNK = 1 << 16
@@ -86,6 +87,7 @@ def encode(
     table = block_table(docs, id_col, text_col, splitter(pattern), block_chars=block_chars, tag="bpe")
     kind = table.schema["ids"].dataType.elementType.simpleString()
 
+    @tidy
     def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks.value, special_tokens={})
         last, ids = None, []
@@ -105,6 +107,7 @@ def encode(
     schema = f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    @tidy
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         starts, sizes, flat = unpack_answers({c: right[c].to_pylist() for c in ANSWER})
         flat = flat.astype("<u4")

@@ -33,6 +33,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from shelfwise.llm.blocks import Index, narrow, pack_seq, runs, unpack_seq, widen
 from shelfwise.llm.bloom import mix64
+from shelfwise.llm.rows import tidy
 from shelfwise.session import materialize, measured, release
 
 BLOCK_CHARS = 1 << 24
@@ -61,6 +62,7 @@ def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
     )
 
 
+@tidy
 def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema, block_chars: int) -> Iterator[pa.RecordBatch]:
     """Per block and language: one row with the word numbers, and the distinct words with their uses."""
     made, chars, held = (TaskContext.get().partitionId() << 32), 0, {}
@@ -148,6 +150,7 @@ def _deal(parts: int):
     """The edges of a block, packed for each part."""
     schema = _schema("part int, n int, edges binary")
 
+    @tidy
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for blob in left["blob"].to_pylist():

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from shelfwise.llm.blocks import runs
 from shelfwise.llm.bloom import Slices, mix64, of_longs
 from shelfwise.llm.components import components
+from shelfwise.llm.rows import fresh, tidy, with_row
 from shelfwise.session import materialize, release
 
 WORDS = 5
@@ -99,6 +100,7 @@ def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     )
 
 
+@tidy
 def _first_order(batches: Iterator[pa.RecordBatch], schema: pa.Schema, buckets: int) -> Iterator[pa.RecordBatch]:
     """Document rows, and per bucket the prefix tokens of the group's classes."""
     memo = WordHash()
@@ -160,6 +162,7 @@ def _first_order(batches: Iterator[pa.RecordBatch], schema: pa.Schema, buckets:
         yield from flush()
 
 
+@tidy
 def _match_bucket(df: pd.DataFrame) -> pd.DataFrame:
     """Per group, its documents whose tokens occur in another place, with counts."""
     keys = [np.frombuffer(x, np.uint32) for x in df["keys"]]
@@ -184,6 +187,7 @@ def _match_bucket(df: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+@tidy
 def _survivors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Classes of a group that share enough tokens."""
     total = np.zeros(GROUP_DOCS + 1, np.int64)
@@ -194,6 +198,7 @@ def _survivors(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cls": left["cls"][stay].drop_duplicates()})
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema, members) -> Iterator[pa.RecordBatch]:
     """(cls, n, set) of the documents whose key may be a member's, once per batch."""
     memo, known = WordHash(), Slices(*members.value)
@@ -229,6 +234,7 @@ def _pack_sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator
 
 
 def _group_tokens(buckets: int):
+    @tidy
     def run(df: pd.DataFrame) -> pd.DataFrame:
         t, c = np.unique(np.frombuffer(b"".join(df["set"]), np.uint64), return_counts=True)
         where = ((t >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -247,6 +253,7 @@ def _group_tokens(buckets: int):
     return run
 
 
+@tidy
 def _frequencies(df: pd.DataFrame) -> pd.DataFrame:
     """Per group, its tokens that occur in two classes or more, with how many."""
     keys = [np.frombuffer(x, np.uint64) for x in df["keys"]]
@@ -269,6 +276,7 @@ PREFIX_SCHEMA = (
 )
 
 
+@tidy
 def _prefixes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Prefixes of a group's sets under each order, without tokens of one class.
 
@@ -435,31 +443,19 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that reach a smaller id by links.
-
-    Rows of one id stay or go together: an id goes if none of its rows is the
-    smallest of its component. Documents without shingles stay.
-    """
-    found = materialize(near_duplicates(docs, id_col, text_col), "ngram-components")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.groupBy("doc_id").agg(F.max(first).alias("stays")).where("not stays").select("doc_id")
-    gone = materialize(gone, "ngram-gone").toDF("_gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-
-
 def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: of the rows with the smallest id
-    (null last) the one numbered first.
+    (null last) the one that lies first.
 
-    Rows are numbered in a written copy, so repeated rows, repeated and null ids
-    are told apart. Documents without shingles stay.
+    Rows are told apart by their place in the files (or a numbered copy), so
+    repeated rows, repeated and null ids are, too. Documents without shingles stay.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "ngram-rows")
-    key = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    rows = _grouped(numbered.select(key.alias("_key"), text_col), "_key", text_col).where("n > 0")
+    numbered, row = with_row(docs)
+    key = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    name = fresh("_key", [*docs.columns, row])
+    rows = _grouped(numbered.select(key.alias(name), text_col), name, text_col).where("n > 0")
     rows = materialize(rows.select(F.col("id").alias("key"), "root"), "ngram-components")
     first = rows.groupBy("root").agg(F.min("key").alias("first"))
-    gone = rows.join(first, "root").where("key.row <> first.row").select(F.col("key.row").alias("_row"))
+    gone = rows.join(first, "root").where("key.row <> first.row").select(F.col("key.row").alias(row))
     gone = materialize(gone, "ngram-gone")
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)

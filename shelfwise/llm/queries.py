@@ -141,8 +141,11 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op5_source_mixing")
 def op5(spark: SparkSession, d: str) -> DataFrame:
+    draws = F.col("draws")
     return source_mixing.mix_plan(table(spark, d, "documents")).select(
-        F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken")
+        F.col("_id").alias("doc_id"), "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"),
+        F.transform(draws, lambda x: x["shard"]).alias("shards"),
+        F.transform(draws, lambda x: source_mixing.spot(F.col("h"), x)).alias("places"),
     )
 
 

@@ -16,10 +16,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.quality_rules import GAP, WHITE
+from shelfwise.llm.rows import fresh, with_row
 from shelfwise.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -204,19 +205,25 @@ def mix_plan(
 def mix(docs: DataFrame, shards: int = 64, seed: int = 7, id_col: str = "doc_id", **cols) -> DataFrame:
     """The mixed corpus: rows of ``docs``, repeated as drawn, with shard and place.
 
-    ``_shard`` is the output shard, ``_place`` a hash that orders it at random.
-    Rows are numbered for the join only; which are taken hangs on id and text.
+    ``_shard`` is the output shard, ``_place`` a hash that orders it at random
+    (with more underscores where ``docs`` has such columns). Rows are told apart
+    for the join only; which are taken hangs on id and text.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    plan = mix_plan(numbered, id_col="_row", order_col=id_col, shards=shards, seed=seed, **cols)
-    taken = plan.select(F.col("_id").alias("_row"), "h", F.explode("draws").alias("d")).select(
-        "_row", F.col("d.shard").alias("_shard"), F.xxhash64("h", "d.pass", "d.shard").alias("_place")
+    numbered, row = with_row(docs)
+    shard, place_ = fresh("_shard", docs.columns), fresh("_place", docs.columns)
+    plan = mix_plan(numbered, id_col=row, order_col=id_col, shards=shards, seed=seed, **cols)
+    taken = plan.select(F.col("_id").alias(row), "h", F.explode("draws").alias("d")).select(
+        row, F.col("d.shard").alias(shard), spot(F.col("h"), F.col("d")).alias(place_)
     )
-    return numbered.join(taken, "_row").drop("_row")
+    return numbered.join(taken, row).drop(row)
 
 
-def shuffled_shards(mixed: DataFrame) -> DataFrame:
-    """``mixed`` with one task's rows per shard, in the order of ``_place``."""
-    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place")
+def spot(h: Column, draw: Column) -> Column:
+    """A hash that places one draw of a document in its shard."""
+    return F.xxhash64(h, draw["pass"], draw["shard"])
 
 
+def shuffled_shards(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with one task's rows per shard, in the order of the place."""
+    shard, place_ = mixed.columns[-2:]
+    return mixed.repartition(shard).sortWithinPartitions(shard, place_)

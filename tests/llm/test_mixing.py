@@ -65,3 +65,29 @@ def test_edge_cases(spark):
     blank = edge_docs(spark).where("doc_id in (1, 2, 3)")
     assert all(r.target == 0 and not r.draws for r in sm.mix_plan(blank).collect())
     assert sm.mix(edge_docs(spark)).columns[:-2] == edge_docs(spark).columns
+
+
+def test_shards_follow_the_tree(spark):
+    """Every shard gets the same number of blocks, and of each source its share."""
+    docs = spark.range(16_000).selectExpr("id doc_id", "concat('w', id, ' x y z') text", "concat('s', id % 4) source")
+    rows = sm.mix_plan(docs, shards=8).collect()
+    words = np.zeros((8, 4))
+    for r in rows:
+        for d in r.draws:
+            words[d["shard"], int(r.source[1])] += r.size
+    by_shard, by_source = words.sum(axis=1), words.sum(axis=0)
+    assert by_shard.max() - by_shard.min() <= 0.06 * by_shard.mean()  # equal by the tree, not by chance
+    assert (np.abs(words / by_source - 1 / 8) < 0.08).all()
+
+
+def test_own_columns_survive(spark, tmp_path):
+    names = "_row long, _Shard string, _place double, __row int"
+    rows = [(i, f"a b {i}", "s", i, f"x{i}", i / 2, i) for i in range(50)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {names}")
+    docs.write.parquet(str(tmp_path / "docs"))
+    for d in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        out = sm.shuffled_shards(sm.mix(d, shards=3))
+        assert out.columns == [*docs.columns, "__shard", "__place"]
+        assert {tuple(r)[: len(names)] for r in out.select(*docs.columns).collect()} <= set(rows)
+        got = sorted((r.doc_id, r["__shard"]) for r in out.collect())
+        assert got == sorted((r._id, x["shard"]) for r in sm.mix_plan(docs, shards=3).collect() for x in r.draws)

@@ -62,9 +62,9 @@ def test_edge_cases_of_texts(spark):
     assert len(rows) == 11 and got[1] == {(0, 1)} and got[3] == {(0, 3)} and got[5] == {(2, 5)} and got[6] == {(2, 5)}
     assert got[4] == {(1, 4)} and got[None] == {(1, None)}
     assert nj.near_duplicates(no_docs(spark)).count() == 0
-    left = nj.one_of_each(edge_docs(spark))
+    left = nj.one_row_of_each(edge_docs(spark))
     assert left.columns == edge_docs(spark).columns
-    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9]
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
 
 
 def test_one_row_of_each_group_stays(spark):
