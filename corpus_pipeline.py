@@ -29,13 +29,13 @@ def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (not at all, once or more)."""
-    return source_mixing.mix(docs).drop("_shard", "_place")
+    """Documents as often as the mix takes them (not at all, once or more), shard by shard in random order."""
+    return source_mixing.shuffled_shards(source_mixing.mix(docs)).select(*docs.columns)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with the digests of ids and of the decoded bytes."""
-    coded = byte_bpe.encode(docs, decoded=True)
+    coded = byte_bpe.encode(docs, decoded=True, block_chars=1 << 24)
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
