@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.operators.graph import connected_components
+from shelfwise.operators.lloyd import Fit, kmeans_many
 from shelfwise.operators.neighbors import cluster_distance_sums, knn_join, nearest_centroid
 from shelfwise.operators.quantiles import exact_quantiles
 from shelfwise.session import materialize
@@ -20,18 +20,9 @@ def _vectors(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn("__vec", array_to_vector(F.col(vec).cast("array<double>")))
 
 
-def kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, vec: str = "features", max_iter: int = 100):
-    """The best of ``n_init`` fits by within-cluster squares (an ML model)."""
-    data = _vectors(df, vec).select("__vec").persist()
-    try:
-        best = None
-        for i in range(n_init):
-            model = KMeans(k=k, seed=seed + i, featuresCol="__vec", maxIter=max_iter).fit(data)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return best
-    finally:
-        data.unpersist()
+def kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, vec: str = "features", max_iter: int = 100) -> Fit:
+    """The best of ``n_init`` fits by within-cluster squares."""
+    return kmeans_many(df, [k], n_init, seed, vec, max_iter)[0]
 
 
 def centers(model) -> list[list[float]]:
@@ -39,12 +30,9 @@ def centers(model) -> list[list[float]]:
 
 
 def kmeans_sweep(df: DataFrame, max_k: int = 10, n_init: int = 10, seed: int = 42, vec: str = "features") -> DataFrame:
-    """(k, wcss, silhouette) for k = 2..max_k."""
-    rows = []
-    for k in range(2, max_k + 1):
-        model = kmeans(df, k, n_init, seed, vec)
-        labeled = assign_clusters(df, centers(model), vec)
-        rows.append((k, float(model.summary.trainingCost), silhouette_squared(labeled, "cluster", vec)))
+    """(k, wcss, silhouette) for k = 2..max_k, all fitted in the same scans."""
+    fits = kmeans_many(df, range(2, max_k + 1), n_init, seed, vec)
+    rows = [(f.k, f.cost, silhouette_squared(assign_clusters(df, centers(f), vec), "cluster", vec)) for f in fits]
     return df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 
 

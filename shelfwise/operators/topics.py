@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalars import tokenize
 from shelfwise.operators import relational as R
 from shelfwise.operators.sampling import leaderboard
+from shelfwise.operators.text import term_counts
 from shelfwise.session import materialize, measured
 
 UNKNOWN = "-1"
@@ -33,39 +34,53 @@ def topic_term_counts(docs: DataFrame, text: str, topic: str = "topic") -> DataF
     return tokens.groupBy(topic, "term").agg(F.count("*").alias("tf"))
 
 
-def topic_weights(docs: DataFrame, text: str, topic: str = "topic") -> DataFrame:
-    """Class-based TF-IDF: share of the term in its topic times ln(1 + A / f),
-    f the term's total and A the mean number of words per topic."""
-    counts = materialize(topic_term_counts(docs, text, topic), "topicterms")
-    sizes = measured(counts.groupBy(topic).agg(F.sum("tf").alias("size")), "topicsizes")
-    mean_size = sizes.agg(F.avg("size")).scalar()
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("f"))
+def weigh_terms(counts: DataFrame, topic: str = "topic", runs: Sequence[str] = ()) -> DataFrame:
+    """Class-based TF-IDF from (*runs, topic, term, tf), each run by itself: share of
+    the term in its topic times ln(1 + A / f), f the term's total and A the mean
+    number of words per topic."""
+    runs = list(runs)
+    sizes = measured(counts.groupBy(*runs, topic).agg(F.sum("tf").alias("size")), "topicsizes")
+    totals = counts.groupBy(*runs, "term").agg(F.sum("tf").alias("f"))
+    joined = counts.join(totals, [*runs, "term"]).join(sizes, [*runs, topic])
+    if runs:
+        joined = joined.join(sizes.groupBy(*runs).agg(F.avg("size").alias("__mean")), runs)
+        mean_size = F.col("__mean")
+    else:
+        mean_size = sizes.agg(F.avg("size")).scalar()
     share = F.col("tf") / F.col("size")
-    return (
-        counts.join(totals, "term")
-        .join(sizes, topic)
-        .select(topic, "term", (share * F.log(1 + mean_size / F.col("f"))).alias("weight"))
-    )
+    return joined.select(*runs, topic, "term", (share * F.log(1 + mean_size / F.col("f"))).alias("weight"))
+
+
+def topic_weights(docs: DataFrame, text: str, topic: str = "topic") -> DataFrame:
+    """:func:`weigh_terms` of the texts of each topic."""
+    return weigh_terms(materialize(topic_term_counts(docs, text, topic), "topicterms"), topic)
+
+
+def heaviest(weights: DataFrame, topic: str = "topic", top_n: int = 10, runs: Sequence[str] = ()) -> DataFrame:
+    order = W.partitionBy(*runs, topic).orderBy(F.desc(F.round("weight", 12)), "term")
+    return weights.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
 
 
 def topic_terms(docs: DataFrame, text: str, topic: str = "topic", top_n: int = 10) -> DataFrame:
     """The ``top_n`` heaviest words of each topic with their rank."""
-    order = W.partitionBy(topic).orderBy(F.desc(F.round("weight", 12)), "term")
-    ranked = topic_weights(docs, text, topic).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= top_n)
+    return heaviest(topic_weights(docs, text, topic), topic, top_n)
 
 
-def topic_info(docs: DataFrame, text: str, topic: str = "topic", top_n: int = 10) -> DataFrame:
-    """topic, count, name (id and four words), representation array."""
+def describe_topics(counts: DataFrame, terms: DataFrame, topic: str = "topic", runs: Sequence[str] = ()) -> DataFrame:
+    """(*runs, topic, count, name, representation) from document counts and ranked terms."""
+    keys = [*runs, topic]
     pairs = F.array_sort(F.collect_list(F.struct("rank", "term")))
-    words = topic_terms(docs, text, topic, top_n).groupBy(topic).agg(
-        F.transform(pairs, lambda x: x["term"]).alias("representation")
-    )
-    counts = docs.groupBy(topic).agg(F.count("*").alias("count"))
+    words = terms.groupBy(*keys).agg(F.transform(pairs, lambda x: x["term"]).alias("representation"))
     rep = F.coalesce("representation", F.array().cast("array<string>"))
-    out = counts.join(words, topic, "left").withColumn("representation", rep)
+    out = counts.join(words, keys, "left").withColumn("representation", rep)
     name = F.concat_ws("_", F.col(topic).cast("string"), F.array_join(F.slice("representation", 1, 4), "_"))
-    return out.select(topic, "count", name.alias("name"), "representation")
+    return out.select(*keys, "count", name.alias("name"), "representation")
+
+
+def topic_info(docs: DataFrame, text: str, topic: str = "topic", top_n: int = 10) -> DataFrame:
+    """topic, count, name (id and four words), representation array."""
+    counts = docs.groupBy(topic).agg(F.count("*").alias("count"))
+    return describe_topics(counts, topic_terms(docs, text, topic, top_n), topic)
 
 
 def document_info(docs: DataFrame, text: str, topic: str = "topic", key: str = "row_id") -> DataFrame:
@@ -234,22 +249,35 @@ def topic_sweep(
     docs: DataFrame,
     text: str,
     params: DataFrame,
-    cluster: Callable[[DataFrame, dict], DataFrame],
+    cluster: Callable[[DataFrame, list[dict]], DataFrame],
     key: str = "row_id",
     top_n: int = 10,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cluster and describe the documents under each parameter set.
+    """Cluster and describe the documents under every parameter set at once.
 
-    ``cluster(docs, params)`` returns (key, topic). Returns (topic table,
-    document table), each row tagged with its parameters. Parameter sets are a
-    small list; every fit inside is a distributed job.
+    ``cluster(docs, sets)`` returns (key, clusters): the topic of a document under
+    each set, in their order. Returns (topic table, document table), each row
+    tagged with its parameters. Texts are tokenised once; a document's distinct
+    terms are then counted in its topic of every set. Parameter sets are a small
+    list.
     """
-    infos, assigned = [], []
-    for row in params.collect():
-        p = row.asDict()
-        tags = [F.lit(v).alias(k) for k, v in p.items()]
-        topics = materialize(cluster(docs, p), "sweep")
-        tagged = docs.join(topics, key)
-        infos.append(topic_info(tagged, text, "topic", top_n).select(*tags, "*"))
-        assigned.append(document_info(tagged, text, "topic", key).select(*tags, "*"))
-    return R.union_all(*infos), R.union_all(*assigned)
+    spark = docs.sparkSession
+    sets = [r.asDict() for r in params.collect()]
+    tags = params.columns
+    named = spark.createDataFrame([(i, *[s[c] for c in tags]) for i, s in enumerate(sets)], "run int, " + ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in params.schema
+    ))
+    assigned = materialize(cluster(docs, sets), "sweep")
+    per_run = F.posexplode("clusters").alias("run", "topic")
+    terms = materialize(term_counts(docs, text, key), "postings")
+    spread = terms.join(assigned, key).select("term", "tf", per_run)
+    counts = materialize(spread.groupBy("run", "topic", "term").agg(F.sum("tf").alias("tf")), "topicterms")
+    ranked = heaviest(weigh_terms(counts, "topic", ["run"]), "topic", top_n, ["run"])
+    placed = assigned.select(key, per_run)
+    sizes = placed.groupBy("run", "topic").agg(F.count("*").alias("count"))
+    infos = describe_topics(sizes, ranked, "topic", ["run"]).join(named, "run")
+    where = placed.join(docs, key).join(named, "run")
+    return (
+        infos.select(*tags, "topic", "count", "name", "representation"),
+        where.select(*tags, key, F.col(text).alias("document"), "topic"),
+    )

@@ -6,8 +6,8 @@ from pyspark.sql import types as T
 from shelfwise.operators import learn as L
 from shelfwise.operators import metrics as M
 from shelfwise.operators import topics as TP
-from shelfwise.operators.clusters import assign_clusters, centers, kmeans
 from shelfwise.operators.features import select_by_importance
+from shelfwise.operators.lloyd import assign_many, kmeans_many
 from shelfwise.operators.relational import split_labeled
 from shelfwise.operators.runs import RunTimer
 from shelfwise.operators.sampling import sample_params, stratified_split
@@ -15,7 +15,7 @@ from shelfwise.operators.text import embed
 from shelfwise.plans import standins as D
 from shelfwise.plans.q_features import vectors
 from shelfwise.plans.q_metrics import _PRED, predictions
-from shelfwise.plans.registry import query
+from shelfwise.plans.registry import query, sql_hash_order
 from shelfwise.session import materialize
 
 #: draws and sets of the reference's searches, and its sweep over label shares
@@ -208,22 +208,41 @@ def m16(spark, d):
     return timer.table(spark).select("model", "labeled_fraction", (F.col("training_time") > 0).alias("measured"))
 
 
-@query("t15_topic_sweep")
-def t15(spark, d):
+def topic_runs(spark, d):
+    """(topic table, document table) of 50 numbers of topics, ten starts each."""
     docs = D.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
     vecs = materialize(embed(docs, "text").select("row_id", F.col("embedding").cast("array<double>").alias("features")), "embed")
     # candidate numbers of topics follow the languages found in the table
     langs = D.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     ranges = langs.agg(F.count("*").cast("int").alias("k")).select(F.explode(F.sequence(F.lit(2), F.col("k") + SETS)).alias("n_topics"))
 
-    def cluster(_, p):
-        model = kmeans(vecs, p["n_topics"])
-        return assign_clusters(vecs, centers(model)).select("row_id", F.col("cluster").alias("topic"))
+    def cluster(_, sets):
+        return assign_many(vecs, kmeans_many(vecs, [s["n_topics"] for s in sets]))
+
+    return TP.topic_sweep(docs, "text", sample_params(ranges, SETS, 42), cluster)
 
-    infos, _ = TP.topic_sweep(docs, "text", sample_params(ranges, SETS, 42), cluster)
+
+@query("t15_topic_sweep")
+def t15(spark, d):
+    infos, _ = topic_runs(spark, d)
     return infos.select("n_topics", "topic", "count", "name")
 
 
+@query(
+    "t15_topic_sweep_totals",
+    f"""with r as (select unnest(range(2, (select count(distinct lang) + {SETS + 1} from documents)::int))::int as n_topics),
+        s as (select * from r order by {sql_hash_order('n_topics', 42)}, n_topics limit {SETS})
+        select n_topics, (select count(*) from documents) as documents, true as in_bounds from s""",
+)
+def t15_totals(spark, d):
+    """Every document is in one topic of every set; no set has more topics than asked
+    for, no topic more than ten words."""
+    infos, placed = topic_runs(spark, d)
+    bounds = F.count("*").between(2, F.col("n_topics")) & (F.max(F.size("representation")) <= 10)
+    per = infos.groupBy("n_topics").agg(bounds.alias("in_bounds"))
+    return per.join(placed.groupBy("n_topics").agg(F.countDistinct("row_id").alias("documents")), "n_topics")
+
+
 @query("c22_graph_learning")
 def c22_graph(spark, d):
     from shelfwise.operators.graph import graph_learning

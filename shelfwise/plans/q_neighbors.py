@@ -1,5 +1,7 @@
 """Neighbour joins and clustering with their SQL twins."""
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import clusters as K
@@ -89,11 +91,41 @@ def k1(spark, d):
     )
 
 
+_SPREAD = f"""with {_E}, x as (select id, unnest(v) as c, unnest(range(len(v))) as i from e),
+  m as (select i, avg(c) as c from x group by i), ss as (select sum((x.c - m.c) * (x.c - m.c)) as s from x join m using (i))"""
+
+
+@query("k1_kmeans_balance", _SPREAD + " select 10::bigint as clusters, (select count(*) from e) as n, round(s, 3) as spread, true as settled from ss")
+def k1_balance(spark, d):
+    """What holds for any fit that has settled: the squares within the clusters and
+    between them add up to those of the table, and each center is its rows' mean."""
+    v = vectors(spark, d)
+    c = np.array(K.centers(K.kmeans(v, 10)))
+    rows = K.assign_clusters(v, c)
+    mean = F.array(*[F.avg(F.get("features", i)) for i in range(c.shape[1])])
+    per = rows.groupBy("cluster").agg(F.count("*").alias("n"), mean.alias("mean"), F.sum(F.col("distance") ** 2).alias("within")).collect()
+    n = np.array([r["n"] for r in per])
+    means = np.array([r["mean"] for r in per])
+    overall = n @ means / n.sum()
+    spread = sum(r["within"] for r in per) + float(n @ ((means - overall) ** 2).sum(1))
+    settled = bool(np.abs(means - c[[r["cluster"] for r in per]]).max() < 1e-3)
+    return spark.createDataFrame([(len(per), int(n.sum()), round(spread, 3), settled)], "clusters long, n long, spread double, settled boolean")
+
+
 @query("k2_kmeans_sweep")
 def k2(spark, d):
     return K.kmeans_sweep(vectors(spark, d))
 
 
+@query("k2_kmeans_sweep_falls", _SPREAD + " select unnest(range(2, 11))::int as k, true as falls, true as bounded from ss")
+def k2_falls(spark, d):
+    """The cost falls with every cluster more, from below the table's own squares."""
+    v = vectors(spark, d)
+    sweep = K.kmeans_sweep(v)
+    before = F.lag("wcss", 1, float("inf")).over(Window.orderBy("k"))  # nine rows
+    return sweep.select("k", (F.col("wcss") < before).alias("falls"), F.col("silhouette").between(-1, 1).alias("bounded"))
+
+
 @query(
     "k3_assign_clusters",
     f'with {_NEAREST} select id as row_id, cluster as "BERT_PCA_Cluster_Labels", round(distance, 6) as "BERT_PCA_Distance_to_Centroid" from near',

@@ -49,6 +49,20 @@ def test_kmeans_has_its_starts(spark, monkeypatch):
     assert len(args) == 2 and not kw
     args, kw = seen(monkeypatch, q_neighbors.K, "kmeans_sweep", q_neighbors.k2, spark)
     assert len(args) == 1 and not kw
+    args, kw = seen(monkeypatch, q_neighbors.K, "kmeans_many", q_neighbors.k2, spark)
+    assert list(args[1]) == list(range(2, 11)) and args[2] == 10
+
+
+def test_the_topic_sweep_ends(spark):
+    """50 sets of ten starts, all the way."""
+    from shelfwise.plans.catalog import QUERIES
+
+    rows = QUERIES["t15_topic_sweep"](spark, D).collect()
+    sizes = {}
+    for r in rows:
+        sizes.setdefault(r.n_topics, []).append(r["count"])
+    n = spark.read.parquet(f"{D}/documents.parquet").count()
+    assert len(sizes) == 50 and all(sum(c) == n and len(c) <= k for k, c in sizes.items())
 
 
 def test_selection_stays_in_spark(spark, monkeypatch):
