@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -39,6 +40,8 @@ from shelfwise.session import materialize
 
 # -- classifiers --------------------------------------------------------------
 TREE_KINDS = ("RandomForest", "Bagging", "DecisionTree", "BoostedTrees")
+#: class models of one fit that run at the same time
+CLASS_MODELS = 8
 
 
 def _forest(p, seed, weight):
@@ -56,12 +59,12 @@ def _tree(p, seed, weight):
 
 
 def _boosted(p, seed, weight):
-    est = OneVsRest(classifier=GBTClassifier(seed=seed, **p))
+    est = OneVsRest(classifier=GBTClassifier(seed=seed, **p), parallelism=CLASS_MODELS)
     return est.setWeightCol(weight) if weight else est
 
 
 def _svm(p, seed, weight):
-    est = OneVsRest(classifier=LinearSVC(**p))
+    est = OneVsRest(classifier=LinearSVC(**p), parallelism=CLASS_MODELS)
     return est.setWeightCol(weight) if weight else est
 
 
@@ -321,12 +324,12 @@ def self_train(
     label null and iter -1 where no round was confident enough; rows labelled
     from the start have iter 0.
 
-    Each round writes the scored pool once; accepted and remaining rows are
-    filters over that table, so nothing is joined back.
+    Each round writes the scored pool once, in files of a good size; accepted and
+    remaining rows are filters over that table, so nothing is joined back.
     """
     cols = [key, "features", label]
-    known = materialize(labeled.select(*cols), "known")
-    pool = materialize(unlabeled.select(key, "features"), "pool")
+    known = materialize(labeled.select(*cols).hint("rebalance"), "known")
+    pool = materialize(unlabeled.select(key, "features").hint("rebalance"), "pool")
     gold = [known.withColumn("labeled_iter", F.lit(0))]
     kind_of_label = known.schema[label].dataType
     open_rows = pool.count()
@@ -335,7 +338,8 @@ def self_train(
             break
         model = fit_classifier(kind, union_all(*gold), params, label, balanced, seed, selected)
         scored = accept_confident(model.transform(pool), threshold)
-        scored = materialize(scored.select(key, "features", F.col("prediction").cast(kind_of_label).alias(label), "accepted"), "scored")
+        scored = scored.select(key, "features", F.col("prediction").cast(kind_of_label).alias(label), "accepted")
+        scored = materialize(scored.hint("rebalance"), "scored")
         taken = scored.filter("accepted").drop("accepted").withColumn("labeled_iter", F.lit(it))
         left = scored.filter("not accepted").count()
         if left == open_rows:
@@ -453,49 +457,143 @@ def fraction_sweep(
     folds: int = 5,
     oversampling: str | None = None,
 ) -> DataFrame:
-    """One row per (model, label fraction): test and bootstrap metrics, pseudo-
-    label counts, threshold and seconds.
+    """One row per (model, label fraction): see :func:`sweep_runs`, whose ``runs`` it returns."""
+    return sweep_runs(
+        labeled, unlabeled, fractions, models, label, key, threshold, seed, n_classes, bootstrap, shared_threshold,
+        max_iter, draws, folds, oversampling,
+    ).runs
+
+
+@dataclass
+class Sweep:
+    """The result of a sweep, each table keyed by (model, labeled_fraction).
+
+    ``runs``: one row with all scalar results; ``scored``: the rows behind it, with
+    ``part`` (train or test), y, yhat and p; ``confusion`` (part, y, yhat, n);
+    ``reports`` (part, class, precision, recall, f1, support); ``cv``: every draw and
+    fold of the searches; ``importances`` (feature position, importance).
+    """
+
+    runs: DataFrame
+    scored: DataFrame
+    confusion: DataFrame
+    reports: DataFrame
+    cv: DataFrame | None
+    importances: DataFrame
+
+
+def sweep_runs(
+    labeled: DataFrame,
+    unlabeled: DataFrame,
+    fractions: Sequence[float],
+    models: Mapping[str, Mapping],
+    label: str = "label",
+    key: str = "row_id",
+    threshold: float = 0.8,
+    seed: int = 42,
+    n_classes: int | None = None,
+    bootstrap: int = 50,
+    shared_threshold: bool = False,
+    max_iter: int = 10,
+    draws: Mapping[str, Sequence[Mapping]] | None = None,
+    folds: int = 5,
+    oversampling: str | None = None,
+) -> Sweep:
+    """Self-training of every model at every share of the labels.
 
     80/20 test split, 90/10 validation split, a stratified share of the rest,
     optional oversampling, cross-validated search over ``draws`` of a model's
-    parameters, feature selection for tree models, self-training, evaluation.
-    The threshold state belongs to each model unless ``shared_threshold``.
+    parameters, feature selection for tree models, self-training, evaluation on
+    the labelled training rows and the test rows. The threshold state belongs to
+    each model, whose shares follow one another while models run side by side;
+    with ``shared_threshold`` all runs follow one another. Metrics of all runs
+    are computed together at the end.
     """
     spark = labeled.sparkSession
     train, test = stratified_split(labeled, label, 0.8, seed, key)
     train, val = stratified_split(train, label, 0.9, seed, key)
-    train, val, test = (materialize(x, "split") for x in (train, val, test))
+    train, val, test = (materialize(x.hint("rebalance"), "split") for x in (train, val, test))
     k = n_classes or labeled.agg(F.max(label)).first()[0] + 1
-    state: dict[str, tuple[float, float]] = {}
-    rows = []
-    for frac in fractions:
-        part = materialize(labeled_fraction(train, label, frac, seed, key), "fraction")
-        base = part if oversampling is None else _grown(part, label, oversampling, key, seed)
-        for kind, params in models.items():
-            t0 = time.time()
-            owner = "*" if shared_threshold else kind
-            t, best = state.get(owner, (threshold, 0.0))
-            if draws and draws.get(kind):
-                params, _ = random_search(
-                    kind, part, draws[kind], folds, label=label, seed=seed, key=key, oversampling=oversampling
-                )
-            chosen = select_features(kind, base, params, label, seed) if kind in TREE_KINDS else None
-            model, labels = self_train(kind, base, unlabeled, t, max_iter, params, label, key, True, seed, chosen)
-            f1 = M.label_metrics(M.confusion_counts(model.transform(val), (), label, "prediction")).first()["f1"]
-            state[owner] = next_threshold((t, best), f1)
-            out = materialize(model.transform(test).select(F.col(label).cast("int").alias("y"), F.col("prediction").alias("yhat"), "p"), "scored")
-            m = M.label_metrics(M.confusion_counts(out)).first()
-            auc = M.class_auc(out, k).filter("class = 'mean'").first()["auc"]
-            boot = M.bootstrap_metrics(out, bootstrap, seed, "multinomial").first()
-            ps = pseudo_label_summary(labels, k, t, label).first()
-            rows.append(
-                (kind, float(frac), m["accuracy"], m["f1"], m["balanced_accuracy"], m["kappa"], m["mcc"], auc,
-                 boot["mean_accuracy"], boot["std_accuracy"], ps["pseudo_label_count"], ps["not_pseudo_label_count"],
-                 t, ps["labeled_samples_count"], time.time() - t0)
+    parts = {f: materialize(labeled_fraction(train, label, f, seed, key).hint("rebalance"), "fraction") for f in fractions}
+    grown = {f: x if oversampling is None else _grown(x, label, oversampling, key, seed) for f, x in parts.items()}
+
+    def run(kind: str, frac: float, state: tuple[float, float]):
+        t0, (t, best), part, base, params, found = time.time(), state, parts[frac], grown[frac], models[kind], None
+        if draws and draws.get(kind):
+            params, found = random_search(
+                kind, part, draws[kind], folds, label=label, seed=seed, key=key, oversampling=oversampling
             )
-    schema = (
-        "model string, labeled_fraction double, accuracy double, f1 double, balanced_accuracy double, kappa double, mcc double, "
-        "roc_auc double, mean_accuracy double, std_accuracy double, pseudo_label_count long, not_pseudo_label_count long, "
-        "threshold double, labeled_samples_count long, training_time double"
+        chosen = select_features(kind, base, params, label, seed) if kind in TREE_KINDS else None
+        model, labels = self_train(kind, base, unlabeled, t, max_iter, params, label, key, True, seed, chosen)
+        f1 = M.label_metrics(M.confusion_counts(model.transform(val), (), label, "prediction")).first()["f1"]
+        both = [
+            model.transform(x).select(
+                F.lit(kind).alias("model"), F.lit(float(frac)).alias("labeled_fraction"), F.lit(name).alias("part"),
+                F.col(label).cast("int").alias("y"), F.col("prediction").alias("yhat"), "p",
+            )
+            for name, x in (("train", base.filter(F.col(label).isNotNull())), ("test", test))
+        ]
+        scored = materialize(union_all(*both).hint("rebalance"), "scored")
+        ps = pseudo_label_summary(labels, k, t, label).first()
+        own = cv_results(found).orderBy("rank_test_score", "draw").first() if found is not None else None
+        row = (
+            kind, float(frac), {a: str(b) for a, b in params.items()},
+            own and own["mean_test_score"], own and own["std_test_score"],
+            ps["pseudo_label_count"], ps["not_pseudo_label_count"], list(ps["pseudo_label_distribution"]), t,
+            ps["labeled_samples_count"], time.time() - t0,
+        )
+        weights = [(kind, float(frac), i, float(v)) for i, v in feature_importances(model, range(max(chosen) + 1 if chosen else 0))] if chosen else []
+        return row, scored, found, weights, next_threshold(state, f1)
+
+    def chain(kinds: Sequence[str]) -> list:
+        out, state = [], (threshold, 0.0)
+        for frac in fractions:
+            for kind in kinds:
+                *done, state = run(kind, frac, state)
+                out.append(done)
+        return out
+
+    chains = [list(models)] if shared_threshold else [[m] for m in models]
+    with ThreadPool(len(chains)) as pool:
+        done = [x for out in pool.map(chain, chains) for x in out]
+    by = ["model", "labeled_fraction"]
+    tagged = lambda df, r: df.select(F.lit(r[0]).alias(by[0]), F.lit(r[1]).alias(by[1]), "*")
+    facts = spark.createDataFrame(
+        [r for r, *_ in done],
+        "model string, labeled_fraction double, best_params map<string,string>, best_mean_cv_score double, "
+        "best_std_cv_score double, pseudo_label_count long, not_pseudo_label_count long, "
+        "pseudo_label_distribution array<long>, threshold double, labeled_samples_count long, training_time double",
     )
-    return spark.createDataFrame(rows, schema)
+    scored = union_all(*[x for _, x, *_ in done])
+    confusion = materialize(M.confusion_counts(scored, [*by, "part"]), "confusion")
+    cv = [tagged(x, r) for r, _, x, _ in done if x is not None]
+    runs = facts.join(_run_metrics(done, scored, confusion, k, bootstrap, seed), by)
+    return Sweep(
+        runs, scored, confusion, M.classification_report(confusion, [*by, "part"]), union_all(*cv) if cv else None,
+        spark.createDataFrame([w for *_, own in done for w in own], "model string, labeled_fraction double, position int, importance double"),
+    )
+
+
+def _run_metrics(done: list, scored: DataFrame, confusion: DataFrame, k: int, bootstrap: int, seed: int) -> DataFrame:
+    """All runs' scalar metrics; those of the training rows start with ``train_``."""
+    spark, by = scored.sparkSession, ["model", "labeled_fraction"]
+    names = ["accuracy", "f1", "precision", "recall", "balanced_accuracy", "kappa", "mcc", "error_rate"]
+    labels = M.label_metrics(confusion, [*by, "part"]).select(*by, "part", *names)
+    probs = scored.groupBy(*by, "part").agg(*M.probability_metrics(top_k=3))
+    both = labels.join(probs, [*by, "part"])
+    names += ["log_loss", "top_k_accuracy"]
+
+    def one(item):
+        row, own = item[0], item[1]
+        test = own.filter("part = 'test'")
+        auc = {p: M.class_auc(own.filter(F.col("part") == p), k).filter("class = 'mean'").first()["auc"] for p in ("test", "train")}
+        boot = M.bootstrap_metrics(test, bootstrap, seed, "multinomial").first().asDict()
+        return (row[0], row[1], auc["test"], auc["train"], *[boot[f"{a}_{m}"] for m in ("accuracy", "precision", "recall", "f1") for a in ("mean", "std")])
+
+    with ThreadPool(4) as pool:
+        rows = pool.map(one, done)
+    boots = ", ".join(f"{a}_{m} double" for m in ("accuracy", "precision", "recall", "f1") for a in ("mean", "std"))
+    areas = spark.createDataFrame(rows, f"model string, labeled_fraction double, roc_auc double, train_roc_auc double, {boots}")
+    test = both.filter("part = 'test'").drop("part")
+    train = both.filter("part = 'train'").select(*by, *[F.col(c).alias(f"train_{c}") for c in names])
+    return test.join(train, by).join(areas, by)

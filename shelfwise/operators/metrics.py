@@ -108,19 +108,32 @@ def classification_report(cm: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 # -- score metrics ------------------------------------------------------------
-def log_loss(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """-mean ln p(true) with clipped, renormalised rows."""
+def _loss(y: str, p: str) -> Column:
     clipped = F.transform(p, lambda x: F.least(F.greatest(x, F.lit(EPS)), F.lit(1 - EPS)))
     total = F.aggregate(clipped, F.lit(0.0), lambda s, x: s + x)
-    return df.agg(F.avg(-F.log(F.get(clipped, F.col(y)) / total)).alias("log_loss"))
+    return F.avg(-F.log(F.get(clipped, F.col(y)) / total)).alias("log_loss")
+
+
+def _among(k: int, y: str, p: str) -> Column:
+    own = F.get(p, F.col(y))
+    ahead = F.filter(p, lambda x, j: (x > own) | ((x == own) & (j > F.col(y))))
+    return F.avg((F.size(ahead) < k).cast("double")).alias("top_k_accuracy")
+
+
+def log_loss(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """-mean ln p(true) with clipped, renormalised rows."""
+    return df.agg(_loss(y, p))
 
 
 def top_k_accuracy(df: DataFrame, k: int = 3, y: str = "y", p: str = "p") -> DataFrame:
     """Share of rows whose class is among the k best; of equal scores the higher
     class index ranks first."""
-    own = F.get(p, F.col(y))
-    ahead = F.filter(p, lambda x, j: (x > own) | ((x == own) & (j > F.col(y))))
-    return df.agg(F.avg((F.size(ahead) < k).cast("double")).alias("top_k_accuracy"))
+    return df.agg(_among(k, y, p))
+
+
+def probability_metrics(y: str = "y", p: str = "p", top_k: int = 3) -> list[Column]:
+    """The aggregates of :func:`log_loss` and :func:`top_k_accuracy`, for any grouping."""
+    return [_loss(y, p), _among(top_k, y, p)]
 
 
 MICRO = "micro"
