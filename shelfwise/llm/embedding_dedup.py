@@ -47,8 +47,11 @@ def code_bits(dim: int) -> int:
 
 def plan_tables(vectors: int, threshold: float, recall: float) -> tuple[int, int]:
     """(bits per key, tables) so that a key holds few unrelated vectors and a
-    pair at the threshold agrees in some table with the recall asked for."""
-    bits = min(30, max(6, math.ceil(math.log2(max(2, vectors / PER_KEY)))))
+    pair at the threshold agrees in some table with the recall asked for; (0, 1)
+    if it asks for every pair."""
+    if recall >= 1:  # one key for all: every pair of a label is compared, part by part
+        return 0, 1
+    bits = min(62, max(6, math.ceil(math.log2(max(2, vectors / PER_KEY)))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
@@ -82,6 +85,8 @@ def table_keys(x: np.ndarray, bits: int, tables: int, seed: int = 1) -> np.ndarr
     """(row, table) keys from the signs under further random rotations."""
     dim = x.shape[1]
     need = bits * tables
+    if not need:
+        return np.zeros((len(x), tables), np.int64)
     turns = [rotation(dim, seed + 1 + k) for k in range(-(-need // dim))]
     signs = (x @ np.concatenate(turns, axis=1)[:, :need] >= 0).reshape(len(x), tables, bits)
     return signs @ (1 << np.arange(bits, dtype=np.int64))
@@ -92,8 +97,11 @@ def _clean(v):
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
 
 
-def links_in_keys(threshold: float):
-    """Counts of links and spanning links from rows sorted by key."""
+def links_in_keys(threshold: float, confidence: float = CONFIDENCE):
+    """Counts of links and spanning links from rows sorted by key.
+
+    Vectors of one length are compared at a time; keys hold the length, so no pair is cut apart.
+    """
     names = ["label", "dim", "tab", "key", "i", "j"]
 
     def compare(df: pd.DataFrame, heads: np.ndarray) -> pd.DataFrame:
@@ -115,7 +123,7 @@ def links_in_keys(threshold: float):
             ok = ~apart[a] | (part[a] != part[b])
             a, b = a[ok], b[ok]
             est, width = estimate(signs[a], factor[a], turned[b])
-            ok = est + width >= threshold
+            ok = est + width * (confidence / CONFIDENCE) >= threshold
             a, b = a[ok], b[ok]
             early = np.arange(keys.shape[1]) < tab[a][:, None]
             ok = ~((keys[a] == keys[b]) & early).any(axis=1)
@@ -151,10 +159,19 @@ def links_in_keys(threshold: float):
             heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             rest = df.iloc[heads[-1] :]
             if heads[-1]:
-                yield compare(df.iloc[: heads[-1]], heads[:-1])
+                yield from by_length(df.iloc[: heads[-1]], heads[:-1])
         if rest is not None and len(rest):
             yield compare(rest, np.zeros(1, np.int64))
 
+    def by_length(df: pd.DataFrame, heads: np.ndarray) -> Iterator[pd.DataFrame]:
+        dims = df["dim"].to_numpy()[heads]
+        of_row = np.repeat(dims, np.diff(np.r_[heads, len(df)]))
+        for d in np.unique(dims):
+            rows = of_row == d
+            first = np.zeros(len(df), bool)
+            first[heads] = True
+            yield compare(df[rows], np.flatnonzero(first[rows]))
+
     return run
 
 
@@ -165,7 +182,9 @@ def near_duplicates(
     """One row per input row: vec_id, n_links, component_id, kept.
 
     A pair with cosine at the threshold is met with probability ``recall`` (more
-    above it) and then decided exactly; no pair below it links.
+    above it) and then decided exactly; no pair below it links. ``recall=1``
+    loses none: all pairs of a label are compared in blocks of ``part_rows``, and
+    the estimate rules out none of them, so the work is quadratic in a label.
 
     Defined cases: a null label, and a null, empty or zero vector or one with
     null or non-finite components, links with nothing; vectors of different
@@ -211,7 +230,7 @@ def near_duplicates(
     )
     names = ["label", "dim", "tab", "key", "i", "j"]
     found = met.repartition(*names).sortWithinPartitions(*names).mapInPandas(
-        links_in_keys(threshold), "node long, links long, other long"
+        links_in_keys(threshold, CONFIDENCE if recall < 1 else math.inf), "node long, links long, other long"
     )
     found = materialize(found, "vector-links")
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))

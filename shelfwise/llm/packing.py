@@ -31,6 +31,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 import public_tokenizers
+from shelfwise.llm.rows import tidy
 from shelfwise.session import materialize, measured
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,7 +41,7 @@ GROUP_TOKENS = 1 << 22
 GROUP_PIECES = 1 << 18
 FAN = 16
 CHUNK = 1 << 20
-MEMO = 1 << 18
+MEMO = 1 << 19
 OUT_BYTES = 1 << 22
 #: Parts whose rules are spelled out here: printable ASCII and the Latin-1 letters.
 SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -53,14 +54,15 @@ class Words(dict):
 
     def __init__(self, own: Tokenizer):
         super().__init__()
-        self.own, self.letters = own, ByteLevel(add_prefix_space=False, use_regex=False)
+        named = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.own, self.names = own, {c: named(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def __missing__(self, key: str) -> bytes:
         word = key
         if len(self) > 2 * MEMO:
             self.clear()
         if not word.isascii():  # letters by their bytes, as the model names them
-            word = self.letters.pre_tokenize_str(word)[0][0]
+            word = word.translate(self.names)
         ids = [t.id for t in self.own.model.tokenize(word)]
         self[key] = found = pack_ids(f"<{len(ids)}I", *ids)
         return found
@@ -85,7 +87,8 @@ class Coder(dict):
         if len(self) > MEMO:
             self.clear()
         if SIMPLE(part):
-            found = b"".join(map(self.words.__getitem__, SIMPLE_WORDS(part.lower())))
+            low = part.lower()
+            found = self.words[low] if low.isalpha() else b"".join(map(self.words.__getitem__, SIMPLE_WORDS(low)))
         else:
             found = np.array(self.own.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         self[part] = found
@@ -149,6 +152,7 @@ def pieces(
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     last = np.array([end], "<u4").tobytes()
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, rows, held, made = Coder(path), [], 0, TaskContext.get().partitionId() << 40
 

@@ -26,6 +26,7 @@ from shelfwise.session import materialize, scratch_path
 MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
+MAX_TASKS = 100_000
 WINDOW = 1 << 20
 HEAD = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,9 +38,10 @@ def _name(page_id) -> str:
     return f"<urn:x-page:{'null' if page_id is None else int(page_id)}>"
 
 
-def _page(name: str | None) -> int | None:
-    tail = name.strip("<>").rpartition(":")[2] if name else "null"
-    return None if tail == "null" else int(tail)
+def _page(name: str) -> int | None:
+    """The page id in a name that :func:`_name` gives; null for any other name."""
+    scheme, _, tail = name.strip("<>").rpartition(":")
+    return int(tail) if scheme == "urn:x-page" and tail.lstrip("-").isdigit() else None
 
 
 def record(page_id, url: str | None, payload: bytes, sha1_hex: str, refers_to=None, revisit: bool = False) -> bytes:
@@ -125,32 +127,77 @@ def write_archives(
 
 
 def parse(member: bytes) -> dict:
-    """A record's fields from its decoded member."""
+    """A record's fields from its decoded member, whoever wrote it.
+
+    The raw id, type and target are always kept; page ids are read from the names
+    that :func:`record` gives, and are null in other archives. The payload is
+    the HTTP body with chunks joined, or the block of a record without HTTP; its
+    digest is the one stated as SHA-1, else it is taken here. A revisit has no
+    payload, and a size only if its HTTP head states one.
+    """
     head, _, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/1."):
         raise ValueError("not a WARC record")
-    field = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[: int(field["content-length"])]
     if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("length and record differ")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind = field["warc-type"]
-    stated = base64.b32decode(field["warc-payload-digest"].partition(":")[2]).hex()
-    size = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    if kind == "response" and (size != len(payload) or hashlib.sha1(payload).hexdigest() != stated):
-        raise ValueError("payload and digest differ")
+    kind, own = field["warc-type"], _page(field["warc-record-id"])
+    payload, stated = block, None
+    if field.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        sent = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
+        stated = int(sent[b"content-length"]) if sent.get(b"content-length", b"").isdigit() else None
+        if b"chunked" in sent.get(b"transfer-encoding", b"").lower():
+            payload, stated = joined_chunks(payload), None
+    digest = stated_digest(field.get("warc-payload-digest", ""))
+    if kind != "revisit":
+        taken = hashlib.sha1(payload).hexdigest()
+        if own is not None and (stated not in (None, len(payload)) or digest not in (None, taken)):
+            raise ValueError("payload and digest differ")
+        stated, digest = len(payload), digest or taken
     return {
-        "page_id": _page(field["warc-record-id"]),
+        "page_id": own,
         "record_type": kind,
-        "payload_bytes": size,
-        "payload_digest": stated,
-        "refers_to": _page(field["warc-refers-to"]) if kind == "revisit" else None,
-        "target_uri": field["warc-target-uri"],
-        "payload": payload if kind == "response" else None,
+        "payload_bytes": stated,
+        "payload_digest": digest,
+        "refers_to": _page(field.get("warc-refers-to", "")) if kind == "revisit" else None,
+        "target_uri": field.get("warc-target-uri"),
+        "record_id": field["warc-record-id"],
+        "payload": None if kind == "revisit" else payload,
     }
 
 
+def stated_digest(text: str) -> str | None:
+    """Lower-case hex of a stated SHA-1, in base 32 or hex; null for others."""
+    name, _, value = text.partition(":")
+    if name.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        return None
+    return raw.hex() if len(raw) == 20 else None
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """The body of a chunked message; one that breaks off gives what it has, one without chunks itself."""
+    out, at = [], 0
+    while at < len(body):
+        line, _, _ = body[at:].partition(b"\r\n") if len(body) - at < 64 else body[at : at + 64].partition(b"\r\n")
+        try:
+            n = int(line.partition(b";")[0], 16)
+        except ValueError:
+            return b"".join(out) if out else body
+        begin = at + len(line) + 2
+        out.append(body[begin : begin + n])
+        if n == 0:
+            break
+        at = begin + n + 2
+    return b"".join(out)
+
+
 def member_at(file, at: int, length: int) -> tuple[bytes, int] | None:
     """The decoded gzip member at ``at`` and where it ends, if it is a whole
     member that opens a WARC record."""
@@ -197,15 +244,19 @@ def scan_range(file, start: int, stop: int, length: int) -> Iterator[tuple[int,
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
     """One row per record of ``files`` (path, length): its fields and place.
 
-    Files are read in ranges of ``split_bytes`` by as many tasks; the paths must
-    be in a store that all executors reach (local, shared, HDFS or S3).
+    Files are read in ranges of ``split_bytes``, each by a task of its own (up to
+    ``MAX_TASKS``, then several ranges a task); the paths must be in a store that
+    all executors reach (local, shared, HDFS or S3). Archives of other writers are
+    read with what they state; see :func:`parse`.
     """
+    n = files.where("length > 0").agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
     starts = F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes).cast("long"))
     ranges = files.where("length > 0").select("path", "length", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(F.xxhash64("path", "start"))
+    # a stated number, or the few rows of the list would be merged into one task
+    ranges = ranges.repartition(min(int(n), MAX_TASKS), "path", "start")
     fields = (
         "path string, offset long, page_id long, record_type string, payload_bytes long, payload_digest string,"
-        " refers_to long, target_uri string" + ", payload binary" * payload
+        " refers_to long, target_uri string, record_id string" + ", payload binary" * payload
     )
     names = [x.split()[0] for x in fields.split(", ")]
 
@@ -217,7 +268,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: boo
                 with store.open_input_file(where) as file:
                     for at, x in scan_range(file, r.start, min(r.start + split_bytes, r.length), r.length):
                         rows.append(x | {"path": r.path, "offset": at})
-                        held += x["payload_bytes"] if payload else 200
+                        held += 200 + len(x["payload"] or b"") * payload
                         if held > 8 << 20:
                             yield frame(rows)
                             rows, held = [], 0
@@ -225,7 +276,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: boo
                     yield frame(rows)
 
     def frame(rows: list[dict]) -> pd.DataFrame:
-        whole = {"page_id", "refers_to"}  # may be null, and must not pass through floats
+        whole = {"page_id", "refers_to", "payload_bytes"}  # may be null, and must not pass through floats
         return pd.DataFrame(
             {k: pd.array([r[k] for r in rows], dtype="Int64" if k in whole else object) for k in names}
         )

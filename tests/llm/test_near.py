@@ -152,3 +152,21 @@ def test_estimates_are_unbiased_and_bounded():
     true = np.einsum("ij,ij->i", x, y)
     assert abs((est - true).mean()) < 0.01
     assert (np.abs(est - true) <= width).mean() > 0.999
+
+
+@pytest.mark.parametrize("recall", [0.995, 1])
+def test_vectors_of_several_lengths(spark, recall):
+    """Two lengths in one label, in one batch; with recall 1 all pairs are found."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(240):
+        dim = (48, 64, 5)[k % 3]
+        base = np.random.default_rng(k % 12).standard_normal(dim)
+        rows.append((k, (base + rng.choice([0, 0.1, 0.27]) * rng.standard_normal(dim)).tolist(), int(k % 2)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicates(df, recall=recall, part_rows=16).collect()}
+    n, root = links(rows)
+    if recall == 1:
+        assert got == {r[0]: (n[i], rows[root[i]][0]) for i, r in enumerate(rows)}
+    else:
+        assert 0.98 * sum(n) <= sum(g[0] for g in got.values()) <= sum(n)
