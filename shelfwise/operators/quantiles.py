@@ -9,6 +9,7 @@ the sketch; a value repeated over any share of the rows is one counted row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +19,8 @@ from shelfwise.session import measured
 
 ACCURACY = 10_000
 SLICES = 256
+#: columns whose brackets share a reading
+COLUMNS = 40
 
 
 def exact_quantiles(
@@ -33,9 +36,76 @@ def exact_quantiles(
     Null and NaN values are left out.
     """
     by, cols, probs = list(by), list(cols), list(probs)
+    if by:
+        totals, band = _grouped(df, cols, probs, by, accuracy)
+    else:
+        totals, band = _wide(df, cols, probs, accuracy)
+    return _ranked(totals, band, probs, by)
+
+
+def _marks(probs: Sequence[float], accuracy: int) -> tuple[list[float], list[float]]:
+    """Ranks that surely enclose each wanted one."""
     slack = 4.0 / accuracy
-    lows = [max(p - slack, 0.0) for p in probs]
-    highs = [min(p + slack, 1.0) for p in probs]
+    return [max(p - slack, 0.0) for p in probs], [min(p + slack, 1.0) for p in probs]
+
+
+def _number(c: str) -> Column:
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def _wide(df: DataFrame, cols: list[str], probs: list[float], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """Totals and bracket members of whole columns, from rows that are never multiplied.
+
+    The brackets (a few numbers per column) become literals. One reading sketches
+    all columns, one counts what lies outside their brackets, one collects the few
+    values inside.
+    """
+    spark, n = df.sparkSession, len(probs)
+    lows, highs = _marks(probs, accuracy)
+    facts, bands = [], []
+    for first in range(0, len(cols), COLUMNS):
+        some = cols[first : first + COLUMNS]
+        marks = F.array(*[F.lit(x) for x in lows + highs])
+        sketches = df.agg(*[F.percentile_approx(_number(c), marks, accuracy).alias(f"s{j}") for j, c in enumerate(some)]).first()
+        brackets = {
+            j: [(b[i] if lows[i] > 0 else None, b[n + i] if highs[i] < 1 else None, b[i], b[n + i]) for i in range(n)]
+            for j, b in enumerate(sketches)
+            if b is not None
+        }
+        if not brackets:
+            continue
+        aggs, hits = [], []
+        for j, edges in brackets.items():
+            v = _number(some[j])
+            aggs.append(F.count(v).alias(f"n{j}"))
+            for i, (lo, hi, low, high) in enumerate(edges):
+                if lo is not None:
+                    aggs += [F.count_if(v < lo).alias(f"below{j}_{i}"), F.max(F.when(v < lo, v)).alias(f"prev{j}_{i}")]
+                if hi is not None:
+                    aggs.append(F.min(F.when(v > hi, v)).alias(f"next{j}_{i}"))
+                ok = v.isNotNull() & (F.lit(True) if lo is None else v >= lo) & (F.lit(True) if hi is None else v <= hi)
+                spot = F.floor((v - low) / (high - low) * SLICES) if high > low else F.lit(0)
+                part = F.greatest(F.lit(0), F.least(spot, F.lit(SLICES - 1))).cast("int")
+                cell = F.struct(F.lit(some[j]).alias("column"), F.lit(i).alias("i"), part.alias("part"), v.alias("v"))
+                hits.append(F.when(ok, cell))
+        seen = df.agg(*aggs).first().asDict()
+        facts += [
+            (some[j], seen[f"n{j}"], i, seen.get(f"below{j}_{i}", 0), seen.get(f"prev{j}_{i}"), seen.get(f"next{j}_{i}"))
+            for j in brackets
+            for i in range(n)
+        ]
+        inside = df.select(F.array_compact(F.array(*hits)).alias("hits")).filter(F.size("hits") > 0)
+        bands.append(inside.select(F.inline("hits")).groupBy("column", "i", "part", "v").agg(F.count("*").alias("m")))
+    totals = spark.createDataFrame(facts, "column string, n long, i int, below long, prev double, next double")
+    if not bands:
+        return totals, spark.createDataFrame([], "column string, i int, part int, v double, m long")
+    return totals, measured(reduce(DataFrame.unionByName, bands), "band")
+
+
+def _grouped(df: DataFrame, cols: list[str], probs: list[float], by: list[str], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """The same per group, whose brackets are joined to one row per column."""
+    lows, highs = _marks(probs, accuracy)
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
     tall = df.select(*by, F.inline(F.array(*cells))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     group = by + ["column"]
@@ -87,7 +157,12 @@ def exact_quantiles(
     band = (
         marked.select(*group, "v", F.inline(hits)).groupBy(*group, "i", "part", "v").agg(F.count("*").alias("m"))
     )
-    band = measured(band, "band")  # a few rows in ten thousand, read twice
+    return totals, measured(band, "band")  # a few rows in ten thousand, read twice
+
+
+def _ranked(totals: DataFrame, band: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """The wanted ranks from the counted values inside the brackets."""
+    n = len(probs)
     keys = by + ["column", "i"]
     # running counts inside even value slices of the bracket, plus slice offsets
     earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)

@@ -175,3 +175,25 @@ def test_scratch_root_without_a_setting(spark, monkeypatch):
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
     root = session.shared_root(spark)
     assert root == session.shared_root(spark) and "shelfwise-" in root
+
+
+def test_exact_quantiles_of_many_columns(spark, monkeypatch):
+    """More columns than share a reading, with empty, constant, tied and partly null ones."""
+    from shelfwise.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "COLUMNS", 3)
+    rng = np.random.default_rng(6)
+    x = {
+        "a": rng.normal(size=5000), "b": np.full(5000, 7.0), "c": rng.integers(0, 3, 5000).astype(float),
+        "d": np.full(5000, np.nan), "e": np.where(rng.random(5000) < 0.5, np.nan, rng.random(5000)), "f": np.arange(5000.0),
+        "g": np.r_[-1e300, rng.normal(size=4998), 1e300],
+    }
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(zip(*x.values(), strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in x))
+    probs = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {r["column"]: [r[f"q{i}"] for i in range(5)] for r in Q.exact_quantiles(df, list(x), probs, accuracy=500).collect()}
+    assert set(got) == set(x) - {"d"}
+    for c, q in got.items():
+        assert np.allclose(q, np.nanquantile(x[c], probs), rtol=1e-12), c
+    assert Q.exact_quantiles(df, ["d"], [0.5]).count() == 0
+    assert Q.exact_quantiles(df.limit(0), ["a", "b"], [0.5]).count() == 0
