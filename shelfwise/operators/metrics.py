@@ -18,6 +18,7 @@ from shelfwise.functions.hashing import hash_int
 from shelfwise.functions.vectors import argmax
 from shelfwise.operators.aggregates import histogram, value_counts
 from shelfwise.operators.relational import decode_class
+from shelfwise.operators.sampling import poisson_weights
 from shelfwise.session import materialize
 
 EPS = 2.220446049250313e-16
@@ -268,13 +269,26 @@ def roc_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: i
 
 
 # -- bootstrap ----------------------------------------------------------------
-def bootstrap_counts(df: DataFrame, replicates: int, seed: int = 42, method: str = "draws") -> DataFrame:
-    """(b, y, yhat, n): confusion counts of resamples as large as the table.
+def weighted_counts(df: DataFrame, replicates: int, times: str = "times", y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """(b, y, yhat, n) from rows with an array of weights, one per replicate: one
+    aggregation by confusion cell, its sums taken apart afterwards."""
+    sums = F.array(*[F.sum(F.get(times, F.lit(b)).cast("long")) for b in range(replicates)])
+    cells = df.groupBy(F.col(y).alias("y"), F.col(yhat).alias("yhat")).agg(sums.alias("s"))
+    return cells.select(F.posexplode("s").alias("b", "n"), "y", "yhat").filter("n > 0").select("b", "y", "yhat", "n")
+
+
+def bootstrap_counts(
+    df: DataFrame, replicates: int, seed: int = 42, method: str = "draws", key: str = "row_id"
+) -> DataFrame:
+    """(b, y, yhat, n): confusion counts of resamples as large as the table
+    (with 'poisson' on average, for tables of any size: see ``poisson_weights``).
 
     Rows with the same (y, yhat) are interchangeable, so a resample is a draw
     from the confusion cells and no row is ever copied. 'draws' hashes every
     draw to a cell; 'multinomial' draws all cell counts of a replicate at once.
     """
+    if method == "poisson":
+        return weighted_counts(poisson_weights(df, replicates, seed, key), replicates)
     spark = df.sparkSession
     cells = sorted((r["y"], r["yhat"], r["n"]) for r in confusion_counts(df).collect())
     n = sum(c[2] for c in cells)
@@ -286,7 +300,7 @@ def bootstrap_counts(df: DataFrame, replicates: int, seed: int = 42, method: str
             rows += [(b, c[0], c[1], int(m)) for c, m in zip(cells, counts)]
         return spark.createDataFrame(rows, "b int, y int, yhat int, n long")
     if method != "draws":
-        raise ValueError(f"method must be 'draws' or 'multinomial', got {method!r}")
+        raise ValueError(f"method must be 'draws', 'multinomial' or 'poisson', got {method!r}")
     upper = np.cumsum([c[2] for c in cells]).tolist()
     draws = spark.range(n * replicates).select(
         F.floor(F.col("id") / n).cast("int").alias("b"), (F.col("id") % n + 1).alias("draw")
@@ -298,10 +312,12 @@ def bootstrap_counts(df: DataFrame, replicates: int, seed: int = 42, method: str
     return counted.select("b", F.get(table, F.col("s")).alias("c"), "n").select("b", "c.y", "c.yhat", "n")
 
 
-def bootstrap_metrics(df: DataFrame, replicates: int = 200, seed: int = 42, method: str = "draws") -> DataFrame:
+def bootstrap_metrics(
+    df: DataFrame, replicates: int = 200, seed: int = 42, method: str = "draws", key: str = "row_id"
+) -> DataFrame:
     """Mean and population std of accuracy and weighted precision, recall and F1
     over the replicates."""
-    per = label_metrics(bootstrap_counts(df, replicates, seed, method), ["b"])
+    per = label_metrics(bootstrap_counts(df, replicates, seed, method, key), ["b"])
     aggs = []
     for m in ("accuracy", "precision", "recall", "f1"):
         aggs += [F.avg(m).alias(f"mean_{m}"), F.stddev_pop(m).alias(f"std_{m}")]

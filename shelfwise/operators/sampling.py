@@ -9,6 +9,9 @@ offsets, and only the rows of one slice are ordered together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
+from itertools import accumulate
+from math import factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -211,6 +214,26 @@ def bootstrap(df: DataFrame, replicates: int, seed: int = 42, key: str = "row_id
     return draws.join(placed, "position").drop("position")
 
 
+_E_INVERSE = sum(Fraction((-1) ** k, factorial(k)) for k in range(40))
+#: distribution function of Poisson(1) in 2^60ths, up to where it rounds to 1
+POISSON = tuple(int(2**60 * x) for x in accumulate(_E_INVERSE / factorial(k) for k in range(20)))
+
+
+def poisson_weights(df: DataFrame, replicates: int, seed: int = 42, key: str = "row_id", out: str = "times") -> DataFrame:
+    """Add how often each of ``replicates`` resamples takes the row, as an array.
+
+    Each count is Poisson(1), read off a hash of row and replicate, so a resample
+    is as large as the table on average and no row is copied, moved or joined.
+    """
+    table = F.array(*[F.lit(x) for x in POISSON])
+
+    def times(b: Column) -> Column:
+        h = hash_int(F.concat_ws("-", F.col(key).cast("string"), b), seed)
+        return F.size(F.filter(table, lambda x: x <= h)).cast("int")
+
+    return df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), times))
+
+
 def sample_params(grid: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n random rows of a parameter grid."""
     token = F.concat_ws("/", *[F.col(c).cast("string") for c in grid.columns])

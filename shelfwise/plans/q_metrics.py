@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.hashing import hash_uniform
 from shelfwise.functions.vectors import argmax
 from shelfwise.operators import metrics as M
+from shelfwise.operators.sampling import POISSON
 from shelfwise.plans import standins as D
 from shelfwise.plans.registry import query, sql_hash_int, sql_uniform
 
@@ -159,7 +160,7 @@ def m12(spark, d):
 @query(
     "m13_bootstrap_metrics",
     f"""with {_PRED}, rk as (select y, yhat, row_number() over (order by y, yhat) - 1 as position from pred), n as (select count(*) as n from pred),
-        g as (select b.range as b, dr.range + 1 as draw from range(50) b, range((select n from n)) dr),
+        g as (select b.range as b, dr.range + 1 as draw from range(200) b, range((select n from n)) dr),
         x as (select b, {sql_hash_int("concat(b, '-', draw)", 42)} % n as position from g, n),
         s as (select b, y, yhat, count(*) as n from x join rk using (position) group by all),
         pc as (select b, c, sum(n) filter (y = c) as s, sum(n) filter (yhat = c) as q, sum(n) filter (y = c and yhat = c) as tp from s, unnest([0, 1, 2, 3, 4]) t(c) group by b, c),
@@ -169,7 +170,26 @@ def m12(spark, d):
         select {', '.join(f'round(avg({m}), 6) as mean_{m}, round(stddev_pop({m}), 6) as std_{m}' for m in ('accuracy', 'precision', 'recall', 'f1'))} from m""",
 )
 def m13(spark, d):
-    out = M.bootstrap_metrics(predictions(spark, d), 50)
+    out = M.bootstrap_metrics(predictions(spark, d), 200)
+    return _round(out, out.columns, 6)
+
+
+_POISSON = f"[{', '.join(f'{x}::bigint' for x in POISSON)}]"
+
+
+@query(
+    "m13_bootstrap_poisson",
+    f"""with {_PRED}, g as (select vec_id, y, yhat, b.range as b from pred, range(200) b),
+        w as (select b, y, yhat, len(list_filter({_POISSON}, lambda x: x <= {sql_hash_int("concat(vec_id, '-', b)", 42)})) as n from g),
+        s as (select b, y, yhat, sum(n) as n from w group by all),
+        pc as (select b, c, sum(n) filter (y = c) as s, sum(n) filter (yhat = c) as q, sum(n) filter (y = c and yhat = c) as tp from s, unnest([0, 1, 2, 3, 4]) t(c) group by b, c),
+        rp as (select b, coalesce(s, 0)::double as s, coalesce(tp, 0)::double as tp, coalesce(tp / nullif(q, 0)::double, 0) as pre, coalesce(tp / nullif(s, 0)::double, 0) as rec from pc),
+        m as (select b, sum(tp) / sum(s) as accuracy, sum(s * pre) / sum(s) as precision, sum(s * rec) / sum(s) as recall,
+              sum(s * coalesce(2 * pre * rec / nullif(pre + rec, 0), 0)) / sum(s) as f1 from rp group by b)
+        select {', '.join(f'round(avg({m}), 6) as mean_{m}, round(stddev_pop({m}), 6) as std_{m}' for m in ('accuracy', 'precision', 'recall', 'f1'))} from m""",
+)
+def m13_poisson(spark, d):
+    out = M.bootstrap_metrics(predictions(spark, d), method="poisson", key="vec_id")
     return _round(out, out.columns, 6)
 
 

@@ -114,6 +114,20 @@ def w9(spark, d):
     return W.bootstrap(D.table(spark, d, "labels").select("doc_id"), 50, 42, "doc_id").select("b", "draw", "doc_id")
 
 
+_POISSON = f"[{', '.join(f'{x}::bigint' for x in W.POISSON)}]"
+
+
+@query(
+    "w9_bootstrap_poisson",
+    f"""with g as (select doc_id, b.range as b from labels, range(50) b),
+        x as (select doc_id, b, len(list_filter({_POISSON}, lambda x: x <= {sql_hash_int("concat(doc_id, '-', b)", 42)})) as n from g)
+        select doc_id, string_agg(n::varchar, ',' order by b) as times from x group by doc_id""",
+)
+def w9_poisson(spark, d):
+    rows = W.poisson_weights(D.table(spark, d, "labels").select("doc_id"), 50, 42, "doc_id")
+    return rows.select("doc_id", F.array_join(F.col("times").cast("array<string>"), ",").alias("times"))
+
+
 @query("w10_head", "select doc_id, lang, source from documents order by doc_id limit 5")
 def w10(spark, d):
     return W.head(D.table(spark, d, "documents").select("doc_id", "lang", "source"), 5, "doc_id")
