@@ -34,6 +34,7 @@ from shelfwise.functions.vectors import argmax
 from shelfwise.operators import metrics as M
 from shelfwise.operators.balance import oversample, with_class_weight
 from shelfwise.operators.features import important_features
+from shelfwise.operators.kernels import Discriminant, FourierMap, Neighbours
 from shelfwise.operators.relational import union_all
 from shelfwise.operators.sampling import labeled_fraction, stratified_kfold, stratified_split
 from shelfwise.session import materialize
@@ -82,6 +83,19 @@ def _bayes(p, seed, weight):
     return est.setWeightCol(weight) if weight else est
 
 
+def _linear_discriminant(p, seed, weight):
+    est = Discriminant(**p)
+    return est.setWeightCol(weight) if weight else est
+
+
+def _quadratic_discriminant(p, seed, weight):
+    return _linear_discriminant({"quadratic": True, "ridge": 1e-6, **p}, seed, weight)
+
+
+def _neighbours(p, seed, weight):
+    return Neighbours(**p)
+
+
 CLASSIFIERS: dict[str, Callable] = {
     "RandomForest": _forest,
     "BoostedTrees": _boosted,
@@ -91,7 +105,13 @@ CLASSIFIERS: dict[str, Callable] = {
     "Bagging": _bagging,
     "LogisticRegression": _logistic,
     "NaiveBayes": _bayes,
+    "KernelSVM": _svm,
+    "LinearDiscriminant": _linear_discriminant,
+    "QuadraticDiscriminant": _quadratic_discriminant,
+    "KNN": _neighbours,
 }
+#: kinds fitted as one margin per class
+MARGINS = ("BoostedTrees", "SVM", "KernelSVM")
 
 
 class Fitted:
@@ -111,7 +131,7 @@ class Fitted:
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self._view(df)
-        if self.kind in ("BoostedTrees", "SVM"):
+        if self.kind in MARGINS:
             # the margin of each class model, logistic, then normalised
             margins = []
             for i, m in enumerate(self.model.models):
@@ -135,7 +155,7 @@ class Fitted:
 
 def _columns(est, kind: str):
     est = est.setFeaturesCol("__x").setLabelCol("__y").setPredictionCol("__pred")
-    if kind in ("BoostedTrees", "SVM"):
+    if kind in MARGINS:
         return est
     return est.setRawPredictionCol("__raw").setProbabilityCol("__prob")
 
@@ -152,7 +172,8 @@ def fit_classifier(
     """Fit one classifier; ``balanced`` weights rows by inverse class size.
 
     The neural network gets its features scaled to [0, 1] and, unless given,
-    one hidden layer.
+    one hidden layer. The kernel SVM gets random Fourier features; ``gamma`` and
+    ``n_features`` are theirs.
     """
     params = dict(params or {})
     shell = Fitted(kind, None, None, selected)
@@ -164,8 +185,11 @@ def fit_classifier(
             size = data.select(F.size(vector_to_array("__x")).alias("w"), "__y")
             shape = size.agg(F.max("w").alias("w"), (F.max("__y") + 1).cast("int").alias("k")).first()
             params["layers"] = [shape["w"], 16, shape["k"]]
+    if kind == "KernelSVM":
+        shell.scaler = FourierMap.fit(data, "__x", params.pop("gamma", None), params.pop("n_features", 512), seed)
+        data = shell.scaler.transform(data).withColumn("__x", F.col("__z")).drop("__z")
     weight = None
-    if balanced and kind != "NeuralNetwork":
+    if balanced and kind not in ("NeuralNetwork", "KNN"):
         data = with_class_weight(data, "__y", "__w")
         weight = "__w"
     shell.model = _columns(CLASSIFIERS[kind](params, seed, weight), kind).fit(data)
@@ -280,20 +304,26 @@ def model_bakeoff(
     seed: int = 42,
     key: str = "row_id",
     balanced: bool = False,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, predictions) of every classifier on one stratified split, with
-    its cross-validated accuracy, best first."""
+    its cross-validated accuracy, best first; ``parallelism`` of them at a time."""
     train, hold = stratified_split(df, label, 1 - test, seed, key)
-    train, hold = materialize(train, "bakeoff"), materialize(hold, "bakeoff")
-    rows, preds = [], []
-    for kind, params in models.items():
+    train, hold = materialize(train.hint("rebalance"), "bakeoff"), materialize(hold.hint("rebalance"), "bakeoff")
+
+    def one(item):
+        kind, params = item
         t0 = time.time()
         model = fit_classifier(kind, train, params, label, balanced, seed)
         out = materialize(model.transform(hold).select(key, label, "prediction"), "preds")
         m = M.label_metrics(M.confusion_counts(out, (), label, "prediction")).first()
         cv = cross_val_score(kind, train, folds, params, label=label, seed=seed, key=key)
-        rows.append((kind, m["accuracy"], m["balanced_accuracy"], m["f1"], cv["cv_score"], cv["error"], time.time() - t0))
-        preds.append(out.select(F.lit(kind).alias("model"), key, label, "prediction"))
+        row = (kind, m["accuracy"], m["balanced_accuracy"], m["f1"], cv["cv_score"], cv["error"], time.time() - t0)
+        return row, out.select(F.lit(kind).alias("model"), key, label, "prediction")
+
+    with ThreadPool(parallelism) as pool:
+        done = pool.map(one, models.items(), chunksize=1)
+    rows, preds = [r for r, _ in done], [p for _, p in done]
     schema = "model string, accuracy double, balanced_accuracy double, f1 double, cv_score double, error string, seconds double"
     scores = df.sparkSession.createDataFrame(rows, schema)
     return scores.orderBy(F.desc("accuracy"), "model"), union_all(*preds)

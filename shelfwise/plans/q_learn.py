@@ -7,6 +7,7 @@ from shelfwise.operators import learn as L
 from shelfwise.operators import metrics as M
 from shelfwise.operators import topics as TP
 from shelfwise.operators.features import select_by_importance
+from shelfwise.operators.kernels import Discriminant
 from shelfwise.operators.lloyd import assign_many, kmeans_many
 from shelfwise.operators.relational import split_labeled
 from shelfwise.operators.runs import RunTimer
@@ -119,6 +120,42 @@ def c14(spark, d):
     return scores.drop("seconds")
 
 
+_DISC = """e as (select vec_id as id, (label % 5)::int as y, embedding[1]::double as a, embedding[2]::double as b from embeddings),
+  k as (select count(distinct y) as k, count(*) as n from e),
+  m as (select y, count(*)::double as c, avg(a) as ma, avg(b) as mb from e group by y),
+  s as (select y, sum((a - ma) * (a - ma)) as aa, sum((a - ma) * (b - mb)) as ab, sum((b - mb) * (b - mb)) as bb from e join m using (y) group by y),
+  p as (select sum(aa) / (any_value(n) - any_value(k)) as paa, sum(ab) / (any_value(n) - any_value(k)) as pab, sum(bb) / (any_value(n) - any_value(k)) as pbb from s, k)"""
+
+
+def _disc_sql(aa, ab, bb):
+    return f"""with {_DISC}, v as (select y, c, ma, mb, {aa} as vaa, {ab} as vab, {bb} as vbb from m join s using (y), p),
+        d as (select e.id, v.y, ln(c / n) - ln(vaa * vbb - vab * vab) / 2
+          - (vbb * (a - ma) * (a - ma) - 2 * vab * (a - ma) * (b - mb) + vaa * (b - mb) * (b - mb)) / (vaa * vbb - vab * vab) / 2 as score from e, v, k)
+        select id as row_id, y as class, round(score, 6) as score from d"""
+
+
+def _discriminant(spark, d, **p):
+    v = vectors(spark, d).select("row_id", (F.col("label") % 5).cast("int").alias("__y"), F.slice("features", 1, 2).alias("__x"))
+    data = L.as_vectors(v, "__x")
+    scored = Discriminant(**p).fit(data).transform(data, out="s", raw=True)
+    return scored.select("row_id", F.posexplode("s").alias("class", "score")).withColumn("score", F.round("score", 6))
+
+
+@query("c14_linear_discriminant", _disc_sql("paa", "pab", "pbb"))
+def c14_linear(spark, d):
+    return _discriminant(spark, d)
+
+
+@query("c14_quadratic_discriminant", _disc_sql("aa / (c - 1)", "ab / (c - 1)", "bb / (c - 1)"))
+def c14_quadratic(spark, d):
+    return _discriminant(spark, d, quadratic=True)
+
+
+@query("c10_kernel_svm")
+def c10_kernel(spark, d):
+    return _report(spark, d, "KernelSVM")
+
+
 @query("c15_self_train")
 def c15(spark, d):
     known, pool = halves(spark, d)
