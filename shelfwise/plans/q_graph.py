@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import graph as G
 from shelfwise.operators import neighbors as N
+from shelfwise.operators.full_kernel import kernel_propagation
 from shelfwise.plans.q_features import vectors
 from shelfwise.plans.q_neighbors import _E, _knn_sql
 from shelfwise.plans.registry import query
@@ -17,6 +18,10 @@ _AFF = f"""{_E}, {_knn_sql(K)}, aff as (select src, dst, exp(-{GAMMA} * min(d) *
   from (select l as src, r as dst, d from kn{K} union all select r, l, d from kn{K}) group by src, dst)"""
 
 
+# the kernel of all pairs; a row's weight to itself is 1 in propagation, none in spreading
+_FULL = f"{_E}, aff as (select a.id as src, b.id as dst, exp(-{GAMMA} * pow(list_distance(a.v, b.v), 2)) as w from e a join e b on a.id <> b.id)"
+
+
 def labeled_nodes(spark, d):
     return vectors(spark, d).withColumn("label", F.when(F.col("row_id") % 4 == 0, F.col("label") % 5).cast("int"))
 
@@ -38,8 +43,8 @@ def _result(final: str) -> str:
     return f"select id, {shares}, case when {total} > 0 then {best} end::int as label from {final}"
 
 
-def _lp_sql() -> str:
-    ctes = [_AFF, _NODES, f"r0 as (select id, y, {_cols('coalesce((y = {c})::double, 0.0) as f{c}')} from nodes)"]
+def _lp_sql(aff: str = _AFF) -> str:
+    ctes = [aff, _NODES, f"r0 as (select id, y, {_cols('coalesce((y = {c})::double, 0.0) as f{c}')} from nodes)"]
     for i in range(ROUNDS):
         total = " + ".join(f"(f{c} + coalesce(g{c}, 0))" for c in CLASSES)
         new = ", ".join(
@@ -53,9 +58,9 @@ def _lp_sql() -> str:
     return f"with {', '.join(ctes)} {_result(f'r{ROUNDS}')}"
 
 
-def _ls_sql(alpha: float) -> str:
+def _ls_sql(alpha: float, aff: str = _AFF) -> str:
     ctes = [
-        _AFF, _NODES,
+        aff, _NODES,
         "deg as (select src as id, sum(w) as dg from aff group by src)",
         "sp as (select src, dst, w / sqrt(a.dg * b.dg) as w from aff join deg a on a.id = src join deg b on b.id = dst)",
         f"r0 as (select id, {_cols('coalesce((y = {c})::double, 0.0) as y{c}')}, {_cols('coalesce((y = {c})::double, 0.0) as f{c}')} from nodes)",
@@ -85,6 +90,16 @@ def c20(spark, d):
     return _frame(G.label_spreading(nodes, affinity(spark, d), 5, 0.4, ROUNDS, None))
 
 
+@query("c19_full_kernel_propagation", _lp_sql(_FULL))
+def c19_full(spark, d):
+    return _frame(kernel_propagation(labeled_nodes(spark, d), 5, GAMMA, max_iter=ROUNDS, tol=None))
+
+
+@query("c20_full_kernel_spreading", _ls_sql(0.2, _FULL))
+def c20_full(spark, d):
+    return _frame(kernel_propagation(labeled_nodes(spark, d), 5, GAMMA, "spreading", max_iter=ROUNDS, tol=None))
+
+
 @query("c21_rbf_affinity", f"with {_AFF} select src, dst, round(w, 6) as w from aff")
 def c21(spark, d):
     return N.rbf_affinity(vectors(spark, d), GAMMA, K).withColumn("w", F.round("w", 6))
