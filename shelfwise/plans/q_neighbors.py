@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import clusters as K
 from shelfwise.operators import neighbors as N
+from shelfwise.operators.descent import knn_descent, recall
 from shelfwise.operators.knn_vote import knn_classify
 from shelfwise.operators.sampling import stratified_split
 from shelfwise.plans import standins as D
 from shelfwise.plans.q_features import vectors
 from shelfwise.plans.registry import query, sql_hash_order
+from shelfwise.session import materialize
 
 _E = "e as (select vec_id as id, embedding::double[] as v, label from embeddings)"
 # class means serve as centroids
@@ -66,6 +68,15 @@ def k8(spark, d):
     return N.knn_graph(vectors(spark, d), 7).withColumn("distance", F.round("distance", 6))
 
 
+@query("k8_knn_graph_descent", "select count(*) as asked, 7 * count(*) as links, true as found, 0::bigint as wrong from embeddings")
+def k8_descent(spark, d):
+    """Neighbour descent against the exact join: nine of ten neighbours or more, no distance off."""
+    v = vectors(spark, d)
+    near = materialize(knn_descent(v, 7), "k8")
+    row = recall(near, v, 7)
+    return row.select("asked", near.agg(F.count("*")).scalar().alias("links"), (F.col("recall") >= 0.9).alias("found"), "wrong")
+
+
 _SPLIT = f"""s as (select id, v, label, row_number() over (partition by label order by {sql_hash_order('id', 42)}, id)
    <= floor(count(*) over (partition by label) * 0.8::double + 0.5) as train from e)"""
 
