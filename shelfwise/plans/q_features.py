@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfwise.functions.vectors import as_doubles
+from shelfwise.operators.categories import CategoryIndex
 from shelfwise.operators import balance as B
 from shelfwise.operators import features as E
 from shelfwise.plans import standins as D
@@ -19,6 +20,21 @@ def e1(spark, d):
     return o.select("o_orderkey", *[c.alias(n) for n, c in enc.columns().items()])
 
 
+@query(
+    "e1_category_index",
+    """with c as (select distinct 0 as c, null::double as x, o_orderstatus as v from orders union all
+          select distinct 1, o_custkey::double, o_custkey::varchar from orders union all select distinct 2, null, o_orderpriority from orders),
+        i as (select c, v, row_number() over (order by c, x, v) - 1 as position from c where v is not null),
+        r as (select o_orderkey, unnest([0, 1, 2]) as c, unnest([o_orderstatus, o_custkey::varchar, o_orderpriority]) as v from orders)
+        select o_orderkey, string_agg(position::varchar, ',' order by position) as indices from r join i using (c, v) group by o_orderkey""",
+)
+def e1_index(spark, d):
+    o = D.table(spark, d, "orders")
+    index = CategoryIndex.fit(o, ["o_orderstatus", "o_custkey", "o_orderpriority"])
+    out = index.transform(o, "o_orderkey")
+    return out.select("o_orderkey", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"))
+
+
 def _scaled(c: str, table: str, value: str | None = None) -> str:
     v = value or c
     return f"""({v} - (select quantile_cont({v}, 0.5) from {table})) / (select case when quantile_cont({v}, 0.75) = quantile_cont({v}, 0.25)
