@@ -8,11 +8,12 @@ grams are counted over the corpus:
    number over the corpus. A rarer word ends a piece, as no phrase can hold it.
 2. Each block gathers its edges, equal ones once with their weight, and deals
    them out by the two words they start with. Where both are so frequent that
-   they might fill a task, the third decides too, and then the fourth.
-3. Each part is sorted, so the flow out of a node is a sum over neighbours: with
-   the ends it gives the counts of three and of two words. A path that neither
-   branches nor ends on its way from two words to four is one row. Sums that a
-   part does not hold whole are added up afterwards.
+   they might fill a task, the third divides them over a few places, and then the
+   fourth: as many places as the rarest of these words could need.
+3. Each part (about ``PART_EDGES`` edges) is sorted, so the flow out of a node is a
+   sum over neighbours: with the ends it gives the counts of three and of two
+   words. A path that neither branches nor ends on its way from two words to four
+   is one row. Sums that a part does not hold whole are added up afterwards.
 
 All counts are exact; nothing is hashed but the place where rows meet.
 """
@@ -38,7 +39,9 @@ from shelfwise.session import materialize, measured, release
 
 BLOCK_CHARS = 1 << 24
 ROWS = 50_000
-PART_EDGES = 1 << 22
+PART_EDGES = 1 << 20
+PARTS_PER_TASK = 4
+LEVELS = 16
 END = b"\n"
 UPPER = bytes(range(65, 91))
 #: Every separator of pieces becomes a line feed, a tab a blank, A-Z lower case.
@@ -103,9 +106,10 @@ def edges(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     g = np.concatenate([g, np.zeros(3, np.uint64)])
     a, b, c, d = (g[k : len(g) - 3 + k] for k in range(4))
     some = (a != 0) & (b != 0)
-    a, b, c, d = a[some], b[some], c[some], d[some]
-    d = np.where(c == 0, np.uint64(0), d)
-    hi, lo = a << np.uint64(32) | b, c << np.uint64(32) | d
+    hi = a[some] << np.uint64(32) | b[some]
+    c = c[some]
+    lo = c << np.uint64(32) | np.where(c == 0, np.uint64(0), d[some])
+    del a, b, c, d, g
     order = np.lexsort((lo, hi))
     hi, lo = hi[order], lo[order]
     start = np.flatnonzero(heads(hi) | heads(lo))
@@ -116,15 +120,27 @@ def heads(x: np.ndarray) -> np.ndarray:
     return np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
 
 
+def shared_level(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least level of the first two and of the first three words of each edge."""
+    bits, half = np.uint64(LEVELS - 1), np.uint64(32)
+    two = np.minimum(hi >> half & bits, hi & bits)
+    return two, np.minimum(two, lo >> half & bits)
+
+
 def home(hi: np.ndarray, lo: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each edge; odd numbers are words that could fill a task."""
-    one, half = np.uint64(1), np.uint64(32)
-    two = (hi & hi >> half & one).astype(bool)
-    three = two & (lo >> half & one).astype(bool)
-    h = mix64(hi)
-    h = np.where(two, mix64(h ^ mix64(lo >> half)), h)
-    h = np.where(three, mix64(h ^ mix64(lo)), h)
-    return ((h >> half) % np.uint64(parts)).astype(np.int64)
+    """The part of each edge.
+
+    Edges of one pair share a part unless both words have a level: it says into how
+    many places, as a power of two, the edges of so frequent a word are split, and a
+    phrase is as rare as its rarest word. The third word, then the fourth, chooses
+    the place.
+    """
+    two, three = shared_level(hi, lo)
+    one = np.uint64(1)
+    place = mix64(lo >> np.uint64(32)) & ((one << two) - one)
+    last = mix64(lo) & ((one << three) - one)
+    h = mix64(mix64(hi) + place * np.uint64(0x9E3779B97F4A7C15) + last * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -169,37 +185,25 @@ def _deal(parts: int):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            hi, lo, c = unpack(blob, n)
-            for a in range(0, n, ROWS):
-                z = slice(a, a + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(x[z].astype(np.int64)) for x in (hi, lo, c)], names=["hi", "lo", "c"])
-
-
 def flows(hi: np.ndarray, lo: np.ndarray, c: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(hi, lo, a, since, whole) of the phrases that begin a stretch of sorted edges.
+    """(hi, lo, a, since, whole) of the phrases that begin the sorted edges of a part.
 
     ``whole`` rows hold all of a phrase, at least ``least`` times, and stand for
     the phrases of ``since`` words up to their own, all with the same count. The
-    others are parts of a sum: those at either end of the stretch, and those
-    whose words are all so frequent that they were dealt to several parts.
+    others are parts of a sum: their words are all so frequent that their edges
+    were dealt to several parts.
     """
-    half, one = np.uint64(32), np.uint64(1)
+    half = np.uint64(32)
     pair = heads(hi)
     node = pair | heads(lo >> half)
     edge = node | heads(lo)
-    hot = [(hi & hi >> half & one).astype(bool)]
-    hot.append(hot[0] & (lo >> half & one).astype(bool))
+    hot = [level > 0 for level in shared_level(hi, lo)]
     sums, starts, split, at = [], [], [], []
     for head, many in ((pair, hot[0]), (node, hot[1]), (edge, np.zeros(len(hi), bool))):
         s = np.flatnonzero(head)
-        broken = many[s].copy()
-        broken[[0, -1]] = True
         starts.append(s)
         sums.append(np.add.reduceat(c, s))
-        split.append(broken)
+        split.append(many[s])
         at.append(np.cumsum(head) - 1)
     out = []
     s2, s3, s4 = starts
@@ -232,23 +236,39 @@ def flows(hi: np.ndarray, lo: np.ndarray, c: np.ndarray, least: int) -> tuple[np
 
 
 def _scan(least: int):
+    """The phrases of each part, from its packed edges, which come sorted by part."""
+    names = ["hi", "lo", "a", "since", "whole"]
+
+    def phrases_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        hi, lo, c = (np.concatenate(x) for x in zip(*(unpack(blob, n) for n, blob in rows), strict=True))
+        order = np.lexsort((lo, hi))
+        hi, lo, a, since, whole = flows(hi[order], lo[order], c[order], least)
+        columns = (hi.astype(np.int64), lo.astype(np.int64), a, since.astype(np.int32), whole)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hi", "lo", "a", "since", "whole"]
+        last, held = None, []
         for b in batches:
-            if len(b):
-                hi, lo, c = (b.column(k).to_numpy() for k in range(3))
-                hi, lo, a, since, whole = flows(hi.astype(np.uint64), lo.astype(np.uint64), c, least)
-                columns = (hi.astype(np.int64), lo.astype(np.int64), a, since.astype(np.int32), whole)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+            for k in range(len(b)):
+                part, n, blob = (b.column(j)[k].as_py() for j in range(3))
+                if part != last and held:
+                    yield phrases_of(held)
+                    held = []
+                last = part
+                held.append((n, blob))
+        if held:
+            yield phrases_of(held)
 
     return run
 
 
-def word_table(table: DataFrame, least: int, parts: int, total: int) -> DataFrame:
+def word_table(table: DataFrame, least: int, tasks: int, total: int) -> DataFrame:
     """(lang, word, f, id) of the words seen ``least`` times or more.
 
-    Ids are even, or odd for words with more than a quarter of a part's share of
-    all words (fewer than 4 x parts of them); numbers are dense.
+    An id is a dense number and, in its last four bits, the word's level: 0 up to a
+    quarter of a task's share of all words, then one more each time the word is
+    twice as frequent. Fewer than 4 x tasks words have a level.
     """
     counted = table.where("word is not null").groupBy("lang", "word").agg(F.sum("uses").alias("f")).where(F.col("f") >= least)
     rows = materialize(counted.withColumn("mid", F.monotonically_increasing_id()), "phrase-words")
@@ -257,8 +277,9 @@ def word_table(table: DataFrame, least: int, parts: int, total: int) -> DataFram
     before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per task
     sizes = measured(sizes.select("part", F.coalesce(before, F.lit(0)).alias("before")), "phrase-sizes")
     number = F.col("before") + F.col("mid").bitwiseAND((1 << 33) - 1) + 1
-    hot = (F.col("f") > total / (4 * parts)).cast("long")
-    fits = F.when(number < 1 << 31, number * 2 + hot).otherwise(F.raise_error(F.lit("more than 2^31 frequent words")).cast("long"))
+    share = F.ceil(F.log2(F.col("f") * (4.0 * tasks / max(total, 1))))
+    level = F.least(F.greatest(share, F.lit(0)), F.lit(LEVELS - 1)).cast("long")
+    fits = F.when(number < 1 << 28, number * LEVELS + level).otherwise(F.raise_error(F.lit("2^28 frequent words or more")).cast("long"))
     return materialize(rows.join(sizes, part == F.col("part")).select("lang", "word", "f", fits.alias("id")), "phrase-ids")
 
 
@@ -279,15 +300,16 @@ def phrases(
         table.where("word is not null").groupBy("lang").agg(F.sum("uses").alias("n")), "phrase-totals"
     )
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_EDGES + 1)
-    known = word_table(table, least, parts, total)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(PARTS_PER_TASK * shuffle, total // PART_EDGES + 1)
+    tasks = max(shuffle, parts // PARTS_PER_TASK)
+    known = word_table(table, least, tasks, total)
 
     local = table.where("word is not null").select(F.col("block").alias("at"), "lang", "word", "local")
     local = local.join(known.select("lang", "word", "id"), ["lang", "word"]).select("at", "local", "id")
     seqs = table.where("blob is not null").select("block", "blob")
     dealt = seqs.groupBy("block").cogroup(local.groupBy("at")).applyInArrow(_deal(parts), "part int, n int, edges binary")
-    flat = dealt.repartition(parts, "part").select("n", "edges").mapInArrow(_unpacked, "hi long, lo long, c long")
-    found = flat.sortWithinPartitions("hi", "lo").mapInArrow(
+    found = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(
         _scan(least), "hi long, lo long, a long, since int, whole boolean"
     )
     found = materialize(found, "phrase-flows")
@@ -312,12 +334,12 @@ def _key(*g: Column) -> list[Column]:
 def _with_words(rows: DataFrame, known: DataFrame, column: str, *wanted: Column) -> DataFrame:
     """``rows`` with columns of the word whose id is in ``column``.
 
-    The words that many rows share are fewer than four times the parts, and are
-    broadcast; the others are joined by shuffle.
+    The words that many rows share have a level, are fewer than four times the
+    tasks, and are broadcast; the others are joined by shuffle.
     """
     side = known.select(F.col("id").alias(column), *wanted)
-    odd = F.col(column).bitwiseAND(1) == 1
-    return rows.where(odd).join(F.broadcast(side.where(odd)), column).unionByName(rows.where(~odd).join(side.where(~odd), column))
+    many = F.col(column).bitwiseAND(LEVELS - 1) > 0
+    return rows.where(many).join(F.broadcast(side.where(many)), column).unionByName(rows.where(~many).join(side.where(~many), column))
 
 
 def mine(

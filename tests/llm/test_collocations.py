@@ -90,28 +90,41 @@ def test_ties_rank_by_bytes(spark):
 
 def test_common_words_are_dealt_to_many_parts():
     rng = np.random.default_rng(3)
-    follower = rng.integers(1, 1 << 20, 5000).astype(np.uint64) * np.uint64(2)
-    hot = np.full(5000, 3, np.uint64)
+    follower = rng.integers(1, 1 << 20, 5000).astype(np.uint64) * np.uint64(16)
+    hot = np.full(5000, 16 | 8, np.uint64)  # level 8: up to 256 places
     for g, most in (([hot, hot, hot, follower], 300), ([hot, hot, follower, follower], 300), ([hot, follower, hot, hot], 300)):
         hi, lo = g[0] << np.uint64(32) | g[1], g[2] << np.uint64(32) | g[3]
         assert np.bincount(co.home(hi, lo, 64)).max() < most
-    hi = np.full(5000, 3 << 32 | 4, np.uint64)  # a pair that is not all common words stays whole
+    warm = np.full(5000, 32 | 1, np.uint64)  # level 1: two places at most
+    assert len(set(co.home(hot << np.uint64(32) | warm, follower << np.uint64(32) | follower, 64))) == 2
+    hi = np.full(5000, (16 | 8) << 32 | 32, np.uint64)  # a pair that is not all common words stays whole
     assert len(set(co.home(hi, follower << np.uint64(32), 64))) == 1
+    node = np.full(5000, follower[0], np.uint64)  # so does a node with one rare word
+    assert len(set(co.home(hot << np.uint64(32) | hot, node << np.uint64(32) | follower, 64))) == 1
 
 
 def test_edges_pack_and_flow():
-    g = np.array([2, 4, 6, 8, 0, 2, 4, 6, 8, 0, 2, 4, 0, 6, 0], np.uint64)
+    w = {k: k * 16 for k in range(12)}
+    g = np.array([w[k] for k in (2, 4, 6, 8, 0, 2, 4, 6, 8, 0, 2, 4, 0, 6, 0)], np.uint64)
     hi, lo, n = co.edges(g)
     back = co.unpack(co.pack(hi, lo, n), len(hi))
     assert all((x == y).all() for x, y in zip(back, (hi, lo, n), strict=True))
-    key = lambda *w: (w[0] << 32 | w[1], (w[2] << 32 if len(w) > 2 else 0) | (w[3] if len(w) > 3 else 0))
+
+    def key(*k):
+        k = [*(w.get(x, x) for x in k), 0, 0]
+        return k[0] << 32 | k[1], k[2] << 32 | k[3]
+
     assert dict(zip(zip(hi.tolist(), lo.tolist(), strict=True), n.tolist(), strict=True)) == {
         key(2, 4, 6, 8): 2, key(4, 6, 8): 2, key(6, 8): 2, key(2, 4): 1,
     }
-    # neighbours at both ends keep the group in the middle whole
-    pad = np.array([(1 << 34)], np.uint64)
-    a = np.r_[np.uint64(key(1 << 1, 2)[0]), np.repeat(np.uint64(key(4, 6)[0]), 2), pad]
-    b = np.array([0, key(0, 0, 8, 0)[1], key(0, 0, 8, 10)[1], 0], np.uint64)
-    rows = set(zip(*[x.tolist() for x in co.flows(a, b, np.array([1, 2, 5, 1]), 1)], strict=True))
-    assert (key(4, 6)[0], key(0, 0, 8)[1], 7, 2, True) in rows  # pair and node are one path
-    assert (key(4, 6)[0], key(0, 0, 8, 10)[1], 5, 4, True) in rows
+    # pair and node are one path; a pair of words that are both common is part of a sum
+    hot, warm = 5 * 16 + 1, 7 * 16 + 3
+    edges = {key(4, 6, 8): 2, key(4, 6, 8, 10): 5, key(hot, warm, 2): 3, key(hot, warm, 9 * 16 + 2, 4): 4}
+    hi, lo = (np.array(x, np.uint64) for x in zip(*sorted(edges), strict=True))
+    c = np.array([edges[k] for k in sorted(edges)])
+    rows = set(zip(*[x.tolist() for x in co.flows(hi, lo, c, 1)], strict=True))
+    third = 9 * 16 + 2
+    assert rows == {
+        (*key(4, 6, 8), 7, 2, True), (*key(4, 6, 8, 10), 5, 4, True), (*key(hot, warm), 7, 2, False),
+        (*key(hot, warm, 2), 3, 3, True), (*key(hot, warm, third), 4, 3, False), (*key(hot, warm, third, 4), 4, 4, True),
+    }
