@@ -61,6 +61,7 @@ def density_clusters(
     metric: str = "euclidean",
     key: str = "row_id",
     vec: str = "features",
+    near: DataFrame | None = None,
     **tiling,
 ) -> DataFrame:
     """(id, cluster, core, probability): components of near rows, noise = -1.
@@ -70,8 +71,12 @@ def density_clusters(
     distances is at most ``eps`` (by default a quantile of the core distances).
     Components below ``min_cluster_size`` are noise; a cluster's id is its
     smallest row id; probability is 1 - core / largest core of the cluster.
+    ``near`` may give the neighbours, as many as ``min_samples`` or more a row.
     """
-    near = materialize(knn_join(df, df, min_samples, metric, key, key, vec, exclude_self=True, **tiling), "density")
+    if near is not None:
+        near = near.filter(F.col("rank") <= min_samples)
+    else:
+        near = materialize(knn_join(df, df, min_samples, metric, key, key, vec, exclude_self=True, **tiling), "density")
     core = materialize(core_distances(near), "core")
     if eps is None:
         eps = exact_quantiles(core, ["core"], [eps_quantile]).first()["q0"]
@@ -104,10 +109,14 @@ def cluster_score(clustered: DataFrame, limit: float = 0.05) -> DataFrame:
 
 
 def cluster_random_search(df: DataFrame, params: DataFrame, key: str = "row_id", vec: str = "features", **kw) -> DataFrame:
-    """Score each parameter set (min_samples, min_cluster_size), lowest cost first."""
-    rows = []
-    for p in params.collect():
-        found = density_clusters(df, int(p["min_samples"]), int(p["min_cluster_size"]), key=key, vec=vec, **kw)
+    """Score each parameter set (min_samples, min_cluster_size), lowest cost first.
+    The neighbours are found once, as many as the largest set asks for."""
+    rows, sets = [], params.collect()
+    most = max((int(p["min_samples"]) for p in sets), default=1)
+    metric, tiling = kw.get("metric", "euclidean"), {k: v for k, v in kw.items() if k not in ("eps", "eps_quantile", "metric")}
+    near = materialize(knn_join(df, df, most, metric, key, key, vec, exclude_self=True, **tiling), "density")
+    for p in sets:
+        found = density_clusters(df, int(p["min_samples"]), int(p["min_cluster_size"]), key=key, vec=vec, near=near, **kw)
         s = cluster_score(found).first()
         rows.append((p["min_samples"], p["min_cluster_size"], s["n_labels"], s["cost"]))
     out = df.sparkSession.createDataFrame(rows, "min_samples int, min_cluster_size int, n_labels long, cost double")

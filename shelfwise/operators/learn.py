@@ -268,6 +268,17 @@ def cv_results(scores: DataFrame, by: Sequence[str] = ("draw",)) -> DataFrame:
     return per.withColumn("rank_test_score", F.rank().over(w))
 
 
+def cv_table(scores: DataFrame, folds: int, params: Sequence[str] = (), by: Sequence[str] = ("draw",)) -> DataFrame:
+    """:func:`cv_results` with the std of times, one column per fold
+    (``split0_test_score`` ...) and, where ``scores`` has a ``params`` map, one per
+    parameter (``param_...``)."""
+    by = list(by)
+    more = [F.stddev_pop("fit_time").alias("std_fit_time"), F.stddev_pop("score_time").alias("std_score_time")]
+    more += [F.max(F.when(F.col("fold") == f, F.col("score"))).alias(f"split{f}_test_score") for f in range(folds)]
+    more += [F.max(F.try_element_at("params", F.lit(p))).alias(f"param_{p}") for p in params]
+    return cv_results(scores, by).join(scores.groupBy(*by).agg(*more), by)
+
+
 def random_search(
     kind: str, df: DataFrame, draws: Sequence[Mapping], folds: int = 5, **kw
 ) -> tuple[Mapping, DataFrame]:

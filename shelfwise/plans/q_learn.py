@@ -108,6 +108,25 @@ def c5(spark, d):
     return out.withColumns({c: F.round(c, k) for c, k in n.items()})
 
 
+@query(
+    "c5_cv_table",
+    f"""with {_LONG}, p as (select draw, avg(score) as m, stddev_pop(score) as s, avg(fit_time) as ft, avg(score_time) as st, stddev_pop(fit_time) as sf, stddev_pop(score_time) as ss,
+          {', '.join(f'max(score) filter (fold = {f}) as split{f}_test_score' for f in range(5))} from lt group by draw)
+        select draw, round(m, 9) as mean_test_score, round(s, 9) as std_test_score, round(ft, 6) as mean_fit_time, round(st, 6) as mean_score_time,
+          rank() over (order by round(m, 12) desc)::int as rank_test_score, round(sf, 6) as std_fit_time, round(ss, 6) as std_score_time,
+          {', '.join(f'split{f}_test_score' for f in range(5))}, (draw % 7)::varchar as param_depth from p""",
+)
+def c5_table(spark, d):
+    e = D.table(spark, d, "events")
+    long = e.groupBy((F.col("user_id") % 20).cast("int").alias("draw"), (F.col("event_id") % 5).cast("int").alias("fold")).agg(
+        F.round(F.avg("value"), 4).alias("score"), F.count("*").cast("double").alias("fit_time"), F.max("value").alias("score_time")
+    )
+    long = long.withColumn("params", F.create_map(F.lit("depth"), (F.col("draw") % 7).cast("string")))
+    out = L.cv_table(long, 5, ["depth"])
+    n = {"mean_test_score": 9, "std_test_score": 9} | dict.fromkeys(["mean_fit_time", "mean_score_time", "std_fit_time", "std_score_time"], 6)
+    return out.withColumns({c: F.round(c, k) for c, k in n.items()})
+
+
 @query("c6_cross_val_score")
 def c6(spark, d):
     row = L.cross_val_score("DecisionTree", five_classes(spark, d))
