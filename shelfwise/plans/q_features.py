@@ -7,6 +7,7 @@ from shelfwise.operators.categories import CategoryIndex
 from shelfwise.operators import balance as B
 from shelfwise.operators import features as E
 from shelfwise.plans import standins as D
+from shelfwise.plans.q_scalars import TOKENS_SQL
 from shelfwise.plans.registry import query, sql_hash_int, sql_hash_order, sql_uniform
 
 _STATUS = ["F", "O", "P"]
@@ -89,7 +90,15 @@ def e4(spark, d):
     return t.withColumn("o_totalprice", F.round("o_totalprice", 6) + F.lit(0.0))
 
 
-@query("e4_ssl_pipeline_text")
+# the fitted features of documents: a column per language, the scaled length, a weight per kept term
+_TEXT_COUNTS = f"c as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOKENS_SQL.format(c='text')}) as term from documents) group by all)"
+_TEXT_VOCAB = f"""{_TEXT_COUNTS}, n as (select count(*) as n from documents),
+  v as (select term, count(*) as df from c group by term), k as (select term from v, n where df >= n * 0.005::double and df <= n * 0.99::double),
+  l as (select lang, row_number() over (order by lang) - 1 as i from (select distinct lang from documents where lang is not null)),
+  w as (select (select count(*) from l) as langs, (select count(*) from k) as terms)"""
+
+
+@query("e4_ssl_pipeline_text", f"with {_TEXT_VOCAB} select doc_id, (langs + 1 + terms)::int as width from documents, w")
 def e4_text(spark, d):
     docs = D.table(spark, d, "documents")
     p = E.ssl_pipeline(docs, ["lang"], ["n_chars"], "text", "doc_id")
@@ -99,7 +108,12 @@ def e4_text(spark, d):
     return t.select("doc_id", F.size(vector_to_array("features")).alias("width"))
 
 
-@query("e5_feature_names")
+@query(
+    "e5_feature_names",
+    f"""with {_TEXT_VOCAB} select i::int as position, concat('lang_', lang) as feature from l
+        union all select langs::int, 'n_chars' from w
+        union all select (langs + 1 + t)::int, concat('text_', t) from w, (select unnest(range((select terms from w))) as t)""",
+)
 def e5(spark, d):
     docs = D.table(spark, d, "documents")
     p = E.ssl_pipeline(docs, ["lang"], ["n_chars"], "text", "doc_id")
