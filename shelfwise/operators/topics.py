@@ -146,6 +146,35 @@ def reduce_topics(docs: DataFrame, text: str, nr: int, topic: str = "topic") ->
     return relabel(docs, target, topic)
 
 
+def merge_alike(
+    docs: DataFrame, text: str, least: float = 0.9, topic: str = "topic", max_rounds: int = 100
+) -> DataFrame:
+    """Merge topics until no two are alike: the number of topics is found, not given.
+
+    In each round every pair of topics that are each other's most similar one, with
+    a cosine of word counts of at least ``least``, becomes one (the smaller id); at
+    least the most similar pair does, so the rounds end. The noise topic -1 is left
+    alone. Similarities stay in Spark; topic ids and the pairs that merge reach the
+    driver. Documents are relabelled once at the end.
+    """
+    counts = materialize(topic_term_counts(docs, text, topic), "topicterms")
+    target = {r[topic]: r[topic] for r in docs.select(topic).distinct().collect()}
+    for _ in range(max_rounds):
+        live = sorted(set(target.values()) - {-1})
+        merged = relabel(counts, target, topic).groupBy(topic, "term").agg(F.sum("tf").alias("weight"))
+        sims = topic_similarity(merged.filter(F.col(topic) != -1), live, topic)
+        sims = sims.withColumn("s", F.round("similarity", 12)).filter((F.col("topic_a") != F.col("topic_b")) & (F.col("s") >= least))
+        near = sims.groupBy("topic_a").agg(F.min_by("topic_b", F.struct(-F.col("s"), "topic_b")).alias("near"))
+        near = measured(near, "near")
+        back = near.toDF("near", "back")
+        pairs = near.join(back, "near").filter("back = topic_a and near < topic_a").collect()
+        if not pairs:
+            break
+        move = {r["topic_a"]: r["near"] for r in pairs}
+        target = {k: move.get(v, v) for k, v in target.items()}
+    return relabel(docs, target, topic)
+
+
 def relabel(df: DataFrame, target: dict, topic: str = "topic") -> DataFrame:
     """Replace topic ids through a small map."""
     moved = [x for k, v in target.items() if k != v for x in (F.lit(k), F.lit(v))]

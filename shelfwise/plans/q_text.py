@@ -119,6 +119,28 @@ def t10(spark, d):
     return reduced.groupBy("topic").agg(F.count("*").alias("n"))
 
 
+def _alike_sql(rounds: int, least: float) -> str:
+    """Rounds of merging mutual nearest topics, unrolled."""
+    ctes = [_COUNTS, "t0 as (select distinct (doc_id % 12)::int as topic, (doc_id % 12)::int as now from documents)"]
+    for i in range(rounds):
+        ctes.append(
+            f"w{i} as (select now as topic, term, sum(tf)::double as w from c join t{i} on topic = doc_id % 12 group by all), "
+            f"l{i} as (select topic, sqrt(sum(w * w)) as norm from w{i} group by topic), "
+            f"s{i} as (select a.topic as a, b.topic as b, round(sum(a.w * b.w) / any_value(x.norm * y.norm), 12) as s from w{i} a join w{i} b on a.term = b.term and a.topic <> b.topic "
+            f"join l{i} x on x.topic = a.topic join l{i} y on y.topic = b.topic group by all having s >= {least}), "
+            f"n{i} as (select a, arg_min(b, (-s, b)) as b from s{i} group by a), "
+            f"m{i} as (select p.a, p.b from n{i} p join n{i} q on q.a = p.b and q.b = p.a where p.b < p.a), "
+            f"t{i + 1} as (select topic, coalesce(b, now) as now from t{i} left join m{i} on a = now)"
+        )
+    return f"with {', '.join(ctes)} select doc_id, now as topic from documents join t{rounds} on topic = doc_id % 12"
+
+
+@query("t10_merge_alike", _alike_sql(2, 0.9))
+def t10_alike(spark, d):
+    docs = D.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 12).cast("int").alias("topic"))
+    return T.merge_alike(docs, "text", 0.9, max_rounds=2).select("doc_id", "topic")
+
+
 # keyword topics: a topic is one (size, brand) group of parts (ids from -1 up),
 # its words are the sorted words of the group's part names
 _TOPIC_ID = "((p_size - 1) * 25 + cast(substr(p_brand, 7) as int) - 2)"
