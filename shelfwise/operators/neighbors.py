@@ -3,9 +3,11 @@
 Rows are routed to cells around a bounded set of pivots. The triangle
 inequality tells which right rows can matter to a left cell, so only those are
 sent there; oversized cells are cut into blocks on both sides, and one task
-sees one block pair. Tasks compute a block of distances with numpy and emit at
-most k rows (or one sum) per left row, never the pairs. Equal vectors are
-collapsed first, so a group of copies costs one row.
+sees one block pair. Where this leaves out less than half of the pairs, cells are
+given up: rows are cut into blocks by hash, as few as fill the task slots and fit
+a worker, so each row travels a few times only. Tasks compute a block of distances
+with numpy and emit at most k rows (or one sum) per left row, never the pairs.
+Equal vectors are collapsed first, so a group of copies costs one row.
 """
 
 from __future__ import annotations
@@ -25,7 +27,13 @@ from shelfwise.session import materialize
 
 MAX_PIVOTS = 2_048
 ROWS_PER_PIVOT = 4_000
-BLOCK_ROWS = 4_000
+#: vectors of a block in memory, at most, and its least number of rows
+BLOCK_BYTES = 12 << 20
+LEAST_ROWS = 1_000
+#: block pairs for each task slot, so that slots stay even
+PAIRS_PER_SLOT = 6
+#: cells are kept where they leave out all but one in so many pairs
+PRUNED = 2
 _SLACK = 1e-7
 
 
@@ -54,8 +62,44 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    diff = x - y
-    return np.sqrt((diff * diff).sum(1))
+    out = np.empty(len(x))
+    for i in range(0, len(x), EXACT_ROWS):
+        diff = x[i : i + EXACT_ROWS] - y[i : i + EXACT_ROWS]
+        out[i : i + EXACT_ROWS] = np.sqrt((diff * diff).sum(1))
+    return out
+
+
+#: distances held at a time by the kernels, and rows compared by differences
+KERNEL_PAIRS = 1 << 18
+EXACT_ROWS = 1 << 14
+#: squares below this share of the rows' own are taken from differences
+_CLOSE = 1e-6
+
+
+def square_blocks(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, squared distances of some rows of ``x`` to all of ``y``), by matrix
+    products about the mean; of close and equal rows by differences, so that these
+    keep their digits."""
+    mid = x.mean(0)
+    u, v = x - mid, y - mid
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    v = -2.0 * v.T
+    step = max(1, KERNEL_PAIRS // len(y))
+    for a in range(0, len(x), step):
+        sq = u[a : a + step] @ v
+        sq += uu[a : a + step, None]
+        sq += vv
+        row, col = np.nonzero(sq < _CLOSE * (uu[a : a + step].max() + vv.max()))
+        if len(row):
+            sq[row, col] = _exact(x[a + row], y[col]) ** 2
+        yield a, sq
+
+
+def block_rows_for(pairs: float, width: int, slots: int) -> int:
+    """Rows of a block: ``pairs`` make enough block pairs for all slots, and two
+    blocks fit a worker."""
+    most = max(1, BLOCK_BYTES // (8 * max(1, width)))
+    return int(min(most, max(LEAST_ROWS, np.sqrt(pairs / (PAIRS_PER_SLOT * slots)))))
 
 
 class _Router:
@@ -68,7 +112,8 @@ class _Router:
         self.right_blocks = np.ones(len(pivots), dtype=np.int64)
 
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = _distances(x, self.pivots).argmin(1)
+        step = max(1, KERNEL_PAIRS // len(self.pivots))
+        cell = np.concatenate([_distances(x[i : i + step], self.pivots).argmin(1) for i in range(0, len(x), step)])
         return cell, _exact(x, self.pivots[cell])
 
     def targets(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +122,11 @@ class _Router:
         slack = _SLACK * (1.0 + np.sqrt((x * x).sum(1)).max(initial=0.0) + np.abs(self.pivots).max(initial=0.0))
         return np.nonzero(d <= self.reach[None, :] + slack)
 
+    def steps(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows whose targets are few enough to be held."""
+        step = max(1, KERNEL_PAIRS // len(self.pivots))
+        return (x[i : i + step] for i in range(0, len(x), step))
+
 
 def _pick_pivots(df: DataFrame, key: str, vec: str, n_rows: int, seed: int, limit: int | None) -> np.ndarray:
     want = limit or int(min(MAX_PIVOTS, max(1, n_rows // ROWS_PER_PIVOT)))
@@ -85,46 +135,47 @@ def _pick_pivots(df: DataFrame, key: str, vec: str, n_rows: int, seed: int, limi
 
 
 def _with_home(df: DataFrame, router: _Router, vec: str) -> DataFrame:
-    schema = T.StructType(df.schema.fields + [T.StructField("__cell", T.IntegerType()), T.StructField("__r", T.DoubleType())])
+    """(__cell, __r) of each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 cell, r = router.home(_matrix(pdf[vec]))
-                yield pdf.assign(__cell=cell.astype(np.int32), __r=r)
+                yield pd.DataFrame({"__cell": cell.astype(np.int32), "__r": r})
 
-    return df.mapInPandas(run, schema)
+    return df.select(vec).mapInPandas(run, "__cell int, __r double")
 
 
 def _spread(df: DataFrame, router: _Router, key: str, vec: str, side: str) -> DataFrame:
-    """One row per block pair a row takes part in: (__cell, __a, __b)."""
-    extra = [T.StructField(c, T.IntegerType()) for c in ("__cell", "__a", "__b")]
-    schema = T.StructType(df.schema.fields + extra)
+    """One row per block pair (__tile) a row takes part in.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            x = _matrix(pdf[vec])
-            if side == "left":
-                row, cell = np.arange(len(pdf)), router.home(x)[0]
-                own, other = router.left_blocks[cell], router.right_blocks[cell]
-            else:
-                row, cell = router.targets(x)
-                own, other = router.right_blocks[cell], router.left_blocks[cell]
-            h = pd.util.hash_array(pdf[key].to_numpy())[row]
-            mine = (h % own.astype(np.uint64)).astype(np.int32)
-            rep = np.repeat(np.arange(len(row)), other)
-            start = np.repeat(np.cumsum(other) - other, other)
-            theirs = (np.arange(len(rep)) - start).astype(np.int32)
-            a, b = (mine[rep], theirs) if side == "left" else (theirs, mine[rep])
-            # hand out bounded slices, so replication never builds a huge batch
-            for i in range(0, len(rep), 50_000):
-                s = slice(i, i + 50_000)
-                out = pdf.iloc[row[rep[s]]].reset_index(drop=True)
-                yield out.assign(__cell=cell[rep[s]].astype(np.int32), __a=a[s], __b=b[s])
-
-    return df.mapInPandas(run, schema)
+    Python names the block pairs of a row; Spark repeats the row.
+    """
+    before = np.cumsum(router.left_blocks * router.right_blocks) - router.left_blocks * router.right_blocks
+
+    def tiles(row: np.ndarray, cell: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+        left = side == "left"
+        own, other = (router.left_blocks, router.right_blocks) if left else (router.right_blocks, router.left_blocks)
+        mine, other = (h[row] % own[cell].astype(np.uint64)).astype(np.int64), other[cell]
+        rep = np.repeat(np.arange(len(row)), other)
+        theirs = np.arange(len(rep)) - np.repeat(np.cumsum(other) - other, other)
+        a, b = (mine[rep], theirs) if left else (theirs, mine[rep])
+        codes = before[cell[rep]] + a * router.right_blocks[cell[rep]] + b
+        return np.split(codes, np.searchsorted(row[rep], np.arange(1, len(h))))
+
+    def run(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for keys, vectors in series:
+            out, at = [], 0
+            if len(keys):
+                h = pd.util.hash_array(keys.to_numpy())
+                for x in router.steps(_matrix(vectors)):
+                    row, cell = (np.arange(len(x)), router.home(x)[0]) if side == "left" else router.targets(x)
+                    out += tiles(row, cell, h[at : at + len(x)])
+                    at += len(x)
+            yield pd.Series(out, dtype=object)
+
+    placed = F.pandas_udf(run, T.ArrayType(T.LongType()))
+    return df.withColumn("__tile", F.explode(placed(key, vec)))
 
 
 def _route_counts(df: DataFrame, router: _Router, vec: str) -> dict[int, int]:
@@ -132,13 +183,45 @@ def _route_counts(df: DataFrame, router: _Router, vec: str) -> dict[int, int]:
         total = np.zeros(len(router.pivots), dtype=np.int64)
         for pdf in frames:
             if len(pdf):
-                total += np.bincount(router.targets(_matrix(pdf[vec]))[1], minlength=len(total))
+                for x in router.steps(_matrix(pdf[vec])):
+                    total += np.bincount(router.targets(x)[1], minlength=len(total))
         yield pd.DataFrame({"cell": np.arange(len(total), dtype=np.int32), "n": total})
 
     counted = df.select(vec).mapInPandas(run, "cell int, n long")
     return {r["cell"]: r["n"] for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
 
 
+def _route(left: DataFrame, right: DataFrame, router: _Router, vec: str, k: int | None, radius: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Set the reach of every cell; (left rows, right rows) each then has."""
+    homed = _with_home(left, router, vec)
+    own = homed.groupBy("__cell").agg(F.count("*").alias("n"), F.max("__r").alias("u")).collect()
+    m = len(router.pivots)
+    far, here, there = np.zeros(m), np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    for r in own:
+        far[r["__cell"]], here[r["__cell"]] = r["u"], r["n"]
+    if k is not None:
+        near = W.partitionBy("__cell").orderBy("__r")
+        radii = (
+            _with_home(right, router, vec)
+            .withColumn("__rn", F.row_number().over(near))
+            .filter(F.col("__rn") <= k)
+            .collect()
+        )
+        cells = np.array([r["__cell"] for r in radii], dtype=np.int64)
+        rs = np.array([r["__r"] for r in radii])
+        gaps = np.sqrt(_distances(router.pivots, router.pivots))
+        for i in np.nonzero(here)[0]:
+            if len(rs) >= k:
+                bound = np.partition(far[i] + gaps[i, cells] + rs, k - 1)[k - 1]
+                router.reach[i] = bound + far[i]
+    elif radius is not None:
+        router.reach = radius + far
+    router.reach[here == 0] = -np.inf
+    for cell, n in _route_counts(right, router, vec).items():
+        there[cell] = n
+    return here, there
+
+
 def tile_join(
     left: DataFrame,
     right: DataFrame,
@@ -151,51 +234,31 @@ def tile_join(
     radius: float | None = None,
     seed: int = 7,
     pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Run ``kernel`` on every block pair that can hold a neighbour.
 
     With ``k`` the reach of a left cell is an upper bound of its k-th neighbour
     distance; with ``radius`` it is that radius; with neither every pair of
-    blocks is visited.
+    blocks is visited. ``pivots`` asks for so many cells, kept whatever they spare;
+    ``block_rows`` is at most the rows of a block.
     """
-    n_right = right.count()
-    router = _Router(_pick_pivots(right, right_key, vec, n_right, seed, pivots))
+    n_left, n_right = left.count(), right.count()
+    bounded = k is not None or radius is not None
+    router = _Router(_pick_pivots(right, right_key, vec, n_right, seed, pivots if bounded or pivots else 1))
     if not len(router.pivots):
         return left.sparkSession.createDataFrame([], schema)
-    homed = _with_home(left.select(left_key, vec), router, vec)
-    own = homed.groupBy("__cell").agg(F.count("*").alias("n"), F.max("__r").alias("u")).collect()
-    m = len(router.pivots)
-    far = np.zeros(m)
-    for r in own:
-        far[r["__cell"]] = r["u"]
-        router.left_blocks[r["__cell"]] = -(-r["n"] // block_rows)
-    occupied = np.zeros(m, dtype=bool)
-    occupied[[r["__cell"] for r in own]] = True
-    if k is not None:
-        near = W.partitionBy("__cell").orderBy("__r")
-        radii = (
-            _with_home(right.select(vec), router, vec)
-            .select("__cell", "__r")
-            .withColumn("__rn", F.row_number().over(near))
-            .filter(F.col("__rn") <= k)
-            .collect()
-        )
-        cells = np.array([r["__cell"] for r in radii], dtype=np.int64)
-        rs = np.array([r["__r"] for r in radii])
-        gaps = np.sqrt(_distances(router.pivots, router.pivots))
-        for i in np.nonzero(occupied)[0]:
-            if len(rs) >= k:
-                bound = np.partition(far[i] + gaps[i, cells] + rs, k - 1)[k - 1]
-                router.reach[i] = bound + far[i]
-    elif radius is not None:
-        router.reach = radius + far
-    router.reach[~occupied] = -np.inf
-    for cell, n in _route_counts(right, router, vec).items():
-        router.right_blocks[cell] = max(1, -(-n // block_rows))
-    tile = ["__cell", "__a", "__b"]
-    lg = _spread(left, router, left_key, vec, "left").groupBy(*tile)
-    rg = _spread(right, router, right_key, vec, "right").groupBy(*tile)
+    here, there = np.array([n_left]), np.array([n_right])
+    if len(router.pivots) > 1:
+        here, there = _route(left, right, router, vec, k, radius)
+        if pivots is None and PRUNED * float(here @ there) > float(n_left) * n_right:
+            router, here, there = _Router(router.pivots[:1]), np.array([n_left]), np.array([n_right])
+    rows = block_rows or block_rows_for(
+        float(here @ there), router.pivots.shape[1], left.sparkSession.sparkContext.defaultParallelism
+    )
+    router.left_blocks, router.right_blocks = (np.maximum(1, -(-n // rows)) for n in (here, there))
+    lg = _spread(left, router, left_key, vec, "left").groupBy("__tile")
+    rg = _spread(right, router, right_key, vec, "right").groupBy("__tile")
     return lg.cogroup(rg).applyInPandas(kernel, schema)
 
 
@@ -236,27 +299,40 @@ def _ready(df: DataFrame, key: str, vec: str, metric: str, out_key: str, side: i
     return df.select(F.col(key).alias(out_key), v.alias("__v"))
 
 
-#: distances held at a time by the top-k kernel
-KERNEL_PAIRS = 1 << 19
+#: distances of which only the least is ranked, to bound the k-th
+GROUP = 32
+
+
+def _bound(sq: np.ndarray, k: int) -> np.ndarray:
+    """Per row at least its k-th smallest entry: the k-th smallest of the least of
+    groups of entries, of which k different ones hold an entry each."""
+    groups = sq.shape[1] // GROUP
+    if groups > k:
+        sq = sq[:, : groups * GROUP].reshape(len(sq), GROUP, groups).min(1)
+    return np.partition(sq, k - 1, axis=1)[:, k - 1]
 
 
 def _top_k_kernel(k: int, lk: str, rk: str, vec: str):
     def kernel(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if not len(lp) or not len(rp):
             return pd.DataFrame({lk: [], rk: [], "d": []})
-        left, y = _matrix(lp[vec]), _matrix(rp[vec])
+        x, y = _matrix(lp[vec]), _matrix(rp[vec])
         kk = min(k, len(y))
         lids, rids = lp[lk].to_numpy(), rp[rk].to_numpy()
-        step = max(1, KERNEL_PAIRS // len(y))  # many rows may be equally far: ties are cut row group by row group
+        least = 1.0 + ((y - x.mean(0)) ** 2).sum(1).max()
+        own = ((x - x.mean(0)) ** 2).sum(1)
+        place = np.empty(len(rids), dtype=np.int64)
+        place[np.argsort(rids, kind="stable")] = np.arange(len(rids))
         parts = []
-        for a in range(0, len(left), step):
-            x = left[a : a + step]
-            sq = _distances(x, y)
-            kth = np.partition(sq, kk - 1, axis=1)[:, kk - 1]
-            slack = 1e-9 * (1.0 + (x * x).sum(1) + (y * y).sum(1).max())
-            row, col = np.nonzero(sq <= (kth + slack)[:, None])
-            out = pd.DataFrame({lk: lids[a + row], rk: rids[col], "d": _exact(x[row], y[col])})
-            parts.append(out.sort_values([lk, "d", rk]).groupby(lk, sort=False).head(kk))
+        for a, sq in square_blocks(x, y):  # many rows may be equally far: ties are cut row group by row group
+            cut = _bound(sq, kk) + 1e-9 * (least + own[a : a + len(sq)])
+            row, col = np.nonzero(sq <= cut[:, None])
+            d = _exact(x[a + row], y[col])
+            order = np.lexsort((place[col], d, row))
+            row = row[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < kk
+            row, order = row[first], order[first]
+            parts.append(pd.DataFrame({lk: lids[a + row], rk: rids[col[order]], "d": d[order]}))
         return pd.concat(parts)
 
     return kernel
@@ -369,9 +445,9 @@ def rbf_class_sums(
             return pd.DataFrame({"lrep": [], "s": []})
         x, y, labels = _matrix(lp["__v"]), _matrix(rp["__v"]), _matrix(rp["y"])
         out = np.zeros((len(x), n_classes))
-        for i in range(len(x)):
-            diff = y - x[i]
-            out[i] = np.exp(-gamma * (diff * diff).sum(1)) @ labels
+        for a, sq in square_blocks(x, y):
+            sq *= -gamma
+            out[a : a + len(sq)] = np.exp(sq, out=sq) @ labels
         return pd.DataFrame({"lrep": lp["lrep"], "s": list(out)})
 
     tiles = tile_join(
@@ -403,9 +479,8 @@ def cluster_distance_sums(df: DataFrame, cluster: str, key: str = "row_id", vec:
         onehot = np.zeros((len(y), len(names)))
         onehot[np.arange(len(y)), code] = w
         sums = np.zeros((len(x), len(names)))
-        for i in range(len(x)):
-            diff = y - x[i]
-            sums[i] = np.sqrt((diff * diff).sum(1)) @ onehot
+        for a, sq in square_blocks(x, y):
+            sums[a : a + len(sq)] = np.sqrt(sq, out=sq) @ onehot
         n = len(names)
         return pd.DataFrame(
             {

@@ -257,3 +257,46 @@ def test_rbf_sums_with_soft_labels(spark):
     want = np.exp(-0.5 * ((x[:, None] - y[None]) ** 2).sum(-1)) @ soft
     for r in N.rbf_class_sums(frame(spark, x), train, 0.5, "p", 2, **TILES).collect():
         np.testing.assert_allclose(r["sums"], want[r["id"]], rtol=1e-9, atol=1e-300)
+
+
+def test_blocks_of_pairs_grow_with_the_table():
+    # at ten times the rows a block has more rows, so a row does not travel ten times as often
+    slots = 12
+    few, many = (N.block_rows_for(float(n) ** 2, 64, slots) for n in (10_000, 100_000))
+    assert -(-100_000 // many) <= 1.1 * -(-10_000 // few)
+    assert N.block_rows_for(1e12, 64, slots) * 64 * 8 <= N.BLOCK_BYTES
+    assert N.block_rows_for(1e12, 4096, slots) * 4096 * 8 <= N.BLOCK_BYTES
+
+
+def test_rows_that_no_pivot_parts_travel_once_per_block(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 32))  # two pivots by default; no cell can be left out
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>")
+    seen = N.tile_join(
+        df, df.withColumnsRenamed({"row_id": "r"}), lambda a, b: a[["row_id"]].head(1).assign(n=len(a), m=len(b)),
+        "row_id long, n long, m long", "row_id", "r", "features", k=3, block_rows=3000,
+    )
+    pairs = [(r.n, r.m) for r in seen.collect()]
+    assert len(pairs) == 9 and sum(n for n, _ in pairs) == 27_000 == sum(m for _, m in pairs)
+
+
+def test_square_blocks_keep_close_and_far_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 5)) + 1e4
+    y = np.concatenate([x[:20], x[:20] + 1e-7, rng.normal(size=(30, 5)) + 1e4])
+    monkeypatch.setattr(N, "KERNEL_PAIRS", 400)
+    got = np.concatenate([sq for _, sq in N.square_blocks(x, y)])
+    want = ((x[:, None] - y[None]) ** 2).sum(2)
+    assert np.allclose(got, want, rtol=1e-7, atol=0) and (np.diag(got)[:20] == 0).all()
+
+
+def test_top_k_kernel_breaks_ties_by_id():
+    import pandas as pd
+
+    x = np.zeros((3, 2))
+    y = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0], [2.0, 0.0]] * 40)
+    ids = np.random.default_rng(7).permutation(len(y))
+    left, right = pd.DataFrame({"l": [5, 6, 7], "v": list(x)}), pd.DataFrame({"r": ids, "v": list(y)})
+    out = N._top_k_kernel(4, "l", "r", "v")(left, right)
+    near = sorted(i for i, v in zip(ids, y, strict=True) if abs(v).sum() == 1)[:4]
+    assert list(out["r"]) == near * 3 and list(out["l"]) == [5] * 4 + [6] * 4 + [7] * 4 and (out["d"] == 1).all()
