@@ -26,7 +26,10 @@ CELLS = 1 << 22
 SEED_ROUNDS = 2
 OVERSAMPLING = 2
 TASKS_PER_SUM = 64
-_SUMS = "slot int, sums binary, counts binary, cost double"
+#: rows that meet one fit at a time, few enough for the cache; rows of sums a task returns
+FOLD_ROWS = 1 << 10
+SLABS = 32
+_SUMS = "slab int, sums binary, counts binary, cost binary"
 
 
 @dataclass
@@ -55,48 +58,62 @@ def _chunks(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[np.nda
             yield part["h"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.float64)
 
 
+def _slabs(n: int) -> list[np.ndarray]:
+    """Slots dealt into a few runs, whose sums travel as one row."""
+    return np.array_split(np.arange(n), min(n, SLABS))
+
+
 def _fold(tables: list[np.ndarray]) -> Callable:
-    """Per slot: sums and counts of the rows nearest to each centroid, and the cost."""
+    """Per slab of slots: sums and counts of the rows nearest to each centroid, and the
+    costs. Rows meet fit by fit, so that the distances stay in the cache."""
     ends = np.cumsum([len(c) for c in tables])
     heads = ends - [len(c) for c in tables]
-    stacked = np.concatenate(tables)
+    # squared distance less the row's own square, in one product with (row, 1)
+    factors = [np.ascontiguousarray(np.hstack([-2.0 * c, (c * c).sum(1)[:, None]]).T) for c in tables]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, counts, cost = np.zeros_like(stacked), np.zeros(len(stacked)), np.zeros(len(tables))
-        for _, x in _chunks(frames, len(stacked)):
-            d = _squares(x, stacked)
-            mark = np.zeros_like(d)
-            rows = np.arange(len(x))
-            for s, (a, b) in enumerate(zip(heads, ends, strict=True)):
-                near = d[:, a:b].argmin(1)
-                cost[s] += d[rows, a + near].sum()
-                mark[rows, a + near] = 1.0
-            sums += mark.T @ x
-            counts += mark.sum(0)
+        sums, counts, cost = np.zeros((ends[-1], tables[0].shape[1])), np.zeros(ends[-1]), np.zeros(len(tables))
+        for _, x in _chunks(frames, max(CELLS // FOLD_ROWS, *(len(c) for c in tables))):
+            own, rows = (x * x).sum(1), np.arange(len(x))
+            more = np.hstack([x, np.ones((len(x), 1))])
+            for s, f in enumerate(factors):
+                d = more @ f
+                near = d.argmin(1)
+                cost[s] += np.maximum(d[rows, near] + own, 0.0).sum()
+                n = np.bincount(near, minlength=f.shape[1])
+                met = np.flatnonzero(n)
+                order = np.argsort(near.astype(np.min_scalar_type(f.shape[1])), kind="stable")
+                sums[heads[s] + met] += np.add.reduceat(x[order], (np.cumsum(n) - n)[met], axis=0)
+                counts[heads[s] : ends[s]] += n
         if counts.any():
-            yield pd.DataFrame(
-                [(s, sums[a:b].tobytes(), counts[a:b].tobytes(), cost[s]) for s, (a, b) in enumerate(zip(heads, ends, strict=True))],
-                columns=["slot", "sums", "counts", "cost"],
-            )
+            found = []
+            for i, slots in enumerate(_slabs(len(tables))):
+                a, b = heads[slots[0]], ends[slots[-1]]
+                found.append((i, sums[a:b].tobytes(), counts[a:b].tobytes(), cost[slots].tobytes()))
+            yield pd.DataFrame(found, columns=["slab", "sums", "counts", "cost"])
 
     return run
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     total = lambda c: np.sum([np.frombuffer(x) for x in pdf[c]], axis=0).tobytes()
-    return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "sums": [total("sums")], "counts": [total("counts")], "cost": [pdf["cost"].sum()]})
+    return pd.DataFrame({"slab": [pdf["slab"].iloc[0]]} | {c: [total(c)] for c in ("sums", "counts", "cost")})
 
 
 def _pass(points: DataFrame, tables: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """slot -> (sums, counts, cost) over all rows."""
     part = F.floor(F.spark_partition_id() / TASKS_PER_SUM).alias("part")
     some = points.mapInPandas(_fold(tables), _SUMS).select("*", part)
-    some = some.groupBy("slot", "part").applyInPandas(_add, _SUMS)
-    rows = some.groupBy("slot").applyInPandas(_add, _SUMS).collect()
-    return {
-        r["slot"]: (np.frombuffer(r["sums"]).reshape(tables[r["slot"]].shape), np.frombuffer(r["counts"]), r["cost"])
-        for r in rows
-    }
+    some = some.groupBy("slab", "part").applyInPandas(_add, _SUMS)
+    rows = {r["slab"]: r for r in some.groupBy("slab").applyInPandas(_add, _SUMS).collect()}
+    out, width = {}, tables[0].shape[1]
+    for i, slots in enumerate(_slabs(len(tables))):
+        sums = np.frombuffer(rows[i]["sums"]).reshape(-1, width)
+        counts, cost = np.frombuffer(rows[i]["counts"]), np.frombuffer(rows[i]["cost"])
+        cuts = np.cumsum([len(tables[s]) for s in slots])[:-1]
+        parts = zip(slots, np.split(sums, cuts), np.split(counts, cuts), cost, strict=True)
+        out |= {int(s): (a, n, float(c)) for s, a, n, c in parts}
+    return out
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:

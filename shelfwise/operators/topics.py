@@ -34,14 +34,18 @@ def topic_term_counts(docs: DataFrame, text: str, topic: str = "topic") -> DataF
     return tokens.groupBy(topic, "term").agg(F.count("*").alias("tf"))
 
 
-def weigh_terms(counts: DataFrame, topic: str = "topic", runs: Sequence[str] = ()) -> DataFrame:
+def weigh_terms(
+    counts: DataFrame, topic: str = "topic", runs: Sequence[str] = (), totals: DataFrame | None = None
+) -> DataFrame:
     """Class-based TF-IDF from (*runs, topic, term, tf), each run by itself: share of
     the term in its topic times ln(1 + A / f), f the term's total and A the mean
-    number of words per topic."""
+    number of words per topic. ``totals`` may give (term, f), where all runs share them."""
     runs = list(runs)
     sizes = measured(counts.groupBy(*runs, topic).agg(F.sum("tf").alias("size")), "topicsizes")
-    totals = counts.groupBy(*runs, "term").agg(F.sum("tf").alias("f"))
-    joined = counts.join(totals, [*runs, "term"]).join(sizes, [*runs, topic])
+    if totals is None:
+        totals = counts.groupBy(*runs, "term").agg(F.sum("tf").alias("f"))
+    by = [c for c in totals.columns if c != "f"]
+    joined = counts.join(totals, by).join(sizes, [*runs, topic])
     if runs:
         joined = joined.join(sizes.groupBy(*runs).agg(F.avg("size").alias("__mean")), runs)
         mean_size = F.col("__mean")
@@ -301,7 +305,9 @@ def topic_sweep(
     terms = materialize(term_counts(docs, text, key), "postings")
     spread = terms.join(assigned, key).select("term", "tf", per_run)
     counts = materialize(spread.groupBy("run", "topic", "term").agg(F.sum("tf").alias("tf")), "topicterms")
-    ranked = heaviest(weigh_terms(counts, "topic", ["run"]), "topic", top_n, ["run"])
+    # a document is in one topic of every set, so a term's total is that of the table
+    totals = terms.join(assigned.select(key), key).groupBy("term").agg(F.sum("tf").alias("f"))
+    ranked = heaviest(weigh_terms(counts, "topic", ["run"], measured(totals, "totals")), "topic", top_n, ["run"])
     placed = assigned.select(key, per_run)
     sizes = placed.groupBy("run", "topic").agg(F.count("*").alias("count"))
     infos = describe_topics(sizes, ranked, "topic", ["run"]).join(named, "run")

@@ -58,3 +58,19 @@ def test_few_rows_copies_and_none(spark):
     assert len(fit.centers) <= 4 and fit.cost == pytest.approx(0)
     none = spark.createDataFrame([(1, None)], "row_id long, features array<double>")
     assert len(L.kmeans_many(none, [3])[0].centers) == 0
+
+
+def test_sums_of_many_fits_travel_as_few_rows(spark, x):
+    import pandas as pd
+
+    tables = [x[: 1 + i % 7] + i / 100 for i in range(100)]
+    out = pd.concat(L._fold(tables)(iter([pd.DataFrame({"h": range(len(x)), "v": list(x)})])))
+    assert len(out) <= L.SLABS
+    held = L.materialize(points(spark, x).selectExpr("xxhash64(features) h", "features v").repartition(3), "points")
+    found = L._pass(held, tables)
+    for s, c in enumerate(tables):
+        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        near = d.argmin(1)
+        sums, counts, cost = found[s]
+        assert list(counts) == [int((near == j).sum()) for j in range(len(c))] and np.isclose(cost, d.min(1).sum())
+        assert np.allclose(sums, [x[near == j].sum(0) for j in range(len(c))])

@@ -229,3 +229,13 @@ def test_boosted_importances_and_refit(spark):
     model, best, scores = L.refit_best("DecisionTree", data, [{"maxDepth": 1}, {"maxDepth": 3}], 2)
     assert best == {"maxDepth": 3} and scores.count() == 4
     assert L.accuracy(model.transform(data)) == 1.0
+
+
+def test_shared_totals_weigh_terms_alike(spark):
+    rows = [(r, (i * (r + 1)) % 3, f"w{i % 5}", i + 1) for r in range(2) for i in range(12)]
+    counts = spark.createDataFrame(rows, "run int, topic int, term string, tf long").groupBy("run", "topic", "term").agg(F.sum("tf").alias("tf"))
+    totals = counts.filter("run = 0").groupBy("term").agg(F.sum("tf").alias("f"))
+    own, shared = (
+        {(r.run, r.topic, r.term): r.weight for r in T.weigh_terms(counts, "topic", ["run"], t).collect()} for t in (None, totals)
+    )
+    assert own.keys() == shared.keys() and all(abs(own[k] - shared[k]) < 1e-12 for k in own)
