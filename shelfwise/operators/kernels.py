@@ -1,4 +1,5 @@
-"""Classifiers that Spark ML lacks: discriminants, neighbour votes, random Fourier features.
+"""Classifiers that Spark ML lacks: discriminants, linear SVMs of all classes at
+once, neighbour votes, random Fourier features.
 
 Each has the shape of an ML estimator (set the columns, fit, transform), so that
 ``learn.fit_classifier`` treats them like any other.
@@ -6,17 +7,17 @@ Each has the shape of an ML estimator (set the columns, fit, transform), so that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.operators.neighbors import knn_join
-from shelfwise.session import materialize
+from shelfwise.session import materialize, release
 
 TASKS_PER_SUM = 64
 _MOMENTS = "y double, n double, sums binary, outer binary"
@@ -147,6 +148,197 @@ class DiscriminantModel:
         return df.withColumn(out, found if raw else array_to_vector(found))
 
 
+# -- linear SVMs ------------------------------------------------------------------------
+#: rows of a packed block, and tasks of a reading at most
+SVM_ROWS = 1 << 10
+SVM_TASKS = 256
+#: of the search: corrections kept, values looked back on, steps tried
+_CORRECTIONS, _LOOK_BACK, _STEPS = 10, 20, 20
+#: steps after one that is low enough, to find a better slope
+_MORE = 2
+
+
+def _search(x: np.ndarray, max_iter: int, tol: float) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """L-BFGS that yields the points at which it wants (value, gradient), and returns the last.
+
+    Steps obey the strong Wolfe conditions; a hinge may leave none, then the best of
+    the first points that are low enough is taken.
+    """
+    f, g = yield x
+    first, values, pairs = abs(f), [f], []
+    for it in range(max_iter):
+        if np.linalg.norm(g) <= max(tol * abs(f), 1e-8):
+            break
+        back, d = [], g
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            back.append(a)
+            d = d - a * y
+        if pairs:
+            s, y = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(pairs, reversed(back), strict=True):
+            d = d + s * (a - (y @ d) / (s @ y))
+        d = -d
+        if g @ d >= 0:
+            pairs, d = [], -g
+        slope, found, more = g @ d, None, 0
+        step = 1.0 if pairs else 0.5 / np.linalg.norm(g)
+        for _ in range(_STEPS):
+            fn, gn = yield x + step * d
+            low = fn <= f + 1e-4 * step * slope
+            if low and (found is None or fn < found[0]):
+                found = fn, gn, x + step * d
+            if low and abs(gn @ d) <= -0.9 * slope:
+                found = fn, gn, x + step * d
+                break
+            more += found is not None
+            if more > _MORE:
+                break
+            step *= 2.1 if low and gn @ d < 0 else 0.5 if it else 0.1
+        if found is None:
+            if not pairs:
+                break
+            pairs = []
+            continue
+        fn, gn, xn = found
+        if (xn - x) @ (gn - g) > 0:
+            pairs = [*pairs, (xn - x, gn - g)][-_CORRECTIONS:]
+        x, f, g = xn, fn, gn
+        if abs(f - max(values[-_LOOK_BACK:])) <= tol * first:
+            break
+        values.append(f)
+    return x
+
+
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        for a in range(0, len(pdf), SVM_ROWS):
+            part = pdf.iloc[a : a + SVM_ROWS]
+            x = np.stack(part["v"].to_numpy()).astype(np.float64)
+            rest = part[["y", "w"]].to_numpy(np.float64)
+            yield pd.DataFrame({"x": [x.tobytes()], "y": [rest[:, 0].tobytes()], "w": [rest[:, 1].tobytes()]})
+
+
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for pdf in frames:
+        for x, y, w in zip(pdf["x"], pdf["y"], pdf["w"], strict=True):
+            y = np.frombuffer(y)
+            yield np.frombuffer(x).reshape(len(y), -1), y, np.frombuffer(w)
+
+
+def _spreads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per task: weight, its squares, greatest class, mean and squares about it."""
+    total = None
+    for x, y, w in _blocks(frames):
+        n = w.sum()
+        mean = w @ x / n if n else np.zeros(x.shape[1])
+        total = _both(total, np.concatenate([[n, w @ w, y.max()], mean, w @ (x - mean) ** 2]))
+    if total is not None:
+        yield pd.DataFrame({"s": [total.tobytes()]})
+
+
+def _both(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    if a is None:
+        return b
+    width, n = (len(a) - 3) // 2, a[0] + b[0]
+    gap, share = b[3 : 3 + width] - a[3 : 3 + width], b[0] / n if n else 0.0
+    squares = a[3 + width :] + b[3 + width :] + gap * gap * a[0] * share
+    return np.concatenate([[n, a[1] + b[1], max(a[2], b[2])], a[3 : 3 + width] + gap * share, squares])
+
+
+def _hinges(coef: np.ndarray, offset: np.ndarray, classes: np.ndarray):
+    """Per task: summed hinge losses of all classes, and their gradients."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(classes), coef.shape[1] + 2))
+        for x, y, w in _blocks(frames):
+            sign = np.where(y[:, None] == classes, 1.0, -1.0)
+            slack = 1.0 - sign * (x @ coef.T + offset)
+            pull = np.where(slack > 0, sign * w[:, None], 0.0)
+            total[:, 0] += w @ np.maximum(slack, 0.0)
+            total[:, 1] -= pull.sum(0)
+            total[:, 2:] -= pull.T @ x
+        yield pd.DataFrame({"s": [total.tobytes()]})
+
+    return run
+
+
+class LinearMargins(_Estimator):
+    """One linear SVM per class against the rest, all classes in the same readings.
+
+    Each class has the objective of ML's ``LinearSVC`` (mean hinge loss over
+    standardised features, half ``regParam`` times the squared coefficients) and a
+    search of its own; the points at which the searches want the loss go through
+    one job. The driver holds classes x width numbers per task.
+    """
+
+    def __init__(
+        self, regParam: float = 0.0, maxIter: int = 100, tol: float = 1e-6, fitIntercept: bool = True,  # noqa: N803
+        standardization: bool = True,
+    ):
+        super().__init__()
+        self.reg, self.max_iter, self.tol, self.intercept, self.standard = regParam, maxIter, tol, fitIntercept, standardization
+
+    def fit(self, df: DataFrame) -> "MarginsModel":
+        w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        rows = df.select(vector_to_array(self.features).alias("v"), F.col(self.label).cast("double").alias("y"), w.alias("w"))
+        table = materialize(rows.mapInPandas(_pack, "x binary, y binary, w binary"), "svm")
+        blocks = table.coalesce(SVM_TASKS)
+        whole = None
+        for r in blocks.mapInPandas(_spreads, "s binary").collect():
+            whole = _both(whole, np.frombuffer(r["s"]))
+        if whole is None:
+            raise ValueError("no labelled rows")
+        width, n = (len(whole) - 3) // 2, whole[0]
+        mean = whole[3 : 3 + width] if self.intercept else np.zeros(width)
+        std = np.sqrt(whole[3 + width :] / max(n - whole[1] / n, np.finfo(float).tiny))
+        scale = np.divide(1.0, std, out=np.zeros(width), where=std > 0)
+        # the penalty is on the coefficients of the standardised or of the given features
+        penalty = self.reg * (np.ones(width) if self.standard else scale * scale)
+
+        def plain(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            coef = points[:, 1:] * scale
+            return coef, points[:, 0] * self.intercept - coef @ mean
+
+        def losses(points: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            parts = blocks.mapInPandas(_hinges(*plain(points), classes), "s binary").collect()
+            total = np.sum([np.frombuffer(r["s"]) for r in parts], axis=0).reshape(len(classes), width + 2) / n
+            grad = np.empty_like(points)
+            grad[:, 0] = total[:, 1] * self.intercept
+            grad[:, 1:] = (total[:, 2:] - total[:, 1:2] * mean) * scale + penalty * points[:, 1:]
+            return total[:, 0] + (penalty * points[:, 1:] ** 2).sum(1) / 2, grad
+
+        found = np.zeros((int(whole[2]) + 1, width + 1))
+        runs = [_search(found[c].copy(), self.max_iter, self.tol) for c in range(len(found))]
+        asked = {c: next(run) for c, run in enumerate(runs)}
+        while asked:
+            classes = np.array(sorted(asked))
+            values, grads = losses(np.stack([asked[c] for c in classes]), classes)
+            for c, value, grad in zip(classes.tolist(), values, grads, strict=True):
+                try:
+                    asked[c] = runs[c].send((float(value), grad))
+                except StopIteration as end:
+                    found[c] = end.value
+                    del asked[c]
+        release(table)
+        return MarginsModel(*plain(found))
+
+
+class MarginsModel:
+    def __init__(self, coef: np.ndarray, offset: np.ndarray):
+        self.coef, self.offset = coef, offset
+
+    def margins(self, vec: str) -> Column:
+        """The margin of each class."""
+
+        def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for v in frames:
+                yield pd.Series(list(np.stack(v.to_numpy()).astype(np.float64) @ self.coef.T + self.offset) if len(v) else [], dtype=object)
+
+        return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(vector_to_array(vec))
+
+
 # -- neighbour votes -------------------------------------------------------------------
 class Neighbours(_Estimator):
     """Votes of the k nearest training rows, equal or by inverse distance; keeps the rows.

@@ -15,7 +15,6 @@ import numpy as np
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     NaiveBayes,
@@ -34,7 +33,7 @@ from shelfwise.functions.vectors import argmax
 from shelfwise.operators import metrics as M
 from shelfwise.operators.balance import oversample, with_class_weight
 from shelfwise.operators.features import important_features
-from shelfwise.operators.kernels import Discriminant, FourierMap, Neighbours
+from shelfwise.operators.kernels import Discriminant, FourierMap, LinearMargins, Neighbours
 from shelfwise.operators.relational import union_all
 from shelfwise.operators.sampling import labeled_fraction, stratified_kfold, stratified_split
 from shelfwise.session import materialize
@@ -43,6 +42,8 @@ from shelfwise.session import materialize
 TREE_KINDS = ("RandomForest", "Bagging", "DecisionTree", "BoostedTrees")
 #: class models of one fit that run at the same time
 CLASS_MODELS = 8
+#: of a written table, read by one task of a fit
+TASK_BYTES = 4 << 20
 
 
 def _forest(p, seed, weight):
@@ -65,7 +66,7 @@ def _boosted(p, seed, weight):
 
 
 def _svm(p, seed, weight):
-    est = OneVsRest(classifier=LinearSVC(**p), parallelism=CLASS_MODELS)
+    est = LinearMargins(**p)
     return est.setWeightCol(weight) if weight else est
 
 
@@ -134,13 +135,14 @@ class Fitted:
         if self.kind in MARGINS:
             # the margin of each class model, logistic, then normalised
             margins = []
-            for i, m in enumerate(self.model.models):
+            for i, m in enumerate(self.model.models if self.kind == "BoostedTrees" else ()):
                 m.setFeaturesCol("__x").setPredictionCol(f"__pred{i}").setRawPredictionCol(f"__raw{i}")
                 if m.hasParam("probabilityCol"):
                     m.setProbabilityCol(f"__prob{i}")
                 scored = m.transform(scored)
                 margins.append(vector_to_array(f"__raw{i}")[1])
-            odds = F.transform(F.array(*margins), lambda m: 1 / (1 + F.exp(-m)))
+            scored = scored.withColumn("__m", F.array(*margins) if margins else self.model.margins("__x"))
+            odds = F.transform("__m", lambda m: 1 / (1 + F.exp(-m)))
             total = F.aggregate("__o", F.lit(0.0), lambda s, x: s + x)
             scored = scored.withColumn("__o", odds).withColumn("p", F.transform("__o", lambda x: x / total))
         else:
@@ -204,6 +206,13 @@ def as_vectors(df: DataFrame, vec: str = "features") -> DataFrame:
 
 
 # -- search and cross validation -------------------------------------------------
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """A written table in tasks of about ``TASK_BYTES``: iterative fits read it
+    hundreds of times, and each task of a small table costs more than its rows."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(1, -(-size // TASK_BYTES)))
+
+
 def accuracy(df: DataFrame, label: str = "label") -> float:
     return df.agg(F.avg((F.col(label) == F.col("prediction")).cast("double"))).first()[0]
 
@@ -226,7 +235,7 @@ def cross_validate(
     synthetic rows to the training folds only.
     """
     folded = materialize(stratified_kfold(df.select(key, "features", label), label, folds, seed, key), "folds")
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = _few_tasks(folded).persist(StorageLevel.MEMORY_AND_DISK)
 
     def training(f: int) -> DataFrame:
         train = folded.filter(F.col("fold") != f)
@@ -315,20 +324,25 @@ def model_bakeoff(
     seed: int = 42,
     key: str = "row_id",
     balanced: bool = False,
-    parallelism: int = 4,
+    parallelism: int = 12,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, predictions) of every classifier on one stratified split, with
-    its cross-validated accuracy, best first; ``parallelism`` of them at a time."""
+    its cross-validated accuracy, best first; ``parallelism`` of them at a time, each
+    with its folds beside it."""
     train, hold = stratified_split(df, label, 1 - test, seed, key)
-    train, hold = materialize(train.hint("rebalance"), "bakeoff"), materialize(hold.hint("rebalance"), "bakeoff")
+    train, hold = (_few_tasks(materialize(x.hint("rebalance"), "bakeoff")) for x in (train, hold))
 
     def one(item):
         kind, params = item
         t0 = time.time()
-        model = fit_classifier(kind, train, params, label, balanced, seed)
-        out = materialize(model.transform(hold).select(key, label, "prediction"), "preds")
-        m = M.label_metrics(M.confusion_counts(out, (), label, "prediction")).first()
-        cv = cross_val_score(kind, train, folds, params, label=label, seed=seed, key=key)
+        with ThreadPool(1) as beside:
+            wait = beside.apply_async(
+                cross_val_score, (kind, train, folds, params), {"label": label, "seed": seed, "key": key, "parallelism": folds}
+            )
+            model = fit_classifier(kind, train, params, label, balanced, seed)
+            out = materialize(model.transform(hold).select(key, label, "prediction"), "preds")
+            m = M.label_metrics(M.confusion_counts(out, (), label, "prediction")).first()
+            cv = wait.get()
         row = (kind, m["accuracy"], m["balanced_accuracy"], m["f1"], cv["cv_score"], cv["error"], time.time() - t0)
         return row, out.select(F.lit(kind).alias("model"), key, label, "prediction")
 

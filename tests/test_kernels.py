@@ -69,3 +69,27 @@ def test_degenerate_classes(spark):
     assert [r.prediction for r in out] == [0, 0, 1, 1, 3] and all(len(r.p) == 4 and r.p[2] == 0 for r in out)
     with pytest.raises(ValueError, match="no labelled rows"):
         L.fit_classifier("LinearDiscriminant", df.limit(0))
+
+
+def test_classes_share_their_readings(spark):
+    from pyspark.ml.classification import LinearSVC
+
+    rng, n, how = np.random.default_rng(3), 400, {"regParam": 0.01, "maxIter": 10}
+    x = rng.normal(size=(n, 3)) * [1.0, 20.0, 0.0] + [5.0, 0.0, 2.0]  # the last one is constant
+    y = (x[:, 0] > 5).astype(int) + 2 * np.digitize(x[:, 1] + rng.normal(size=n) * 5, [-15, 0, 15])
+    jobs = {}
+    for classes in (2, 8):
+        df = table(spark, x, y % classes).coalesce(1).cache()
+        spark.sparkContext.setJobGroup(f"margins{classes}", "fit")
+        model = L.fit_classifier("SVM", df, how).model
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs[classes] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"margins{classes}"))
+        c, sign = 1, np.where(y % classes == 1, 1, -1)
+        ml = LinearSVC(labelCol="y", **how).fit(df.selectExpr("features", f"double(label = {c}) as y"))
+
+        def loss(w, b):
+            return np.maximum(0, 1 - sign * (x @ w + b)).mean() + 0.005 * ((w * x.std(0, ddof=1)) ** 2).sum()  # noqa: B023
+
+        assert loss(model.coef[c], model.offset[c]) <= loss(ml.coefficients.toArray(), ml.intercept) + 5e-3
+        df.unpersist()
+    assert jobs[8] < 3 * jobs[2]  # a model per class made four times as many
