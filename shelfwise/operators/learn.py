@@ -226,7 +226,7 @@ def cross_validate(
     balanced: bool = False,
     seed: int = 42,
     key: str = "row_id",
-    parallelism: int = 2,
+    parallelism: int = 6,
     oversampling: str | None = None,
 ) -> DataFrame:
     """(draw, params, fold, score, fit_time, score_time) for every draw and fold.

@@ -93,3 +93,21 @@ def test_classes_share_their_readings(spark):
         assert loss(model.coef[c], model.offset[c]) <= loss(ml.coefficients.toArray(), ml.intercept) + 5e-3
         df.unpersist()
     assert jobs[8] < 3 * jobs[2]  # a model per class made four times as many
+
+
+def test_fits_of_a_search_run_side_by_side(spark, rings, monkeypatch):
+    from threading import Barrier
+
+    together = Barrier(6)
+
+    class Zero:
+        def transform(self, df):
+            return df.selectExpr("*", "0 as prediction")
+
+    def fit(*_):
+        together.wait(60)  # broken, were there fewer at a time
+        return Zero()
+
+    monkeypatch.setattr(L, "fit_classifier", fit)
+    scores = L.cross_validate("DecisionTree", table(spark, *rings), [{}] * 4, 3).collect()
+    assert len(scores) == 12 and all(abs(r.score - 1 / 3) < 0.01 for r in scores)
