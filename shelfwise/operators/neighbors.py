@@ -62,36 +62,72 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x))
-    for i in range(0, len(x), EXACT_ROWS):
-        diff = x[i : i + EXACT_ROWS] - y[i : i + EXACT_ROWS]
+    every = np.arange(len(x))
+    return _exact_pairs(x, y, every, every)
+
+
+def _exact_pairs(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Distances of the named pairs; however many there are, few are gathered at a time."""
+    out = np.empty(len(row))
+    for i in range(0, len(row), EXACT_ROWS):
+        diff = x[row[i : i + EXACT_ROWS]] - y[col[i : i + EXACT_ROWS]]
         out[i : i + EXACT_ROWS] = np.sqrt((diff * diff).sum(1))
     return out
 
 
-#: distances held at a time by the kernels, and rows compared by differences
-KERNEL_PAIRS = 1 << 18
+#: distances held at a time by the router and by the kernels that want whole rows, and rows compared by differences
+ROUTE_PAIRS = 1 << 18
+KERNEL_PAIRS = 1 << 20
 EXACT_ROWS = 1 << 14
+#: a tile stays in a core's cache, and its sides are long enough for the matrix product
+TILE_ROWS, TILE_COLS = 256, 1024
 #: squares below this share of the rows' own are taken from differences
 _CLOSE = 1e-6
 
 
+class _Squares:
+    """Squared distances by one matrix product: the squares of both sides' rows about
+    the mean are two more columns. Of close and equal rows they are taken from
+    differences, so that these keep their digits."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+        mid = x.mean(0)
+        u, v = x - mid, y - mid
+        self.uu, self.vv = (u * u).sum(1), (v * v).sum(1)
+        self.left = np.column_stack([u, self.uu, np.ones(len(u))])
+        self.right = np.vstack([-2.0 * v.T, np.ones(len(v)), self.vv])
+
+    def fill(self, sq: np.ndarray, a: int, b: int) -> None:
+        """The tile that starts at row ``a`` and column ``b``, of the shape of ``sq``."""
+        rows, cols = slice(a, a + sq.shape[0]), slice(b, b + sq.shape[1])
+        np.matmul(self.left[rows], self.right[:, cols], out=sq)
+        close = _CLOSE * (self.uu[rows].max() + self.vv[cols].max())
+        if sq.min() < close:
+            row, col = np.nonzero(sq < close)
+            sq[row, col] = _exact_pairs(self.x, self.y, a + row, b + col) ** 2
+
+
+def square_tiles(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, squared distances) of the tiles that make up all pairs.
+    Each tile takes the place of the last one in memory."""
+    squares, held = _Squares(x, y), np.empty(TILE_ROWS * TILE_COLS)
+    for a in range(0, len(x), TILE_ROWS):
+        for b in range(0, len(y), TILE_COLS):
+            n, m = min(TILE_ROWS, len(x) - a), min(TILE_COLS, len(y) - b)
+            sq = held[: n * m].reshape(n, m)
+            squares.fill(sq, a, b)
+            yield a, b, sq
+
+
 def square_blocks(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, squared distances of some rows of ``x`` to all of ``y``), by matrix
-    products about the mean; of close and equal rows by differences, so that these
-    keep their digits."""
-    mid = x.mean(0)
-    u, v = x - mid, y - mid
-    uu, vv = (u * u).sum(1), (v * v).sum(1)
-    v = -2.0 * v.T
+    """(first row, squared distances of some rows of ``x`` to all of ``y``), as above."""
     step = max(1, KERNEL_PAIRS // len(y))
+    squares = _Squares(x, y)
     for a in range(0, len(x), step):
-        sq = u[a : a + step] @ v
-        sq += uu[a : a + step, None]
-        sq += vv
-        row, col = np.nonzero(sq < _CLOSE * (uu[a : a + step].max() + vv.max()))
-        if len(row):
-            sq[row, col] = _exact(x[a + row], y[col]) ** 2
+        sq = np.empty((min(step, len(x) - a), len(y)))
+        for b in range(0, len(y), TILE_COLS):
+            squares.fill(sq[:, b : b + TILE_COLS], a, b)
         yield a, sq
 
 
@@ -112,7 +148,7 @@ class _Router:
         self.right_blocks = np.ones(len(pivots), dtype=np.int64)
 
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        step = max(1, KERNEL_PAIRS // len(self.pivots))
+        step = max(1, ROUTE_PAIRS // len(self.pivots))
         cell = np.concatenate([_distances(x[i : i + step], self.pivots).argmin(1) for i in range(0, len(x), step)])
         return cell, _exact(x, self.pivots[cell])
 
@@ -124,7 +160,7 @@ class _Router:
 
     def steps(self, x: np.ndarray) -> Iterator[np.ndarray]:
         """Rows whose targets are few enough to be held."""
-        step = max(1, KERNEL_PAIRS // len(self.pivots))
+        step = max(1, ROUTE_PAIRS // len(self.pivots))
         return (x[i : i + step] for i in range(0, len(x), step))
 
 
@@ -327,7 +363,7 @@ def _top_k_kernel(k: int, lk: str, rk: str, vec: str):
         for a, sq in square_blocks(x, y):  # many rows may be equally far: ties are cut row group by row group
             cut = _bound(sq, kk) + 1e-9 * (least + own[a : a + len(sq)])
             row, col = np.nonzero(sq <= cut[:, None])
-            d = _exact(x[a + row], y[col])
+            d = _exact_pairs(x, y, a + row, col)
             order = np.lexsort((place[col], d, row))
             row = row[order]
             first = np.arange(len(row)) - np.searchsorted(row, row) < kk
@@ -445,9 +481,9 @@ def rbf_class_sums(
             return pd.DataFrame({"lrep": [], "s": []})
         x, y, labels = _matrix(lp["__v"]), _matrix(rp["__v"]), _matrix(rp["y"])
         out = np.zeros((len(x), n_classes))
-        for a, sq in square_blocks(x, y):
+        for a, b, sq in square_tiles(x, y):
             sq *= -gamma
-            out[a : a + len(sq)] = np.exp(sq, out=sq) @ labels
+            out[a : a + len(sq)] += np.exp(sq, out=sq) @ labels[b : b + sq.shape[1]]
         return pd.DataFrame({"lrep": lp["lrep"], "s": list(out)})
 
     tiles = tile_join(
@@ -479,8 +515,8 @@ def cluster_distance_sums(df: DataFrame, cluster: str, key: str = "row_id", vec:
         onehot = np.zeros((len(y), len(names)))
         onehot[np.arange(len(y)), code] = w
         sums = np.zeros((len(x), len(names)))
-        for a, sq in square_blocks(x, y):
-            sums[a : a + len(sq)] = np.sqrt(sq, out=sq) @ onehot
+        for a, b, sq in square_tiles(x, y):
+            sums[a : a + len(sq)] += np.sqrt(sq, out=sq) @ onehot[b : b + sq.shape[1]]
         n = len(names)
         return pd.DataFrame(
             {

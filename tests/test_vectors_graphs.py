@@ -290,6 +290,28 @@ def test_square_blocks_keep_close_and_far_rows(monkeypatch):
     assert np.allclose(got, want, rtol=1e-7, atol=0) and (np.diag(got)[:20] == 0).all()
 
 
+def test_square_tiles_hold_little_and_make_up_all_pairs(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 5)) + 1e4
+    y = np.concatenate([x[:20], x[:20] + 1e-7, rng.normal(size=(2300, 5)) + 1e4])
+    got = np.full((len(x), len(y)), np.nan)
+    for a, b, sq in N.square_tiles(x, y):
+        got[a : a + sq.shape[0], b : b + sq.shape[1]] = sq
+    want = ((x[:, None] - y[None]) ** 2).sum(2)
+    assert np.allclose(got, want, rtol=1e-7, atol=0) and (np.diag(got)[:20] == 0).all()
+    # nearly all pairs are close: their differences are not all gathered at once
+    same = np.ones((1500, 64)) + rng.normal(size=(1500, 64)) * 1e-9
+    same[0] += 100.0
+    tracemalloc.start()
+    for _, sq in N.square_blocks(same, same):
+        del sq
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_top_k_kernel_breaks_ties_by_id():
     import pandas as pd
 
