@@ -453,7 +453,7 @@ def rbf_affinity(df: DataFrame, gamma: float, k: int, key: str = "row_id", vec:
 def rbf_class_sums(
     new: DataFrame,
     train: DataFrame,
-    gamma: float,
+    gamma: float | Sequence[float],
     label: str,
     n_classes: int,
     key: str = "row_id",
@@ -462,10 +462,13 @@ def rbf_class_sums(
 ) -> DataFrame:
     """(id, sums): per class the sum of exp(-gamma d^2) over all train rows.
 
-    ``label`` is a class index or an array of class shares. Rows farther than
+    ``label`` is a class index or an array of class shares. Of several ``gamma`` the
+    sums follow one another; they share the distances. Rows farther than
     sqrt(745 / gamma) weigh exactly zero in double precision, so skipping them
     changes nothing.
     """
+    gammas = [float(g) for g in (gamma if isinstance(gamma, Sequence) else [gamma])]
+    width = len(gammas) * n_classes
     l_reps, l_members = collapse_copies(_ready(new, key, vec, "euclidean", "id"), "id", "__v")
     soft = isinstance(train.schema[label].dataType, T.ArrayType)
     t = train.select(F.col(key).alias("id"), as_doubles(vec).alias("__v"), F.col(label).alias("__y"))
@@ -480,19 +483,21 @@ def rbf_class_sums(
         if not len(lp) or not len(rp):
             return pd.DataFrame({"lrep": [], "s": []})
         x, y, labels = _matrix(lp["__v"]), _matrix(rp["__v"]), _matrix(rp["y"])
-        out = np.zeros((len(x), n_classes))
+        out = np.zeros((len(x), width))
         for a, b, sq in square_tiles(x, y):
-            sq *= -gamma
-            out[a : a + len(sq)] += np.exp(sq, out=sq) @ labels[b : b + sq.shape[1]]
+            here, held = labels[b : b + sq.shape[1]], np.empty_like(sq)
+            for i, g in enumerate(gammas):
+                np.exp(np.multiply(sq, -g, out=held), out=held)
+                out[a : a + len(sq), i * n_classes : (i + 1) * n_classes] += held @ here
         return pd.DataFrame({"lrep": lp["lrep"], "s": list(out)})
 
     tiles = tile_join(
         l_reps.drop(*IDENTITY), r_reps, kernel, f"lrep {kind}, s array<double>", "lrep", "rrep", "__v",
-        radius=float(np.sqrt(745.0 / gamma)), **tiling,
+        radius=float(np.sqrt(745.0 / min(gammas))), **tiling,
     )
-    sums = tiles.groupBy("lrep").agg(F.array(*[F.sum(F.col("s")[c]) for c in range(n_classes)]).alias("sums"))
+    sums = tiles.groupBy("lrep").agg(F.array(*[F.sum(F.col("s")[c]) for c in range(width)]).alias("sums"))
     per_vector = sums.join(l_reps.select("lrep", *IDENTITY), "lrep").select(*IDENTITY, "sums")
-    none = F.array(*[F.lit(0.0)] * n_classes)
+    none = F.array(*[F.lit(0.0)] * width)
     return l_members.join(per_vector, IDENTITY, "left").select("id", F.coalesce("sums", none).alias("sums"))
 
 

@@ -312,6 +312,22 @@ def test_square_tiles_hold_little_and_make_up_all_pairs(monkeypatch):
     assert peak < 100 << 20
 
 
+def test_fold_scores_equal_a_vote_fold_by_fold(spark):
+    x = blobs(9, 60, 30)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in r], int(rng.integers(3)), i % 4) for i, r in enumerate(x)]
+    rows.append((len(x), rows[0][1], 2, 1))  # a copy in another fold
+    folded = spark.createDataFrame(rows, "row_id long, features array<double>, label int, fold int")
+    gammas = (0.5, 4.0, 1e6)  # at the last no vote reaches a row: class 0
+    got = G.fold_scores(folded, 3, gammas, 4, **TILES)
+    v, y, f = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
+    for g in gammas:
+        votes = (np.exp(-g * d) * (f[:, None] != f[None])) @ np.eye(3)[y]
+        hit = votes.argmax(1) == y
+        assert got[g] == pytest.approx(np.mean([hit[f == i].mean() for i in range(4)]))
+
+
 def test_top_k_kernel_breaks_ties_by_id():
     import pandas as pd
 
