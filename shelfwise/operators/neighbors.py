@@ -28,7 +28,7 @@ from shelfwise.session import materialize
 MAX_PIVOTS = 2_048
 ROWS_PER_PIVOT = 4_000
 #: vectors of a block in memory, at most, and its least number of rows
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 LEAST_ROWS = 1_000
 #: block pairs for each task slot, so that slots stay even
 PAIRS_PER_SLOT = 6

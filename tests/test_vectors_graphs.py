@@ -268,6 +268,11 @@ def test_blocks_of_pairs_grow_with_the_table():
     assert N.block_rows_for(1e12, 4096, slots) * 4096 * 8 <= N.BLOCK_BYTES
 
 
+def test_blocks_at_size_are_few():
+    # 615,000 rows of 64 numbers travel to 13 blocks a side, not 26
+    assert -(-615_000 // N.block_rows_for(615_000.0**2, 64, 12)) <= 13
+
+
 def test_rows_that_no_pivot_parts_travel_once_per_block(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(9000, 32))  # two pivots by default; no cell can be left out
