@@ -44,6 +44,10 @@ TREE_KINDS = ("RandomForest", "Bagging", "DecisionTree", "BoostedTrees")
 CLASS_MODELS = 8
 #: of a written table, read by one task of a fit
 TASK_BYTES = 4 << 20
+#: rows of a file that fits read, so that large tables are read by many tasks
+FILE_ROWS = 8_192
+#: steps of a sweep, not bound by its order, that run at the same time
+SWEEP_FITS = 8
 
 
 def _forest(p, seed, weight):
@@ -382,27 +386,46 @@ def self_train(
     Each round writes the scored pool once, in files of a good size; accepted and
     remaining rows are filters over that table, so nothing is joined back.
     """
-    cols = [key, "features", label]
-    known = materialize(labeled.select(*cols).hint("rebalance"), "known")
-    pool = materialize(unlabeled.select(key, "features").hint("rebalance"), "pool")
-    gold = [known.withColumn("labeled_iter", F.lit(0))]
+    known = _fit_table(labeled.select(key, "features", label), "known")
+    pool = _fit_table(unlabeled.select(key, "features"), "pool")
+    return _self_train(kind, known, pool, threshold, max_iter, params, label, key, balanced, seed, selected)
+
+
+def _fit_table(df: DataFrame, tag: str) -> DataFrame:
+    """Written in files of a good size for the tasks of a fit."""
+    return materialize(df.hint("rebalance"), tag, FILE_ROWS)
+
+
+def _self_train(
+    kind: str, known: DataFrame, pool: DataFrame, threshold: float, max_iter: int, params: Mapping | None, label: str,
+    key: str, balanced: bool, seed: int, selected: list[int] | None, first: Fitted | None = None,
+) -> tuple[Fitted, DataFrame]:
+    """:func:`self_train` over written tables; ``first`` may be the model of ``known``.
+
+    The model is fitted anew only if rows were accepted since the last fit.
+    """
+    gold = [known.select(key, "features", label).withColumn("labeled_iter", F.lit(0))]
     kind_of_label = known.schema[label].dataType
-    open_rows = pool.count()
+
+    def fit() -> Fitted:
+        return fit_classifier(kind, _few_tasks(union_all(*gold)), params, label, balanced, seed, selected)
+
+    model, open_rows = first, pool.count()
     for it in range(1, max_iter + 1):
         if open_rows == 0:
             break
-        model = fit_classifier(kind, union_all(*gold), params, label, balanced, seed, selected)
+        model = model or fit()
         scored = accept_confident(model.transform(pool), threshold)
         scored = scored.select(key, "features", F.col("prediction").cast(kind_of_label).alias(label), "accepted")
-        scored = materialize(scored.hint("rebalance"), "scored")
+        scored = _fit_table(scored, "scored")
         taken = scored.filter("accepted").drop("accepted").withColumn("labeled_iter", F.lit(it))
         left = scored.filter("not accepted").count()
         if left == open_rows:
             break
         gold.append(taken)
-        pool, open_rows = scored.filter("not accepted").select(key, "features"), left
+        model, pool, open_rows = None, scored.filter("not accepted").select(key, "features"), left
+    model = model or fit()
     everything = union_all(*gold)
-    model = fit_classifier(kind, everything, params, label, balanced, seed, selected)
     rest = pool.select(key, F.lit(None).cast(kind_of_label).alias(label), F.lit(-1).alias("labeled_iter"))
     return model, everything.select(key, label, "labeled_iter").unionByName(rest)
 
@@ -561,25 +584,35 @@ def sweep_runs(
     parameters, feature selection for tree models, self-training, evaluation on
     the labelled training rows and the test rows. The threshold state belongs to
     each model, whose shares follow one another while models run side by side;
-    with ``shared_threshold`` all runs follow one another. Metrics of all runs
-    are computed together at the end.
+    with ``shared_threshold`` all runs follow one another. What no threshold can
+    change (search, features, the fit of the given labels) is made ahead, some runs
+    at a time. Metrics of all runs are computed together at the end.
     """
     spark = labeled.sparkSession
     train, test = stratified_split(labeled, label, 0.8, seed, key)
     train, val = stratified_split(train, label, 0.9, seed, key)
-    train, val, test = (materialize(x.hint("rebalance"), "split") for x in (train, val, test))
+    with ThreadPool(SWEEP_FITS) as pool:
+        train, val, test, rest = pool.map(
+            lambda x: _fit_table(x, "split"), (train, val, test, unlabeled.select(key, "features")), chunksize=1
+        )
+        shares = pool.map(lambda f: _fit_table(labeled_fraction(train, label, f, seed, key), "fraction"), fractions, chunksize=1)
     k = n_classes or labeled.agg(F.max(label)).first()[0] + 1
-    parts = {f: materialize(labeled_fraction(train, label, f, seed, key).hint("rebalance"), "fraction") for f in fractions}
+    parts = dict(zip(fractions, shares))
     grown = {f: x if oversampling is None else _grown(x, label, oversampling, key, seed) for f, x in parts.items()}
 
-    def run(kind: str, frac: float, state: tuple[float, float]):
-        t0, (t, best), part, base, params, found = time.time(), state, parts[frac], grown[frac], models[kind], None
+    def ready(kind: str, frac: float):
+        t0, base, params, found = time.time(), _few_tasks(grown[frac]), models[kind], None
         if draws and draws.get(kind):
             params, found = random_search(
-                kind, part, draws[kind], folds, label=label, seed=seed, key=key, oversampling=oversampling
+                kind, parts[frac], draws[kind], folds, label=label, seed=seed, key=key, oversampling=oversampling
             )
         chosen = select_features(kind, base, params, label, seed) if kind in TREE_KINDS else None
-        model, labels = self_train(kind, base, unlabeled, t, max_iter, params, label, key, True, seed, chosen)
+        return params, found, chosen, fit_classifier(kind, base, params, label, True, seed, chosen), time.time() - t0
+
+    def run(kind: str, frac: float, state: tuple[float, float]):
+        params, found, chosen, first, spent = ahead[kind, frac].get()
+        t0, (t, best), base = time.time() - spent, state, grown[frac]
+        model, labels = _self_train(kind, base, rest, t, max_iter, params, label, key, True, seed, chosen, first)
         f1 = M.label_metrics(M.confusion_counts(model.transform(val), (), label, "prediction")).first()["f1"]
         both = [
             model.transform(x).select(
@@ -609,7 +642,8 @@ def sweep_runs(
         return out
 
     chains = [list(models)] if shared_threshold else [[m] for m in models]
-    with ThreadPool(len(chains)) as pool:
+    with ThreadPool(SWEEP_FITS) as early, ThreadPool(len(chains)) as pool:
+        ahead = {(m, f): early.apply_async(ready, (m, f)) for f in fractions for m in models}
         done = [x for out in pool.map(chain, chains) for x in out]
     by = ["model", "labeled_fraction"]
     tagged = lambda df, r: df.select(F.lit(r[0]).alias(by[0]), F.lit(r[1]).alias(by[1]), "*")
@@ -640,13 +674,14 @@ def _run_metrics(done: list, scored: DataFrame, confusion: DataFrame, k: int, bo
 
     def one(item):
         row, own = item[0], item[1]
-        test = own.filter("part = 'test'")
-        auc = {p: M.class_auc(own.filter(F.col("part") == p), k).filter("class = 'mean'").first()["auc"] for p in ("test", "train")}
-        boot = M.bootstrap_metrics(test, bootstrap, seed, "multinomial").first().asDict()
-        return (row[0], row[1], auc["test"], auc["train"], *[boot[f"{a}_{m}"] for m in ("accuracy", "precision", "recall", "f1") for a in ("mean", "std")])
-
-    with ThreadPool(4) as pool:
-        rows = pool.map(one, done)
+        boot = M.bootstrap_metrics(own.filter("part = 'test'"), bootstrap, seed, "multinomial").first().asDict()
+        mean = [areas[row[0], row[1], p] for p in ("test", "train")]
+        return (row[0], row[1], *mean, *[boot[f"{a}_{m}"] for m in ("accuracy", "precision", "recall", "f1") for a in ("mean", "std")])
+
+    found = M.class_auc(scored, k, by=[*by, "part"]).filter("class = 'mean'").collect()  # two rows a run
+    areas = {(r[by[0]], r[by[1]], r["part"]): r["auc"] for r in found}
+    with ThreadPool(SWEEP_FITS) as pool:
+        rows = pool.map(one, done, chunksize=1)
     boots = ", ".join(f"{a}_{m} double" for m in ("accuracy", "precision", "recall", "f1") for a in ("mean", "std"))
     areas = spark.createDataFrame(rows, f"model string, labeled_fraction double, roc_auc double, train_roc_auc double, {boots}")
     test = both.filter("part = 'test'").drop("part")

@@ -140,40 +140,41 @@ def probability_metrics(y: str = "y", p: str = "p", top_k: int = 3) -> list[Colu
 MICRO = "micro"
 
 
-def score_counts(df: DataFrame, n_classes: int, y: str = "y", p: str = "p") -> DataFrame:
-    """(class, score, pos, neg) per distinct score, classes 0..k-1 and 'micro'."""
+def score_counts(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """(*by, class, score, pos, neg) per distinct score, classes 0..k-1 and 'micro'."""
     cells = F.transform(
         F.col(p), lambda x, j: F.struct(j.cast("string").alias("class"), x.alias("score"), (j == F.col(y)).cast("bigint").alias("pos"))
     )
-    rows = df.select(F.inline(F.slice(cells, 1, n_classes)))
-    counted = rows.groupBy("class", "score").agg(F.sum("pos").alias("pos"), (F.count("*") - F.sum("pos")).alias("neg"))
-    micro = counted.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return counted.unionByName(micro.select(F.lit(MICRO).alias("class"), "score", "pos", "neg"))
+    rows = df.select(*by, F.inline(F.slice(cells, 1, n_classes)))
+    counted = rows.groupBy(*by, "class", "score").agg(F.sum("pos").alias("pos"), (F.count("*") - F.sum("pos")).alias("neg"))
+    micro = counted.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return counted.unionByName(micro.select(*by, F.lit(MICRO).alias("class"), "score", "pos", "neg"))
 
 
-def _running(counts: DataFrame, slices: int) -> DataFrame:
+def _running(counts: DataFrame, slices: int, by: Sequence[str] = ()) -> DataFrame:
     """Add positives and negatives scored strictly above each row's score, and
     the class totals. Scores are cut at quantiles into slices."""
+    own = [*by, "class"]
     counts = materialize(counts, "scores")
     marks = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    edges = counts.groupBy("class").agg(
+    edges = counts.groupBy(*own).agg(
         F.percentile_approx("score", marks, 10 * slices).alias("edges"), F.sum("pos").alias("P"), F.sum("neg").alias("N")
     )
-    cut = counts.join(edges, "class").withColumn(
+    cut = counts.join(edges, own).withColumn(
         "slice", F.size(F.filter("edges", lambda e: e > F.col("score")))
     ).drop("edges")
-    sums = cut.groupBy("class", "slice").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))
-    earlier = W.partitionBy("class").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = cut.groupBy(*own, "slice").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))
+    earlier = W.partitionBy(*own).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carry = sums.select(
-        "class", "slice", F.coalesce(F.sum("sp").over(earlier), F.lit(0)).alias("cp"),
+        *own, "slice", F.coalesce(F.sum("sp").over(earlier), F.lit(0)).alias("cp"),
         F.coalesce(F.sum("sn").over(earlier), F.lit(0)).alias("cn"),
     )
-    above = W.partitionBy("class", "slice").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
+    above = W.partitionBy(*own, "slice").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
     local = cut.withColumns(
         {"lp": F.coalesce(F.sum("pos").over(above), F.lit(0)), "ln": F.coalesce(F.sum("neg").over(above), F.lit(0))}
     )
-    return local.join(carry, ["class", "slice"]).select(
-        "class", "score", "pos", "neg", "P", "N", (F.col("cp") + F.col("lp")).alias("tp0"), (F.col("cn") + F.col("ln")).alias("fp0")
+    return local.join(carry, [*own, "slice"]).select(
+        *own, "score", "pos", "neg", "P", "N", (F.col("cp") + F.col("lp")).alias("tp0"), (F.col("cn") + F.col("ln")).alias("fp0")
     )
 
 
@@ -248,16 +249,19 @@ def curve_area(curve: DataFrame, slices: int = 256) -> DataFrame:
     return step.agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("auc"))
 
 
-def class_auc(df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 256) -> DataFrame:
-    """(class, auc) per class, 'micro' and 'mean' (unweighted class mean)."""
-    return _areas(_running(score_counts(df, n_classes, y, p), slices))
+def class_auc(
+    df: DataFrame, n_classes: int, y: str = "y", p: str = "p", slices: int = 256, by: Sequence[str] = ()
+) -> DataFrame:
+    """(*by, class, auc) per class, 'micro' and 'mean' (unweighted class mean)."""
+    return _areas(_running(score_counts(df, n_classes, y, p, by), slices, by), by)
 
 
-def _areas(run: DataFrame) -> DataFrame:
+def _areas(run: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     part = F.sum(F.col("neg").cast("double") * (F.col("tp0") + F.col("pos") / 2))
-    per = run.groupBy("class").agg(part.alias("a"), F.max("P").alias("P"), F.max("N").alias("N"))
-    per = per.select("class", _ratio(F.col("a"), F.col("P").cast("double") * F.col("N")).alias("auc"))
-    mean = per.filter(F.col("class") != MICRO).agg(F.avg("auc").alias("auc")).select(F.lit("mean").alias("class"), "auc")
+    per = run.groupBy(*by, "class").agg(part.alias("a"), F.max("P").alias("P"), F.max("N").alias("N"))
+    per = per.select(*by, "class", _ratio(F.col("a"), F.col("P").cast("double") * F.col("N")).alias("auc"))
+    mean = per.filter(F.col("class") != MICRO).groupBy(*by).agg(F.avg("auc").alias("auc"))
+    mean = mean.select(*by, F.lit("mean").alias("class"), "auc")
     return per.unionByName(mean)
 
 

@@ -53,14 +53,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/shelfwise/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str = "cut") -> DataFrame:
+def materialize(df: DataFrame, tag: str = "cut", rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     The result has no lineage beyond the files, so loops stay short and a lost
-    executor costs only its own tasks.
+    executor costs only its own tasks. A file holds at most ``rows_per_file``
+    rows, if given: one file is read by one task.
     """
     path = scratch_path(df.sparkSession, tag)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

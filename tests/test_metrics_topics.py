@@ -197,6 +197,46 @@ def test_self_training_labels_the_pool(spark):
     assert none.filter("labeled_iter > 0").count() == 0
 
 
+def counted_fits(monkeypatch):
+    seen, fit = [], L.fit_classifier
+    monkeypatch.setattr(L, "fit_classifier", lambda kind, df, *a, **kw: seen.append(df.rdd.getNumPartitions()) or fit(kind, df, *a, **kw))
+    return seen
+
+
+def test_rows_are_fitted_once_and_by_many_tasks(spark, monkeypatch):
+    df = separable(spark)
+    known, pool = df.filter("row_id < 60"), df.filter("row_id >= 60").drop("label")
+    seen = counted_fits(monkeypatch)
+    monkeypatch.setattr(L, "FILE_ROWS", 10)
+    monkeypatch.setattr(L, "TASK_BYTES", 1 << 10)
+    _, none = L.self_train("RandomForest", known, pool, 1.0, 3, {"numTrees": 3})
+    assert none.filter("labeled_iter > 0").count() == 0
+    assert len(seen) == 1 and seen[0] > 1
+
+
+def test_sweep_fits_twice_where_nothing_is_accepted(spark, monkeypatch):
+    df = separable(spark, 300)
+    known, pool = df.filter("row_id < 200"), df.filter("row_id >= 200").drop("label")
+    seen = counted_fits(monkeypatch)
+    monkeypatch.setattr(L, "next_threshold", lambda state, f1: state)  # no probability exceeds 1
+    out = L.fraction_sweep(known, pool, [1.0, 0.5], {"RandomForest": {"numTrees": 3}}, threshold=1.0, n_classes=3, bootstrap=5)
+    rows = out.orderBy("labeled_fraction").collect()
+    assert len(seen) == 4  # the features, and the labels as given
+    assert [(r["labeled_fraction"], r["pseudo_label_count"], r["threshold"]) for r in rows] == [(0.5, 0, 1.0), (1.0, 0, 1.0)]
+    # a share is rounded in each of three classes
+    assert abs(rows[1]["labeled_samples_count"] - 2 * rows[0]["labeled_samples_count"]) <= 3 and rows[1]["train_roc_auc"] > 0.9
+
+
+def test_areas_of_many_runs_are_those_of_each(spark):
+    rows = [(r, i % 3, [((i * (r + 2) + c * 5) % 11 + 1) / 12.0 for c in range(3)]) for r in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "run int, y int, p array<double>")
+    got = {(r["run"], r["class"]): r["auc"] for r in M.class_auc(df, 3, slices=4, by=["run"]).collect()}
+    for run in range(2):
+        for r in M.class_auc(df.filter(F.col("run") == run), 3, slices=4).collect():
+            assert abs(got.pop((run, r["class"])) - r["auc"]) < 1e-12
+    assert not got
+
+
 def test_threshold_steps():
     s = (0.8, 0.0)
     seen = []
