@@ -273,6 +273,12 @@ def test_blocks_at_size_are_few():
     assert -(-615_000 // N.block_rows_for(615_000.0**2, 64, 12)) <= 13
 
 
+def test_blocks_of_a_vote_are_bounded():
+    # a fifth of 615,000 rows asks the others: 29,000 rows a block, 5 by 17 blocks
+    rows = N.block_rows_for(0.8 * 0.2 * 615_000.0**2, 64, 12)
+    assert rows * 64 * 8 <= 15 << 20 and -(-123_000 // rows) <= 5 and -(-492_000 // rows) <= 17
+
+
 def test_rows_that_no_pivot_parts_travel_once_per_block(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(9000, 32))  # two pivots by default; no cell can be left out
