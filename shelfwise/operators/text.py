@@ -112,9 +112,9 @@ def hashing_encoder(width: int = 64) -> Callable[[], Encoder]:
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), width), dtype=np.float32)
             for i, t in enumerate(texts):
-                for w in word.findall((t or "").lower()):
-                    h = zlib.crc32(w.encode())
-                    out[i, (h >> 1) % width] += 1.0 if h & 1 else -1.0
+                words = word.findall((t or "").lower())
+                h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+                out[i] = np.bincount((h >> 1) % width, weights=2.0 * (h & 1) - 1.0, minlength=width)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norms == 0, 1.0, norms)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.scalars import tokenize
 from shelfwise.operators import relational as R
 from shelfwise.operators.sampling import leaderboard
-from shelfwise.operators.text import term_counts
+from shelfwise.operators.topic_counts import leading_terms
 from shelfwise.session import materialize, measured
 
 UNKNOWN = "-1"
@@ -35,13 +35,20 @@ def topic_term_counts(docs: DataFrame, text: str, topic: str = "topic") -> DataF
 
 
 def weigh_terms(
-    counts: DataFrame, topic: str = "topic", runs: Sequence[str] = (), totals: DataFrame | None = None
+    counts: DataFrame,
+    topic: str = "topic",
+    runs: Sequence[str] = (),
+    totals: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Class-based TF-IDF from (*runs, topic, term, tf), each run by itself: share of
     the term in its topic times ln(1 + A / f), f the term's total and A the mean
-    number of words per topic. ``totals`` may give (term, f), where all runs share them."""
+    number of words per topic. ``totals`` may give (term, f), where all runs share them,
+    and ``sizes`` (*runs, topic, size), where ``counts`` has only some of the terms."""
     runs = list(runs)
-    sizes = measured(counts.groupBy(*runs, topic).agg(F.sum("tf").alias("size")), "topicsizes")
+    if sizes is None:
+        sizes = counts.groupBy(*runs, topic).agg(F.sum("tf").alias("size"))
+    sizes = measured(sizes, "topicsizes")
     if totals is None:
         totals = counts.groupBy(*runs, "term").agg(F.sum("tf").alias("f"))
     by = [c for c in totals.columns if c != "f"]
@@ -291,8 +298,8 @@ def topic_sweep(
     ``cluster(docs, sets)`` returns (key, clusters): the topic of a document under
     each set, in their order. Returns (topic table, document table), each row
     tagged with its parameters. Texts are tokenised once; a document's distinct
-    terms are then counted in its topic of every set. Parameter sets are a small
-    list.
+    terms are counted in its topics of all sets at once, and only those that can be
+    among the heaviest become rows. Parameter sets and their topics are a small list.
     """
     spark = docs.sparkSession
     sets = [r.asDict() for r in params.collect()]
@@ -302,16 +309,20 @@ def topic_sweep(
     ))
     assigned = materialize(cluster(docs, sets), "sweep")
     per_run = F.posexplode("clusters").alias("run", "topic")
-    terms = materialize(term_counts(docs, text, key), "postings")
-    spread = terms.join(assigned, key).select("term", "tf", per_run)
-    counts = materialize(spread.groupBy("run", "topic", "term").agg(F.sum("tf").alias("tf")), "topicterms")
-    # a document is in one topic of every set, so a term's total is that of the table
-    totals = terms.join(assigned.select(key), key).groupBy("term").agg(F.sum("tf").alias("f"))
-    ranked = heaviest(weigh_terms(counts, "topic", ["run"], measured(totals, "totals")), "topic", top_n, ["run"])
-    placed = assigned.select(key, per_run)
-    sizes = placed.groupBy("run", "topic").agg(F.count("*").alias("count"))
+    sizes = measured(assigned.select(per_run).groupBy("run", "topic").agg(F.count("*").alias("count")), "sizes")
+    found = [(r["run"], r["topic"]) for r in sizes.collect()]
+    topics = [np.array(sorted(t for r, t in found if r == i)) for i in range(len(sets))]
+    if not found:
+        counts, words = spark.createDataFrame([], "run int, topic int, term string, tf long, f long"), []
+    else:
+        counts, words = leading_terms(docs.select(key, text), text, assigned, topics, key, top_n)
+    totals = measured(counts.select("term", "f").distinct(), "totals")
+    weights = weigh_terms(
+        counts.drop("f"), "topic", ["run"], totals, spark.createDataFrame(words, "run int, topic int, size long")
+    )
+    ranked = heaviest(weights, "topic", top_n, ["run"])
     infos = describe_topics(sizes, ranked, "topic", ["run"]).join(named, "run")
-    where = placed.join(docs, key).join(named, "run")
+    where = assigned.join(docs, key).select(key, text, per_run).join(named, "run")
     return (
         infos.select(*tags, "topic", "count", "name", "representation"),
         where.select(*tags, key, F.col(text).alias("document"), "topic"),

@@ -74,3 +74,38 @@ def test_sums_of_many_fits_travel_as_few_rows(spark, x):
         sums, counts, cost = found[s]
         assert list(counts) == [int((near == j).sum()) for j in range(len(c))] and np.isclose(cost, d.min(1).sum())
         assert np.allclose(sums, [x[near == j].sum(0) for j in range(len(c))])
+
+
+@pytest.mark.parametrize("share", [0.0, 0.8, 1e9])
+def test_rounds_only_sum_what_has_changed(spark, x, monkeypatch, share):
+    held = L.materialize(points(spark, x).selectExpr("xxhash64(features) h", "features v").repartition(5), "points")
+    rng = np.random.default_rng(3)
+    tables = [x[rng.choice(len(x), k, replace=False)] for k in (1, 2, 3, 7, 7, 12)]
+    whole, changed = [], []
+    fold, drift = L._fold, L._drift
+    monkeypatch.setattr(L, "_fold", lambda *a, **kw: whole.append(1) or fold(*a, **kw))
+    monkeypatch.setattr(L, "_drift", lambda *a, **kw: changed.append(1) or drift(*a, **kw))
+    for name, value in (("REFER_CELLS", 0), ("REFER_SHARE", share), ("FOLD_ROWS", 50), ("FOLD_WIDTH", 8), ("TASK_CELLS", 100)):
+        monkeypatch.setattr(L, name, value)
+    got, costs = L.lloyd(held, tables, 100, 1e-9)
+    assert len(whole) == 2 and len(changed) > 3
+    for c, g, cost in zip(tables, got, costs, strict=True):
+        want, least = plain(x, c, tol=1e-9)
+        assert np.allclose(g, want) and np.isclose(cost, least)
+
+
+def test_single_precision_decides_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1.0, 0.0), (1e-6, 1e4), (1e25, 0.0), (1e-30, 0.0)):
+        x = rng.normal(size=(500, 3)).round(2) * scale + shift
+        tables = [x[rng.choice(500, k, replace=False)] for k in (1, 4, 40)]
+        tables.append(np.concatenate([tables[1], tables[1][:2] * (1 + 1e-9)]))  # all but ties
+        for s, near in L._nearest(tables)(x):
+            more = np.hstack([x, np.ones((500, 1))])
+            c = tables[s]
+            want = (more @ np.hstack([-2.0 * c, (c * c).sum(1)[:, None]]).T).argmin(1)
+            if scale == 1.0:
+                assert list(near) == list(want)
+            d = ((x[:, None] - c[None]) ** 2).sum(2)
+            error = 1e-13 * (np.abs(x).max() + np.abs(c).max()) ** 2
+            assert (d[np.arange(500), near] <= d.min(1) + error).all()
