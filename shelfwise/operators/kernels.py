@@ -152,6 +152,8 @@ class DiscriminantModel:
 #: rows of a packed block, and tasks of a reading at most
 SVM_ROWS = 1 << 10
 SVM_TASKS = 256
+#: bytes of a file of blocks, which is read as one batch
+SVM_BYTES = 16 << 20
 #: of the search: corrections kept, values looked back on, steps tried
 _CORRECTIONS, _LOOK_BACK, _STEPS = 10, 20, 20
 #: steps after one that is low enough, to find a better slope
@@ -220,22 +222,27 @@ def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"x": [x.tobytes()], "y": [rest[:, 0].tobytes()], "w": [rest[:, 1].tobytes()]})
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(frames: Iterator[pd.DataFrame], lift: FourierMap | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for pdf in frames:
         for x, y, w in zip(pdf["x"], pdf["y"], pdf["w"], strict=True):
             y = np.frombuffer(y)
-            yield np.frombuffer(x).reshape(len(y), -1), y, np.frombuffer(w)
+            x = np.frombuffer(x).reshape(len(y), -1)
+            yield lift.map(x) if lift else x, y, np.frombuffer(w)
 
 
-def _spreads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spreads(lift: FourierMap | None):
     """Per task: weight, its squares, greatest class, mean and squares about it."""
-    total = None
-    for x, y, w in _blocks(frames):
-        n = w.sum()
-        mean = w @ x / n if n else np.zeros(x.shape[1])
-        total = _both(total, np.concatenate([[n, w @ w, y.max()], mean, w @ (x - mean) ** 2]))
-    if total is not None:
-        yield pd.DataFrame({"s": [total.tobytes()]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for x, y, w in _blocks(frames, lift):
+            n = w.sum()
+            mean = w @ x / n if n else np.zeros(x.shape[1])
+            total = _both(total, np.concatenate([[n, w @ w, y.max()], mean, w @ (x - mean) ** 2]))
+        if total is not None:
+            yield pd.DataFrame({"s": [total.tobytes()]})
+
+    return run
 
 
 def _both(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
@@ -247,12 +254,12 @@ def _both(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
     return np.concatenate([[n, a[1] + b[1], max(a[2], b[2])], a[3 : 3 + width] + gap * share, squares])
 
 
-def _hinges(coef: np.ndarray, offset: np.ndarray, classes: np.ndarray):
+def _hinges(coef: np.ndarray, offset: np.ndarray, classes: np.ndarray, lift: FourierMap | None):
     """Per task: summed hinge losses of all classes, and their gradients."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(classes), coef.shape[1] + 2))
-        for x, y, w in _blocks(frames):
+        for x, y, w in _blocks(frames, lift):
             sign = np.where(y[:, None] == classes, 1.0, -1.0)
             slack = 1.0 - sign * (x @ coef.T + offset)
             pull = np.where(slack > 0, sign * w[:, None], 0.0)
@@ -270,23 +277,28 @@ class LinearMargins(_Estimator):
     Each class has the objective of ML's ``LinearSVC`` (mean hinge loss over
     standardised features, half ``regParam`` times the squared coefficients) and a
     search of its own; the points at which the searches want the loss go through
-    one job. The driver holds classes x width numbers per task.
+    one job. The driver holds classes x width numbers per task. With ``lift`` the
+    features are mapped block by block in each reading; mapped rows are never stored.
     """
 
     def __init__(
         self, regParam: float = 0.0, maxIter: int = 100, tol: float = 1e-6, fitIntercept: bool = True,  # noqa: N803
-        standardization: bool = True,
+        standardization: bool = True, lift: FourierMap | None = None,
     ):
         super().__init__()
+        self.lift = lift
         self.reg, self.max_iter, self.tol, self.intercept, self.standard = regParam, maxIter, tol, fitIntercept, standardization
 
     def fit(self, df: DataFrame) -> "MarginsModel":
         w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
         rows = df.select(vector_to_array(self.features).alias("v"), F.col(self.label).cast("double").alias("y"), w.alias("w"))
-        table = materialize(rows.mapInPandas(_pack, "x binary, y binary, w binary"), "svm")
+        wide = rows.agg(F.max(F.size("v"))).first()[0] or 1
+        table = materialize(
+            rows.mapInPandas(_pack, "x binary, y binary, w binary"), "svm", max(1, SVM_BYTES // (8 * wide * SVM_ROWS))
+        )
         blocks = table.coalesce(SVM_TASKS)
         whole = None
-        for r in blocks.mapInPandas(_spreads, "s binary").collect():
+        for r in blocks.mapInPandas(_spreads(self.lift), "s binary").collect():
             whole = _both(whole, np.frombuffer(r["s"]))
         if whole is None:
             raise ValueError("no labelled rows")
@@ -302,7 +314,7 @@ class LinearMargins(_Estimator):
             return coef, points[:, 0] * self.intercept - coef @ mean
 
         def losses(points: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            parts = blocks.mapInPandas(_hinges(*plain(points), classes), "s binary").collect()
+            parts = blocks.mapInPandas(_hinges(*plain(points), classes, self.lift), "s binary").collect()
             total = np.sum([np.frombuffer(r["s"]) for r in parts], axis=0).reshape(len(classes), width + 2) / n
             grad = np.empty_like(points)
             grad[:, 0] = total[:, 1] * self.intercept
@@ -322,19 +334,23 @@ class LinearMargins(_Estimator):
                     found[c] = end.value
                     del asked[c]
         release(table)
-        return MarginsModel(*plain(found))
+        return MarginsModel(*plain(found), self.lift)
 
 
 class MarginsModel:
-    def __init__(self, coef: np.ndarray, offset: np.ndarray):
-        self.coef, self.offset = coef, offset
+    def __init__(self, coef: np.ndarray, offset: np.ndarray, lift: FourierMap | None = None):
+        self.coef, self.offset, self.lift = coef, offset, lift
 
     def margins(self, vec: str) -> Column:
         """The margin of each class."""
 
         def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for v in frames:
-                yield pd.Series(list(np.stack(v.to_numpy()).astype(np.float64) @ self.coef.T + self.offset) if len(v) else [], dtype=object)
+                found = []
+                for a in range(0, len(v), SVM_ROWS):
+                    x = np.stack(v.iloc[a : a + SVM_ROWS].to_numpy()).astype(np.float64)
+                    found += list((self.lift.map(x) if self.lift else x) @ self.coef.T + self.offset)
+                yield pd.Series(found, dtype=object)
 
         return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(vector_to_array(vec))
 

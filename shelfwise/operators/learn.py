@@ -192,8 +192,7 @@ def fit_classifier(
             shape = size.agg(F.max("w").alias("w"), (F.max("__y") + 1).cast("int").alias("k")).first()
             params["layers"] = [shape["w"], 16, shape["k"]]
     if kind == "KernelSVM":
-        shell.scaler = FourierMap.fit(data, "__x", params.pop("gamma", None), params.pop("n_features", 512), seed)
-        data = shell.scaler.transform(data).withColumn("__x", F.col("__z")).drop("__z")
+        params["lift"] = FourierMap.fit(data, "__x", params.pop("gamma", None), params.pop("n_features", 512), seed)
     weight = None
     if balanced and kind not in ("NeuralNetwork", "KNN"):
         data = with_class_weight(data, "__y", "__w")
@@ -221,6 +220,12 @@ def accuracy(df: DataFrame, label: str = "label") -> float:
     return df.agg(F.avg((F.col(label) == F.col("prediction")).cast("double"))).first()[0]
 
 
+def _folded(df: DataFrame, folds: int, label: str, seed: int, key: str) -> DataFrame:
+    """Rows with their fold, kept until they are unpersisted."""
+    rows = materialize(stratified_kfold(df.select(key, "features", label), label, folds, seed, key), "folds")
+    return _few_tasks(rows).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cross_validate(
     kind: str,
     df: DataFrame,
@@ -232,14 +237,17 @@ def cross_validate(
     key: str = "row_id",
     parallelism: int = 6,
     oversampling: str | None = None,
+    folded: DataFrame | None = None,
 ) -> DataFrame:
     """(draw, params, fold, score, fit_time, score_time) for every draw and fold.
 
     Folds are stratified and fixed before anything else; ``oversampling`` adds
-    synthetic rows to the training folds only.
+    synthetic rows to the training folds only. ``folded`` may give the rows of
+    :func:`_folded`, where several searches share them.
     """
-    folded = materialize(stratified_kfold(df.select(key, "features", label), label, folds, seed, key), "folds")
-    folded = _few_tasks(folded).persist(StorageLevel.MEMORY_AND_DISK)
+    own = folded is None
+    if own:
+        folded = _folded(df, folds, label, seed, key)
 
     def training(f: int) -> DataFrame:
         train = folded.filter(F.col("fold") != f)
@@ -261,7 +269,8 @@ def cross_validate(
     tasks = [(i, f) for i in range(len(draws)) for f in range(folds)]
     with ThreadPool(parallelism) as pool:
         rows = pool.map(one, tasks)
-    folded.unpersist()
+    if own:
+        folded.unpersist()
     schema = "draw int, params map<string,string>, fold int, score double, fit_time double, score_time double"
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -332,17 +341,17 @@ def model_bakeoff(
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, predictions) of every classifier on one stratified split, with
     its cross-validated accuracy, best first; ``parallelism`` of them at a time, each
-    with its folds beside it."""
+    with its folds beside it. All share the folds, which are kept once."""
     train, hold = stratified_split(df, label, 1 - test, seed, key)
     train, hold = (_few_tasks(materialize(x.hint("rebalance"), "bakeoff")) for x in (train, hold))
+    folded = _folded(train, folds, label, seed, key)
+    shared = {"label": label, "seed": seed, "key": key, "parallelism": folds, "folded": folded}
 
     def one(item):
         kind, params = item
         t0 = time.time()
         with ThreadPool(1) as beside:
-            wait = beside.apply_async(
-                cross_val_score, (kind, train, folds, params), {"label": label, "seed": seed, "key": key, "parallelism": folds}
-            )
+            wait = beside.apply_async(cross_val_score, (kind, train, folds, params), shared)
             model = fit_classifier(kind, train, params, label, balanced, seed)
             out = materialize(model.transform(hold).select(key, label, "prediction"), "preds")
             m = M.label_metrics(M.confusion_counts(out, (), label, "prediction")).first()
@@ -352,6 +361,7 @@ def model_bakeoff(
 
     with ThreadPool(parallelism) as pool:
         done = pool.map(one, models.items(), chunksize=1)
+    folded.unpersist()
     rows, preds = [r for r, _ in done], [p for _, p in done]
     schema = "model string, accuracy double, balanced_accuracy double, f1 double, cv_score double, error string, seconds double"
     scores = df.sparkSession.createDataFrame(rows, schema)

@@ -111,3 +111,41 @@ def test_fits_of_a_search_run_side_by_side(spark, rings, monkeypatch):
     monkeypatch.setattr(L, "fit_classifier", fit)
     scores = L.cross_validate("DecisionTree", table(spark, *rings), [{}] * 4, 3).collect()
     assert len(scores) == 12 and all(abs(r.score - 1 / 3) < 0.01 for r in scores)
+
+
+def test_kernel_features_are_mapped_in_blocks_and_never_stored(spark, monkeypatch):
+    from shelfwise.operators import learn as L
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 4))
+    rows = [(i, v.tolist(), int(v @ v > 3.5)) for i, v in enumerate(x)]
+    data = L.as_vectors(spark.createDataFrame(rows, "row_id long, features array<double>, label int")).coalesce(2)
+    written, blocks = [], []
+    keep = K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    monkeypatch.setattr(K, "release", lambda df: None)
+    monkeypatch.setattr(K, "SVM_ROWS", 64)
+    lift = K.FourierMap.map
+    monkeypatch.setattr(K.FourierMap, "map", lambda self, v: lift(self, v) if len(v) <= 64 else blocks.append(len(v)))
+    model = L.fit_classifier("KernelSVM", data, {"gamma": 0.2, "n_features": 256, "regParam": 1e-3})
+    widths = {len(r.x) // len(r.y) for t in written for r in t.collect()}
+    assert widths == {4} and not blocks
+    got = {r.row_id: r.prediction for r in model.transform(data).select("row_id", "prediction").collect()}
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.95
+    # as the same machine over features that were mapped before
+    z = spark.createDataFrame([(i, lift(model.model.lift, v[None])[0].tolist(), y) for (i, _, y), v in zip(rows, x)], "row_id long, __x array<double>, __y int")
+    plain = K.LinearMargins(regParam=1e-3).fit(L.as_vectors(z, "__x").coalesce(2))
+    assert np.allclose(plain.coef, model.model.coef, rtol=1e-4, atol=1e-5)
+
+
+def test_models_of_a_bakeoff_share_their_folds(spark, monkeypatch):
+    from shelfwise.operators import learn as L
+
+    rows = [(i, [float(i % 2), float(i % 7)], i % 2) for i in range(120)]
+    data = L.as_vectors(spark.createDataFrame(rows, "row_id long, features array<double>, label int"))
+    made, fold = [], L.stratified_kfold
+    monkeypatch.setattr(L, "stratified_kfold", lambda *a: made.append(1) or fold(*a))
+    scores, _ = L.model_bakeoff(data, dict.fromkeys(("DecisionTree", "LinearDiscriminant", "NaiveBayes"), {}))
+    got = scores.collect()
+    assert len(made) == 1 and all(r.error is None for r in got) and {r.cv_score for r in got if r.model == "DecisionTree"} == {1.0}
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
